@@ -136,9 +136,10 @@ def sequence_within(
     number: str | None = None,
     previous: Mapping[str, str] | None = None,
     running: Mapping[str, str] | None = None,
+    last: str | None = None,
     max_rows_per_task: int = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
-    """Row number, previous value and running sum of each key in order.
+    """Row number, previous value, running sum and last-row flag of each key in order.
 
     ``previous`` and ``running`` map a new column to its input column;
     ``order`` must be unique inside a key.  Keys of ordinary size use plain
@@ -148,16 +149,16 @@ def sequence_within(
     previous, running = dict(previous or {}), dict(running or {})
     big = oversized_keys(df, keys, max_rows_per_task).collect()
     if not big:
-        return _window_sequence(df, list(keys), order, number, previous, running)
+        return _window_sequence(df, list(keys), order, number, previous, running, last)
     schema = df.select(*keys).schema
     heavy = F.broadcast(df.sparkSession.createDataFrame(big, schema))  # rows / limit keys at most
     same = [df[k].eqNullSafe(heavy[k]) for k in keys]
-    ordinary = _window_sequence(df.join(heavy, same, "left_anti"), list(keys), order, number, previous, running)
-    split = _split_sequence(df.join(heavy, same, "left_semi"), list(keys), order, number, previous, running)
+    ordinary = _window_sequence(df.join(heavy, same, "left_anti"), list(keys), order, number, previous, running, last)
+    split = _split_sequence(df.join(heavy, same, "left_semi"), list(keys), order, number, previous, running, last)
     return ordinary.unionByName(split)
 
 
-def _window_sequence(df, keys, order, number, previous, running) -> DataFrame:
+def _window_sequence(df, keys, order, number, previous, running, last) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     up_to_here = w.rowsBetween(Window.unboundedPreceding, 0)
     added = {}
@@ -165,10 +166,12 @@ def _window_sequence(df, keys, order, number, previous, running) -> DataFrame:
         added[number] = F.row_number().over(w)
     added.update({out: F.lag(src).over(w) for out, src in previous.items()})
     added.update({out: F.sum(src).over(up_to_here) for out, src in running.items()})
+    if last:
+        added[last] = F.lead(F.lit(1)).over(w).isNull()
     return df.withColumns(added)
 
 
-def _split_sequence(df, keys, order, number, previous, running) -> DataFrame:
+def _split_sequence(df, keys, order, number, previous, running, last) -> DataFrame:
     stamped = stamp_order(df, [F.col(k).asc() for k in keys] + list(order))
     piece = [*keys, SEGMENT]
 
@@ -179,7 +182,8 @@ def _split_sequence(df, keys, order, number, previous, running) -> DataFrame:
     pieces = stamped.groupBy(*piece).agg(*facts)
     w = Window.partitionBy(*keys).orderBy(SEGMENT)
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    carry = [F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before")]
+    carry = [F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
+             F.col("_rows").alias("_rows_here"), F.lead(F.lit(1)).over(w).isNull().alias("_final")]
     carry += [F.lag(f"_last_{out}").over(w).alias(f"_last_{out}") for out in previous]
     carry += [F.sum(f"_sum_{out}").over(earlier).alias(f"_sum_{out}") for out in running]
     renamed = [F.col(c).alias(f"_k_{c}") for c in piece]
@@ -201,4 +205,6 @@ def _split_sequence(df, keys, order, number, previous, running) -> DataFrame:
     for out in running:
         before, here = F.col(f"_sum_{out}"), F.col(f"_run_{out}")
         added[out] = F.when(before.isNull(), here).otherwise(before + F.coalesce(here, F.lit(0)))
+    if last:
+        added[last] = F.col("_final") & (F.col("_nth") == F.col("_rows_here"))
     return joined.withColumns(added).select(*df.columns, *added)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(app: str = "fieldtally", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC display.
 
-    Every setting is a default: on a cluster ``spark-submit --conf`` values
-    already present in the builder win over nothing here but ``conf``.
+    ``conf`` overrides the defaults below; keys use Spark's own names.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -36,9 +36,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     copy survives the loss of executors, and whatever was computed from
     partition layout (see ``operators.ordering``) is frozen with it.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set only if nobody has."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fieldtally-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A fresh path for a table under the shared folder, which every executor can reach."""
+    return f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"

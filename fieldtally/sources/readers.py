@@ -38,19 +38,15 @@ def to_contract(df: DataFrame, schema: T.StructType) -> DataFrame:
 def read_parquet_by_name(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
     """All Parquet files of a glob as one table aligned by column name.
 
-    A column absent from older files reads as NULL, and a column whose type
-    changed between files is cast.  Files are grouped by the schema in their
-    footer, so the plan has one scan per distinct schema however many files
-    there are, and filters and column pruning still reach each scan.
+    The scan is given the contract, which holds the widest type of each
+    column: a column absent from older files reads as NULL and a narrower
+    integer or float is widened by the reader.  No footer is opened to plan
+    the scan, so the number of files does not matter to the driver, and
+    filters and column pruning reach every file.
     """
-    files = matching_files(spark, pattern)
-    if not files:
+    if not matching_files(spark, pattern):
         raise MissingSource(f"no files match {pattern}")
-    groups: dict[str, list[str]] = {}
-    for f in files:
-        groups.setdefault(spark.read.parquet(f).schema.json(), []).append(f)
-    parts = [to_contract(spark.read.parquet(*paths), schema) for paths in groups.values()]
-    return reduce(DataFrame.unionByName, parts)
+    return spark.read.schema(schema).parquet(pattern)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Column contracts of the raw tables, so no reader infers a schema."""
+"""Column contracts of the raw tables, so no reader infers a schema.
+
+Each column has the widest type any file stores it with: Parquet readers widen
+but never narrow.
+"""
 
 from __future__ import annotations
 
@@ -20,8 +24,8 @@ TRIPS = _table(
     on_scene_datetime=_TIME,
     pickup_datetime=_TIME,
     dropoff_datetime=_TIME,
-    PULocationID=_INT,
-    DOLocationID=_INT,
+    PULocationID=_LONG,
+    DOLocationID=_LONG,
     trip_miles=_DOUBLE,
     trip_time=_LONG,
     base_passenger_fare=_DOUBLE,
@@ -40,7 +44,7 @@ TRIPS = _table(
     cbd_congestion_fee=_DOUBLE,
 )
 
-ZONES = _table(LocationID=_INT, Borough=_STRING, Zone=_STRING, service_zone=_STRING)
+ZONES = _table(LocationID=_LONG, Borough=_STRING, Zone=_STRING, service_zone=_STRING)
 
 ORDERS = _table(
     order_id=_LONG,
@@ -58,4 +62,4 @@ AISLES = _table(aisle_id=_LONG, aisle=_STRING)
 DEPARTMENTS = _table(department_id=_LONG, department=_STRING)
 
 ZONE_CLASSIFICATION = _table(
-    LocationID=_INT, Zone=_STRING, Borough=_STRING, pct_fee_charged=_DOUBLE, zone_group=_STRING)
+    LocationID=_LONG, Zone=_STRING, Borough=_STRING, pct_fee_charged=_DOUBLE, zone_group=_STRING)

@@ -202,7 +202,7 @@ def basket_composition(items: DataFrame, products: DataFrame, departments: DataF
                        reordered: str = "reordered", digits: int | None = 2) -> DataFrame:
     """Share of all items and reorder rate per department, optionally only the k largest."""
     counted = _per_product(items, product, reordered)
-    everything = items.agg(F.count(F.lit(1))).scalar()
+    everything = counted.agg(F.sum("_n")).scalar()  # from the products, not from the items again
     grouped = (
         counted.join(products.select(product, department), product)
         .groupBy(department).agg(F.sum("_n").alias("_n"), F.sum("_r").alias("_r"))

@@ -81,24 +81,28 @@ def distribution_profile(df: DataFrame, duration: str, start: str, end: str, *,
     )
 
 
-def counts_by_dimension(df: DataFrame, key: str, dim: DataFrame, dim_key: str, labels: Mapping[str, str], *,
-                        count: str = "trip_count") -> DataFrame:
-    """Rows per dimension label.  Several keys may share a label; rows without a match drop out."""
-    counted = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+def _per_key(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _labelled_counts(per_key: DataFrame, dim: DataFrame, dim_key: str, labels: Mapping[str, str],
+                     count: str) -> DataFrame:
+    """Rows per dimension label.  Several keys may share a label; keys without a match drop out."""
     names = dim.select(F.col(dim_key).alias("_key"), *[F.col(src).alias(out) for src, out in labels.items()])
-    return counted.join(names, "_key").groupBy(*labels.values()).agg(F.sum("_n").alias(count))
+    return per_key.join(names, "_key").groupBy(*labels.values()).agg(F.sum("_n").alias(count))
+
+
+def _largest(df: DataFrame, count: str, labels: Mapping[str, str], k: int) -> DataFrame:
+    return df.orderBy(F.desc(count), *[F.asc_nulls_last(c) for c in labels.values()]).limit(k)
 
 
 def topk_share(df: DataFrame, key: str, dim: DataFrame, dim_key: str, labels: Mapping[str, str], *, k: int = 10,
                count: str = "trip_count", share: str = "pct_of_all_trips", digits: int | None = 2) -> DataFrame:
     """The k largest labels and their percentage of all rows, matched or not."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return (
-        counts_by_dimension(df, key, dim, dim_key, labels, count=count)
-        .orderBy(F.desc(count), *[F.asc_nulls_last(c) for c in labels.values()])
-        .limit(k)
-        .withColumn(share, C.percent(F.col(count), total, digits))
-    )
+    per_key = _per_key(df, key)
+    total = per_key.agg(F.sum("_n")).scalar()  # from the keys, not from the rows again
+    top = _largest(_labelled_counts(per_key, dim, dim_key, labels, count), count, labels, k)
+    return top.withColumn(share, C.percent(F.col(count), total, digits))
 
 
 def fee_share(df: DataFrame, fee: str, *, digits: int | None = 2) -> DataFrame:
@@ -112,12 +116,8 @@ def fee_share(df: DataFrame, fee: str, *, digits: int | None = 2) -> DataFrame:
 def fee_top_origins(df: DataFrame, fee: str, key: str, dim: DataFrame, dim_key: str, labels: Mapping[str, str], *,
                     k: int = 10, count: str = "fee_paying_trip_count") -> DataFrame:
     """The k labels where most fee-paying rows start."""
-    paying = df.where(F.col(fee) > 0)
-    return (
-        counts_by_dimension(paying, key, dim, dim_key, labels, count=count)
-        .orderBy(F.desc(count), *[F.asc_nulls_last(c) for c in labels.values()])
-        .limit(k)
-    )
+    paying = _per_key(df.where(F.col(fee) > 0), key)
+    return _largest(_labelled_counts(paying, dim, dim_key, labels, count), count, labels, k)
 
 
 def ratio_of_sums_by_hour(df: DataFrame, ts: str, pay: str, fare: str, rider_cost: Sequence[str], *,

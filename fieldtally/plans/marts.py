@@ -85,7 +85,7 @@ def _share(items: DataFrame, label: str, total: str) -> DataFrame:
 def department_basket_composition(items: DataFrame) -> DataFrame:
     """Every department with its share of all items and its reorder rate."""
     counted = _share(items, "department", "total_items")
-    everything = items.agg(F.count(F.lit(1))).scalar()
+    everything = counted.agg(F.sum("total_items")).scalar()  # from the groups, not from the items again
     return counted.select(
         "department", "total_items",
         C.percent(F.col("total_items"), everything).alias("pct_of_all_items"),

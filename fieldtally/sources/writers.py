@@ -42,7 +42,7 @@ def load_months(df: DataFrame, path: str, ts: str, months: Sequence[str], *, for
         # The range on the bare timestamp reaches the scan; the exact months do not.
         fresh = with_month(df.where(F.col(ts) >= first), ts).where(F.col("month").isin(todo))
         (
-            fresh.repartition("month", F.to_date(ts))
+            fresh.hint("rebalance", F.col("month"))  # files of a sensible size, a large month in several
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("month")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.functions import columns as C
 from fieldtally.operators import ordering
+from fieldtally.session import cut_lineage
 
 # Scope names of the two summary rows.
 SCOPE_ALL = "all orders (1st order included -- reorder=0 there by definition)"
@@ -86,10 +87,9 @@ def reorder_rate_by(items: DataFrame, by: str = "order_number", *, reordered: st
 def latest_per_key(df: DataFrame, key: str, number: str, values: Sequence[str], *,
                    latest: str | None = None) -> DataFrame:
     """Values of each key's highest-numbered row, in one aggregation instead of a join to the maximum."""
-    last = F.max_by(F.struct(*values), F.col(number))
-    kept = df.groupBy(key).agg(last.alias("_last"), F.max(number).alias("_number"))
-    out = [key] + ([F.col("_number").alias(latest)] if latest else [])
-    return kept.select(*out, *[F.col("_last").getField(v).alias(v) for v in values])
+    last = [F.max_by(v, number).alias(v) for v in values]
+    first = [F.max(number).alias(latest)] if latest else []
+    return df.groupBy(key).agg(*first, *last)
 
 
 def recency_frequency(orders: DataFrame, *, user: str = "user_id", number: str = "order_number",
@@ -97,8 +97,8 @@ def recency_frequency(orders: DataFrame, *, user: str = "user_id", number: str =
     """Orders per user and the gap before the last one."""
     return orders.groupBy(user).agg(
         F.count(F.lit(1)).alias("total_orders"),
-        F.max_by(F.struct(gap), F.col(number)).alias("_last"),
-    ).select(user, "total_orders", F.col("_last").getField(gap).alias("recency_days"))
+        F.max_by(gap, number).alias("recency_days"),
+    )
 
 
 def rfm_scores(orders: DataFrame, prior_items: DataFrame, tier: Mapping | None = None, *, user: str = "user_id",
@@ -139,7 +139,7 @@ def churn_gap_recovery(orders: DataFrame, *, cap: int = 30, user: str = "user_id
     """
     per_user = orders.groupBy(user).agg(
         F.count(F.when(F.col(gap) == cap, F.lit(1))).alias("_gaps"),
-        F.max_by(F.struct(gap), F.col(number)).getField(gap).alias("_last"),
+        F.max_by(gap, number).alias("_last"),
     )
     totals = per_user.agg(
         F.coalesce(F.sum("_gaps"), F.lit(0)).alias(total),
@@ -186,7 +186,8 @@ def mean_running_volume(items: DataFrame, *, user: str = "user_id", number: str
                         out: str = "avg_cumulative_items_prior",
                         max_rows_per_task: int = ordering.MAX_ROWS_PER_TASK) -> DataFrame:
     """Mean running item count at every order number (the checkpoint list left open)."""
-    per_order = items.groupBy(user, number).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per order, read twice below: once to look for oversized users.
+    per_order = cut_lineage(items.groupBy(user, number).agg(F.count(F.lit(1)).alias("_n")))
     running = ordering.sequence_within(per_order, [user], [F.col(number).asc()], running={"_sum": "_n"},
                                        max_rows_per_task=max_rows_per_task)
     return running.groupBy(number).agg(F.avg("_sum").alias(out))

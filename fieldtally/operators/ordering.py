@@ -85,30 +85,40 @@ def ntile(df: DataFrame, buckets: int, order: Sequence[Column], out: str) -> Dat
 
 
 def exact_quantiles(df: DataFrame, value: str, quantiles: Mapping[str, float]) -> DataFrame:
-    """One row of exact, linearly interpolated quantiles of one column.
+    """One row of exact, linearly interpolated quantiles of one column."""
+    return quantiles_of_counts(stamped_counts(df, value), value, quantiles)
 
-    The column is first reduced to (value, occurrences), so a repeated value
-    costs one row; ranks then come from a distributed sort of the distinct
-    values, of which only the partitions holding a wanted rank are scanned.
+
+def stamped_counts(df: DataFrame, value: str, *extra: Column, count: str = "_n") -> DataFrame:
+    """(value, occurrences, extra aggregates) in value order, missing values last.
+
+    A repeated value costs one row however often it occurs, so neither a
+    heavy value nor the length of the table decides what is sorted.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    stamped = stamp_order(counts, [F.col("_v").asc()])
-    starts = _segment_starts(stamped, F.col("_n"))
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias(count), *extra)
+    return stamp_order(counts, [F.col(value).asc_nulls_last()])
+
+
+def quantiles_of_counts(stamped: DataFrame, value: str, quantiles: Mapping[str, float], *,
+                        count: str = "_n") -> DataFrame:
+    """Quantiles from ``stamped_counts``; only sorted pieces holding a wanted rank are looked into."""
+    known = stamped.where(F.col(value).isNotNull())
+    starts = _segment_starts(known, F.col(count))
 
     def place(q: float) -> Column:
         return F.lit(q) * (F.col("_total") - F.lit(1))
 
-    wanted = [edge(place(q)) for q in quantiles.values() for edge in (F.floor, F.ceil)]
     needed = F.lit(False)
-    for w in wanted:
-        needed = needed | ((w >= F.col("_before")) & (w < F.col("_before") + F.col("_weight")))
-    candidates = stamped.join(F.broadcast(starts.where(needed)), SEGMENT)  # a few segments at most
+    for q in quantiles.values():
+        for rank in (F.floor(place(q)), F.ceil(place(q))):
+            needed = needed | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_weight")))
+    candidates = known.join(F.broadcast(starts.where(needed)), SEGMENT)  # two pieces per quantile at most
     running = Window.partitionBy(SEGMENT).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = candidates.withColumn("_end", F.col("_before") + F.sum("_n").over(running))
-    begin = F.col("_end") - F.col("_n")
+    ranked = candidates.withColumn("_end", F.col("_before") + F.sum(count).over(running))
+    begin = F.col("_end") - F.col(count)
 
     def value_at(rank: Column) -> Column:
-        return F.max(F.when((rank >= begin) & (rank < F.col("_end")), F.col("_v").cast("double")))
+        return F.max(F.when((rank >= begin) & (rank < F.col("_end")), F.col(value).cast("double")))
 
     parts = [F.max("_total").alias("_total")]
     for i, q in enumerate(quantiles.values()):

@@ -35,6 +35,7 @@ from fieldtally.session import cut_lineage
 # A unit has one row per day, so this also bounds what one unit's group holds.
 MAX_PERIODS = 3000
 _CELLS_PER_BLOCK = 1_000_000
+_ROWS = "spec string, i int, v array<double>"  # row i of a matrix per specification
 
 _OLS_RESULT = T.StructType([
     T.StructField("spec", T.StringType()),
@@ -167,21 +168,22 @@ def two_way_fixed_effects(df: DataFrame, unit: str, day: str, y: str, xs: Sequen
         return df.sparkSession.createDataFrame([], _FE_RESULT)
 
     units = panel.groupBy("spec", "unit").agg(F.collect_list(F.struct("t", "y", "x")).alias("cells"))
-    moments = _summed(units.select("spec", "cells"), _first_pass(periods, len(xs)))
+    units = units.select("spec", "cells")
+    moments = _summed(units.mapInArrow(_first_pass(periods, len(xs)), _ROWS))
     fits = {s: _solve(m, len(periods), len(xs)) for s, m in _matrices(moments, len(periods) + len(xs) + 3).items()}
-    meats = _matrices(_summed(units.select("spec", "cells"), _second_pass(periods, len(xs), fits)), len(xs))
+    scores = _summed_small(units.mapInArrow(_second_pass(periods, len(xs), fits), _ROWS))
+    meats = _matrices(scores, len(xs))
     rows = [r for s in sorted(fits) for r in _table(s, xs, fits[s], meats[s], debias, level)]
     return df.sparkSession.createDataFrame(rows, _FE_RESULT)
 
 
 def _periods(panel: DataFrame) -> np.ndarray:
-    """The days of the panel, after checking that a unit cannot have more rows than days."""
-    days = panel.select("t").distinct().limit(MAX_PERIODS + 1).collect()
+    """The days of the panel, after checking that no unit has two rows for one of them."""
+    cells = panel.groupBy("spec", "unit", "t").count()
+    days = cells.groupBy("t").agg(F.max("count").alias("most")).limit(MAX_PERIODS + 1).collect()
     if len(days) > MAX_PERIODS:
         raise ValueError(f"more than {MAX_PERIODS} distinct days")
-    cells = panel.groupBy("spec", "unit").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("t").alias("d"))
-    repeated = cells.agg(F.max(F.col("n") - F.col("d"))).first()[0]
-    if repeated:
+    if any(r["most"] > 1 for r in days):
         raise ValueError("the panel has more than one row for some unit and day")
     return np.sort(np.array([r["t"] for r in days], dtype=np.int64))
 
@@ -274,16 +276,23 @@ def _second_pass(periods: np.ndarray, p: int, fits: dict[str, _Fit]):
     return run
 
 
-def _summed(units: DataFrame, task) -> DataFrame:
-    """Matrix rows added up over tasks; a group holds one row per task."""
+def _summed(rows: DataFrame) -> DataFrame:
+    """Long matrix rows added up over tasks; a group holds one row per task."""
 
-    def add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        total = np.sum(np.stack(rows.column("v").to_numpy()), axis=0)
+    def add(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        total = np.sum(np.stack(part.column("v").to_numpy()), axis=0)
         return pa.table({"spec": [key[0].as_py()], "i": pa.array([key[1].as_py()], pa.int32()),
                          "v": pa.array([total], pa.list_(pa.float64()))})
 
-    schema = "spec string, i int, v array<double>"
-    return units.mapInArrow(task, schema).groupBy("spec", "i").applyInArrow(add, schema)
+    return rows.groupBy("spec", "i").applyInArrow(add, _ROWS)
+
+
+def _summed_small(rows: DataFrame) -> DataFrame:
+    """The same for short rows (one number per pair of regressors), number by number."""
+    numbers = rows.select("spec", "i", F.posexplode("v").alias("j", "n")).groupBy("spec", "i", "j").agg(
+        F.sum("n").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("j", "n")))
+    return numbers.groupBy("spec", "i").agg(ordered.getField("n").alias("v"))
 
 
 def _matrices(rows: DataFrame, size: int) -> dict[str, np.ndarray]:
@@ -351,7 +360,7 @@ def did_regression(panel: DataFrame, specs: dict[str, Column], *, fraction: floa
     control group without the holiday window.  Sparse units are dropped by the
     days of that specification.
     """
-    data = panel.where(F.col("trip_count") > 0).withColumns({
+    data = _panel_copy(panel).withColumns({
         "log_trip_count": F.log("trip_count"),
         "did": F.col("is_treatment") * F.col("is_post"),
     })
@@ -360,6 +369,15 @@ def did_regression(panel: DataFrame, specs: dict[str, Column], *, fraction: floa
     return with_percent_effects(fit)
 
 
+def _panel_copy(panel: DataFrame) -> DataFrame:
+    """The panel cut loose from the fact it was built from.
+
+    The sample filters below read it several times; it has one row per unit
+    and day, the fact behind it one per trip.
+    """
+    return cut_lineage(panel.where(F.col("trip_count") > 0))
+
+
 def with_percent_effects(fit: DataFrame) -> DataFrame:
     return fit.withColumns({
         "pct_effect": C.percent_change(F.col("coef")),
@@ -391,7 +409,7 @@ def did_outcomes(panel: DataFrame, sample: Column, *, fraction: float = 0.7,
         "log_avg_pay": F.log(pay / n),
         "driver_share_of_fare": pay / fare,
     }
-    usable = keep_positive(panel, ["total_base_fare", "total_driver_pay"], dropped)
+    usable = _panel_copy(keep_positive(panel, ["total_base_fare", "total_driver_pay"], dropped))
     kept = presence_filter(usable.where(sample), fraction=fraction)
     long = kept.withColumn("did", F.col("is_treatment") * F.col("is_post")).select(
         "location_id", "trip_date", "did",
@@ -414,9 +432,9 @@ def event_study(panel: DataFrame, policy: C.Moment, reference: int, *, fraction:
     Partial weeks go first, then units sparse in the days that are left.  The
     reference week is listed with a zero coefficient.
     """
-    dated = event_weeks(panel.where(F.col("trip_count") > 0), policy)
+    dated = event_weeks(_panel_copy(panel), policy)
     sample = presence_filter(dated, fraction=fraction).withColumn("log_trip_count", F.log("trip_count"))
-    weeks = sorted(r[0] for r in sample.select("week_relative").distinct().collect())  # one per calendar week
+    weeks = sorted(r[0] for r in dated.select("week_relative").distinct().collect())  # one per calendar week
     estimated = [w for w in weeks if w != reference]
     names = {f"week_{w}": w for w in estimated}
     dummies = {name: C.indicator((F.col("is_treatment") == 1) & (F.col("week_relative") == w))

@@ -135,8 +135,9 @@ def items(lineitem: DataFrame, placed_orders: DataFrame) -> DataFrame:
         context, "l_orderkey")
     # First purchase by aggregation and join: unlike a window over (user, part)
     # it combines before the shuffle, and a skewed pair can still be split.
+    # As an outer join to unique keys it vanishes from plans not asking for ``reordered``.
     first = lines.groupBy("user_id", "product_id").agg(F.min("order_number").alias("_first"))
-    return lines.join(first, ["user_id", "product_id"]).select(
+    return lines.join(first, ["user_id", "product_id"], "left").select(
         F.col("l_orderkey").alias("order_id"), "product_id",
         F.col("l_linenumber").alias("add_to_cart_order"),
         C.indicator(F.col("order_number") > F.col("_first")).alias("reordered"),

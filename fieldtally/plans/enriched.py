@@ -50,16 +50,20 @@ def trips_enriched(trips: DataFrame, zones: DataFrame, start: C.Moment | None =
     )
 
 
-def order_products_enriched(prior: DataFrame, train: DataFrame, products: DataFrame, aisles: DataFrame,
-                            departments: DataFrame, orders: DataFrame) -> DataFrame:
-    """Every ordered item of both sets with product, aisle, department and order context.
+def tagged_items(prior: DataFrame, train: DataFrame) -> DataFrame:
+    """Both item sets as one table that remembers where each row came from."""
+    return prior.withColumn("source_eval_set", F.lit("prior")).unionByName(
+        train.withColumn("source_eval_set", F.lit("train")))
+
+
+def order_products_enriched(items: DataFrame, products: DataFrame, aisles: DataFrame, departments: DataFrame,
+                            orders: DataFrame) -> DataFrame:
+    """Every tagged item with product, aisle, department and order context.
 
     Names are joined to the product table first, so items meet one product
     dimension and the order table instead of three dimensions in turn.
     """
     catalogue = products.join(aisles, "aisle_id").join(departments, "department_id")
-    items = prior.withColumn("source_eval_set", F.lit("prior")).unionByName(
-        train.withColumn("source_eval_set", F.lit("train")))
     context = orders.select("order_id", "user_id", "order_number", "order_dow", "order_hour_of_day",
                             "days_since_prior_order")
     return items.join(catalogue, "product_id").join(context, "order_id").select(

@@ -54,8 +54,8 @@ def _orders(spark, d) -> DataFrame:
     return B.orders(B.table(spark, d, "orders"))
 
 
-def _items(spark, d) -> DataFrame:
-    return B.items(B.table(spark, d, "lineitem"), _orders(spark, d))
+def _items(spark, d, orders: DataFrame | None = None) -> DataFrame:
+    return B.items(B.table(spark, d, "lineitem"), orders or _orders(spark, d))
 
 
 def _catalogue(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -67,17 +67,15 @@ def _enriched_trips(spark, d) -> DataFrame:
     return enriched.trips_enriched(staging.trips(_trips(spark, d)), staging.zones(_zones(spark, d)), *B.SCOPE)
 
 
-def _enriched_items(spark, d) -> DataFrame:
-    orders = _orders(spark, d)
-    items = B.items(B.table(spark, d, "lineitem"), orders)
-    prior = staging.order_products(items.where(F.col("source_eval_set") == "prior"))
-    train = staging.order_products(items.where(F.col("source_eval_set") == "train"))
-    return enriched.order_products_enriched(prior, train, *_catalogue(spark, d), orders)
+def _tagged_items(spark, d, orders: DataFrame | None = None) -> DataFrame:
+    """Items as staged and tagged by set, still with the order context they were derived from."""
+    return _items(spark, d, orders).withColumn("is_reordered", F.col("reordered") == 1).drop("reordered")
 
 
-def _tagged_items(spark, d) -> DataFrame:
-    """Items with their reorder flag as the marts read it; order context is already on them."""
-    return _items(spark, d).withColumn("is_reordered", F.col("reordered") == 1)
+def _enriched_items(spark, d) -> DataFrame:
+    orders = _orders(spark, d)
+    items = _tagged_items(spark, d, orders).drop("user_id", "order_number")
+    return enriched.order_products_enriched(items, *_catalogue(spark, d), orders)
 
 
 def _classes(spark, d) -> DataFrame:
@@ -312,8 +310,9 @@ def reorder_rate_by_tenure(spark, d):
 
 @query
 def rfm_segmentation(spark, d):
-    prior = _items(spark, d).where(F.col("source_eval_set") == "prior")
-    return cohorts.rfm_segmentation(_orders(spark, d), prior, B.GAP_TIERS)
+    orders = _orders(spark, d)
+    prior = _items(spark, d, orders).where(F.col("source_eval_set") == "prior")
+    return cohorts.rfm_segmentation(orders, prior, B.GAP_TIERS)
 
 
 @query
@@ -352,12 +351,14 @@ def hourly_demand(spark, d):
 
 @query
 def user_rfm(spark, d):
-    return marts.user_rfm(_orders(spark, d), _items(spark, d), B.GAP_TIERS)
+    orders = _orders(spark, d)
+    return marts.user_rfm(orders, _items(spark, d, orders), B.GAP_TIERS)
 
 
 @query
 def order_sequence_summary(spark, d):
-    mart = marts.order_sequence_summary(_orders(spark, d), _tagged_items(spark, d))
+    orders = _orders(spark, d)
+    mart = marts.order_sequence_summary(orders, _tagged_items(spark, d, orders))
     # Order numbers without items have no count; as a double it compares the same in both engines.
     return mart.withColumn("total_items", F.col("total_items").cast("double"))
 
@@ -519,14 +520,15 @@ def dq_unique_combination(spark, d):
 def dq_reconcile(spark, d):
     trips, enriched_trips = _scoped_trips(spark, d), _enriched_trips(spark, d)
     rows = F.count(F.lit(1)).alias("n")
-    items = _items(spark, d)
+    orders = _orders(spark, d)
+    items = _items(spark, d, orders)
     return quality.report(
         quality.reconcile("mart_total", "daily_summary", "trip_count",
                           demand.daily_counts(enriched_trips, "pickup_datetime").agg(F.sum("trip_count")),
                           trips.agg(rows)),
         quality.reconcile("same_grain", "fct_trips", "*", enriched_trips.agg(rows), trips.agg(rows)),
         quality.reconcile("mart_total", "user_rfm", "monetary_proxy_items",
-                          marts.user_rfm(_orders(spark, d), items, B.GAP_TIERS).agg(F.sum("monetary_proxy_items")),
+                          marts.user_rfm(orders, items, B.GAP_TIERS).agg(F.sum("monetary_proxy_items")),
                           items.agg(rows)))
 
 

@@ -22,32 +22,48 @@ def _verdict(failures: Column, warn_above: int = 0, error_above: int = 0) -> Col
     )
 
 
-def _result(failures: DataFrame, check: str, table: str, column: str, **limits: int) -> DataFrame:
+def _result(failures: DataFrame, check: str, table: str, column: str) -> DataFrame:
     n = F.coalesce(F.col("failures"), F.lit(0)).cast("bigint")
     return failures.select(
         F.lit(check).alias("check"), F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
-        n.alias("failures"), _verdict(n, **limits).alias("status"))
+        n.alias("failures"), _verdict(n).alias("status"))
 
 
-def _one_pass(df: DataFrame, check: str, table: str, tests: Mapping[str, Column]) -> DataFrame:
-    """One result row per column from a single aggregation of its failing rows."""
-    names = list(tests)
-    counted = df.agg(*[F.count(F.when(bad, F.lit(1))).alias(f"_{i}") for i, bad in enumerate(tests.values())])
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"_{i}").alias("failures")) for i, c in enumerate(names)]
-    return counted.select(F.inline(F.array(*rows))).select(
-        F.lit(check).alias("check"), F.lit(table).alias("table_name"), "column_name", "failures",
-        _verdict(F.col("failures")).alias("status"))
+def row_checks(df: DataFrame, table: str, *, not_null: Sequence[str] = (),
+               accepted: Mapping[str, Sequence] | None = None,
+               thresholds: Mapping[str, tuple[Column, int, int]] | None = None) -> DataFrame:
+    """All checks of a table that look at one row at a time, counted in one pass.
+
+    ``not_null``: rows missing a value.  ``accepted``: rows holding a value
+    outside the list; a missing value passes.  ``thresholds``: column to
+    (condition, warn above, error above).
+    """
+    tests = [("not_null", c, F.col(c).isNull(), 0, 0) for c in not_null]
+    tests += [("accepted_values", c, ~F.col(c).isin(list(v)), 0, 0) for c, v in (accepted or {}).items()]
+    tests += [("threshold", c, *limits) for c, limits in (thresholds or {}).items()]
+    counted = df.agg(*[F.count(F.when(t[2], F.lit(1))).alias(f"_{i}") for i, t in enumerate(tests)])
+    rows = [
+        F.struct(F.lit(check).alias("check"), F.lit(table).alias("table_name"), F.lit(c).alias("column_name"),
+                 F.col(f"_{i}").alias("failures"), _verdict(F.col(f"_{i}"), warn, error).alias("status"))
+        for i, (check, c, _, warn, error) in enumerate(tests)
+    ]
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def not_null(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     """Rows missing a value, per column."""
-    return _one_pass(df, "not_null", table, {c: F.col(c).isNull() for c in columns})
+    return row_checks(df, table, not_null=columns)
 
 
 def accepted_values(df: DataFrame, table: str, accepted: Mapping[str, Sequence]) -> DataFrame:
     """Rows holding a value outside the list, per column; a missing value passes."""
-    return _one_pass(df, "accepted_values", table,
-                     {c: ~F.col(c).isin(list(values)) for c, values in accepted.items()})
+    return row_checks(df, table, accepted=accepted)
+
+
+def threshold(df: DataFrame, table: str, column: str, bad: Column, *, warn_above: int = 0,
+              error_above: int = 20) -> DataFrame:
+    """Rows meeting a condition, tolerated with a warning up to a known number."""
+    return row_checks(df, table, thresholds={column: (bad, warn_above, error_above)})
 
 
 def unique(df: DataFrame, table: str, column: str) -> DataFrame:
@@ -91,12 +107,5 @@ def partition_identity(df: DataFrame, table: str, unit: str, column: str, parts:
     return _result(gap, "partition_identity", table, column)
 
 
-def threshold(df: DataFrame, table: str, column: str, bad: Column, *, warn_above: int = 0,
-              error_above: int = 20) -> DataFrame:
-    """Rows meeting a condition, tolerated with a warning up to a known number."""
-    return _result(df.agg(F.count(F.when(bad, F.lit(1))).alias("failures")), "threshold", table, column,
-                   warn_above=warn_above, error_above=error_above)
-
-
 def report(*results: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, results)

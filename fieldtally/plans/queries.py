@@ -541,8 +541,8 @@ def dq_partition_identity(spark, d):
 
 @query
 def dq_threshold(spark, d):
-    trips = _trips(spark, d)
-    return quality.report(
-        quality.threshold(trips, "trips", "trip_time", F.col("trip_time") <= 0),
-        quality.threshold(trips, "trips", "trip_miles", F.col("trip_miles") > 30),
-        quality.threshold(trips, "trips", "base_passenger_fare", F.col("base_passenger_fare") < 0))
+    return quality.row_checks(_trips(spark, d), "trips", thresholds={
+        "trip_time": (F.col("trip_time") <= 0, 0, 20),
+        "trip_miles": (F.col("trip_miles") > 30, 0, 20),
+        "base_passenger_fare": (F.col("base_passenger_fare") < 0, 0, 20),
+    })

@@ -304,7 +304,12 @@ def _matrices(rows: DataFrame, size: int) -> dict[str, np.ndarray]:
 
 def _solve(m: np.ndarray, t: int, p: int) -> _Fit:
     dx, dy = m[:t, t:t + p], m[:t, t + p]
-    inverse_days = np.linalg.pinv(m[:t, :t], hermitian=True)
+    # Days are rank deficient by one per group of days no unit connects.  Scaled
+    # to a unit diagonal, rounding leaves those eigenvalues near 1e-14, well
+    # below the cut-off; any generalised inverse serves as well as another.
+    scale = np.sqrt(np.where(np.diag(m[:t, :t]) > 0, np.diag(m[:t, :t]), 1.0))
+    scale = np.outer(scale, scale)
+    inverse_days = np.linalg.pinv(m[:t, :t] / scale, rcond=1e-11, hermitian=True) / scale
     day_x, day_y = inverse_days @ dx, inverse_days @ dy
     gram = m[t:t + p, t:t + p] - dx.T @ day_x
     cross = m[t:t + p, t + p] - dx.T @ day_y

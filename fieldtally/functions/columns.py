@@ -103,12 +103,17 @@ def elapsed_seconds(start: str | Column, end: str | Column) -> Column:
 
 
 def guarded_ratio(numerator: Column, denominator: Column) -> Column:
-    """Double division giving NULL where the denominator is zero."""
-    return numerator.cast("double") / F.nullif(denominator.cast("double"), F.lit(0.0))
+    """Double division giving NULL where the denominator is zero.
+
+    Written as a plain condition: ``nullif`` would add a projection of its
+    own, which keeps a sort and limit below it from becoming a top-k.
+    """
+    return F.when(denominator != F.lit(0), numerator.cast("double") / denominator.cast("double"))
 
 
 def percent(numerator: Column, denominator: Column, digits: int | None = 2) -> Column:
-    value = F.lit(100.0) * numerator.cast("double") / F.nullif(denominator.cast("double"), F.lit(0.0))
+    value = F.when(denominator != F.lit(0),
+                   F.lit(100.0) * numerator.cast("double") / denominator.cast("double"))
     return value if digits is None else F.round(value, digits)
 
 

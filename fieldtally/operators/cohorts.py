@@ -202,8 +202,8 @@ def basket_composition(items: DataFrame, products: DataFrame, departments: DataF
                        product: str = "product_id", department: str = "department_id", label: str = "department",
                        reordered: str = "reordered", digits: int | None = 2) -> DataFrame:
     """Share of all items and reorder rate per department, optionally only the k largest."""
-    counted = _per_product(items, product, reordered)
-    everything = counted.agg(F.sum("_n")).scalar()  # from the products, not from the items again
+    counted = cut_lineage(_per_product(items, product, reordered))  # items are read once, for rows and total
+    everything = counted.agg(F.sum("_n")).scalar()
     grouped = (
         counted.join(products.select(product, department), product)
         .groupBy(department).agg(F.sum("_n").alias("_n"), F.sum("_r").alias("_r"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.functions import columns as C
 from fieldtally.operators import ordering
+from fieldtally.session import cut_lineage
 
 
 def daily_counts(df: DataFrame, ts: str, *, day: str = "trip_date", weekday: str | None = "day_of_week",
@@ -105,8 +106,10 @@ def _largest(df: DataFrame, count: str, labels: Mapping[str, str], k: int) -> Da
 def topk_share(df: DataFrame, key: str, dim: DataFrame, dim_key: str, labels: Mapping[str, str], *, k: int = 10,
                count: str = "trip_count", share: str = "pct_of_all_trips", digits: int | None = 2) -> DataFrame:
     """The k largest labels and their percentage of all rows, matched or not."""
-    per_key = _per_key(df, key)
-    total = per_key.agg(F.sum("_n")).scalar()  # from the keys, not from the rows again
+    # The join below filters keys, the total does not, so the planner would read
+    # the fact for each.  Cut here, it is read once, down to one row per key.
+    per_key = cut_lineage(_per_key(df, key))
+    total = per_key.agg(F.sum("_n")).scalar()
     top = _largest(_labelled_counts(per_key, dim, dim_key, labels, count), count, labels, k)
     return top.withColumn(share, C.percent(F.col(count), total, digits))
 
@@ -192,8 +195,8 @@ def weekday_weekend_curve(df: DataFrame, ts: str) -> DataFrame:
     The fact is read once, to one row per day and hour; both day counts and
     the curve come from that small table.
     """
-    cells = df.groupBy(F.to_date(ts).alias("_day"), F.hour(ts).cast("bigint").alias("hour_of_day")).agg(
-        F.count(F.lit(1)).alias("_n")).withColumn("_weekend", C.is_weekend("_day"))
+    cells = cut_lineage(df.groupBy(F.to_date(ts).alias("_day"), F.hour(ts).cast("bigint").alias("hour_of_day")).agg(
+        F.count(F.lit(1)).alias("_n"))).withColumn("_weekend", C.is_weekend("_day"))
     days = cells.agg(
         F.struct(
             F.countDistinct(F.when(F.coalesce("_weekend", F.lit(False)), F.col("_day"))).alias("weekend"),

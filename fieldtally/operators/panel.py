@@ -114,7 +114,9 @@ def days_present(panel: DataFrame, by: Sequence[str] = (), *, unit: str = "locat
     present = panel.groupBy(*by, unit).agg(F.countDistinct(day).alias("days_present"))
     if not by:
         return present.withColumn("n_days", panel.agg(F.countDistinct(day)).scalar())
-    return present.join(panel.groupBy(*by).agg(F.countDistinct(day).alias("n_days")), by)
+    lengths = panel.groupBy(*by).agg(F.countDistinct(day).alias("n_days"))
+    # One row per sample.  A shuffle on the sample would put all its units in one task.
+    return present.join(F.broadcast(lengths), by)
 
 
 def presence_filter(panel: DataFrame, by: Sequence[str] = (), *, fraction: float = 0.7, unit: str = "location_id",
@@ -132,7 +134,8 @@ def event_weeks(panel: DataFrame, policy: C.Moment, *, day: str = "trip_date", o
     """Adds weeks since the policy date and keeps the weeks of which all seven days occur."""
     dated = panel.withColumn(out, C.weeks_since(day, policy))
     full = dated.groupBy(out).agg(F.countDistinct(day).alias("_days")).where(F.col("_days") == 7).select(out)
-    return dated.join(full, out, "left_semi")
+    # One row per calendar week.  A shuffle on the week would make as many tasks as weeks.
+    return dated.join(F.broadcast(full), out, "left_semi")
 
 
 def with_specs(panel: DataFrame, specs: dict[str, Column], out: str = "spec") -> DataFrame:

@@ -121,7 +121,7 @@ def pretrend_test(series: DataFrame, specs: dict[str, Column], *, treated: str =
     """
     sample = with_specs(series, specs)
     start = sample.groupBy("spec").agg(F.min("trip_date").alias("_first"))
-    dated = sample.join(start, "spec").withColumns({
+    dated = sample.join(F.broadcast(start), "spec").withColumns({  # one row per specification
         "is_treatment": C.indicator(F.col("zone_group") == treated),
         "days_since_start": F.datediff("trip_date", "_first"),
     }).withColumn("is_treatment:days_since_start", F.col("is_treatment") * F.col("days_since_start"))

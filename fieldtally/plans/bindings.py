@@ -132,12 +132,14 @@ def items(lineitem: DataFrame, placed_orders: DataFrame) -> DataFrame:
         F.col("order_id").alias("l_orderkey"), "user_id", "order_number",
         F.when(F.col("eval_set") == "prior", "prior").otherwise("train").alias("source_eval_set"))
     lines = lineitem.select("l_orderkey", F.col("l_partkey").alias("product_id"), "l_linenumber").join(
-        context, "l_orderkey")
+        context, "l_orderkey").withColumn("_pair", F.struct("user_id", "product_id"))
     # First purchase by aggregation and join: unlike a window over (user, part)
     # it combines before the shuffle, and a skewed pair can still be split.
-    # As an outer join to unique keys it vanishes from plans not asking for ``reordered``.
-    first = lines.groupBy("user_id", "product_id").agg(F.min("order_number").alias("_first"))
-    return lines.join(first, ["user_id", "product_id"], "left").select(
+    # A struct is never null, so both sides of the join read the same rows and
+    # share their shuffles, and the outer join to unique keys vanishes from
+    # plans that do not ask for ``reordered``.
+    first = lines.groupBy("_pair").agg(F.min("order_number").alias("_first"))
+    return lines.join(first, "_pair", "left").select(
         F.col("l_orderkey").alias("order_id"), "product_id",
         F.col("l_linenumber").alias("add_to_cart_order"),
         C.indicator(F.col("order_number") > F.col("_first")).alias("reordered"),

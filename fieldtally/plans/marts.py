@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldtally.functions import columns as C
 from fieldtally.operators import cohorts, demand
 from fieldtally.operators.ordering import MAX_ROWS_PER_TASK
+from fieldtally.session import cut_lineage
 
 
 def daily_trip_summary(trips: DataFrame) -> DataFrame:
@@ -84,8 +85,8 @@ def _share(items: DataFrame, label: str, total: str) -> DataFrame:
 
 def department_basket_composition(items: DataFrame) -> DataFrame:
     """Every department with its share of all items and its reorder rate."""
-    counted = _share(items, "department", "total_items")
-    everything = counted.agg(F.sum("total_items")).scalar()  # from the groups, not from the items again
+    counted = cut_lineage(_share(items, "department", "total_items"))  # items are read once, for rows and total
+    everything = counted.agg(F.sum("total_items")).scalar()
     return counted.select(
         "department", "total_items",
         C.percent(F.col("total_items"), everything).alias("pct_of_all_items"),

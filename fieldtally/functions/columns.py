@@ -89,17 +89,17 @@ def day_type(c: str | Column) -> Column:
 
 
 def _whole_seconds(c: Column) -> Column:
-    # A difference of zone-less timestamps never consults the session zone,
-    # so local times inside a daylight-saving gap keep their own clock value.
-    since = (c - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("interval second")
-    return F.floor(since.cast("decimal(20,6)"))
+    # Built from the clock fields of a zone-less timestamp, which never consult
+    # the session zone: local times inside a daylight-saving gap stay as written.
+    days = F.unix_date(F.to_date(c)).cast("bigint")
+    return days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
 
 
 def elapsed_seconds(start: str | Column, end: str | Column) -> Column:
     """Second boundaries crossed between two timestamps (not elapsed time truncated)."""
     start = as_column(start).cast("timestamp_ntz")
     end = as_column(end).cast("timestamp_ntz")
-    return (_whole_seconds(end) - _whole_seconds(start)).cast("bigint")
+    return _whole_seconds(end) - _whole_seconds(start)
 
 
 def guarded_ratio(numerator: Column, denominator: Column) -> Column:

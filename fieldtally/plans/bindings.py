@@ -56,7 +56,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _seconds(c: Column) -> Column:
-    return F.make_dt_interval(secs=c.cast("decimal(18,6)"))
+    return F.expr("interval '1' second") * c
 
 
 def trips(events: DataFrame) -> DataFrame:

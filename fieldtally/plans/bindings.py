@@ -132,14 +132,14 @@ def items(lineitem: DataFrame, placed_orders: DataFrame) -> DataFrame:
         F.col("order_id").alias("l_orderkey"), "user_id", "order_number",
         F.when(F.col("eval_set") == "prior", "prior").otherwise("train").alias("source_eval_set"))
     lines = lineitem.select("l_orderkey", F.col("l_partkey").alias("product_id"), "l_linenumber").join(
-        context, "l_orderkey").withColumn("_pair", F.struct("user_id", "product_id"))
+        context, "l_orderkey").withColumns({"_u": _never_null("user_id"), "_p": _never_null("product_id")})
     # First purchase by aggregation and join: unlike a window over (user, part)
     # it combines before the shuffle, and a skewed pair can still be split.
-    # A struct is never null, so both sides of the join read the same rows and
-    # share their shuffles, and the outer join to unique keys vanishes from
-    # plans that do not ask for ``reordered``.
-    first = lines.groupBy("_pair").agg(F.min("order_number").alias("_first"))
-    return lines.join(first, "_pair", "left").select(
+    # Keys that cannot be null get no null filter, so both sides of the join
+    # read the same rows and share their shuffles; and the outer join to unique
+    # keys vanishes from plans that do not ask for ``reordered``.
+    first = lines.groupBy("_u", "_p").agg(F.min("order_number").alias("_first"))
+    return lines.join(first, ["_u", "_p"], "left").select(
         F.col("l_orderkey").alias("order_id"), "product_id",
         F.col("l_linenumber").alias("add_to_cart_order"),
         C.indicator(F.col("order_number") > F.col("_first")).alias("reordered"),
@@ -147,6 +147,10 @@ def items(lineitem: DataFrame, placed_orders: DataFrame) -> DataFrame:
     )
 
 
+def _never_null(key: str) -> Column:
+    return F.coalesce(key, F.lit(-(2**63)).cast("bigint"))  # no table has this key
+
+
 def products(part: DataFrame) -> DataFrame:
     return part.select(
         F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"),

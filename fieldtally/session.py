@@ -20,6 +20,8 @@ def build_session(app: str = "fieldtally", master: str | None = None, **conf: st
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Joins whose measured partitions all fit may hash instead of sort.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     settings.update(conf)

@@ -12,7 +12,8 @@ estimated from
 and the cross products of the demeaned columns with each other and with the
 days.  A first pass over units sums these; a second one, knowing the day
 coefficients, forms residuals and each unit's score for clustered errors.
-No dummy matrix of the whole panel exists at any point.
+No dummy matrix of the whole panel exists at any point.  Panels with more days
+than the driver should solve for are demeaned by unit and day in turn instead.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ from fieldtally.functions import distributions as dist
 from fieldtally.operators.panel import TREATMENT, event_weeks, presence_filter, with_specs
 from fieldtally.session import cut_lineage
 
-# A unit has one row per day, so this also bounds what one unit's group holds.
+# Up to this many days their cross products are solved on the driver, and a
+# unit, having one row per day, is handled as one group.  Beyond it both
+# effects are swept out by repeated demeaning instead.
 MAX_PERIODS = 3000
+MAX_SWEEPS = 1000
 _CELLS_PER_BLOCK = 1_000_000
 _ROWS = "spec string, i int, v array<double>"  # row i of a matrix per specification
 
@@ -134,18 +138,18 @@ def pretrend_test(series: DataFrame, specs: dict[str, Column], *, treated: str =
 class _Fit:
     """What the second pass needs to know about one specification."""
 
-    day_y: np.ndarray      # day coefficients of the outcome
-    day_x: np.ndarray      # and of each regressor (days x regressors)
     beta: np.ndarray
     kept: list[int]
     inverse: np.ndarray
     n: int
     units: int
     days: int
+    day_y: np.ndarray | None = None  # day coefficients of the outcome
+    day_x: np.ndarray | None = None  # and of each regressor (days x regressors)
 
 
 def two_way_fixed_effects(df: DataFrame, unit: str, day: str, y: str, xs: Sequence[str], *, by: str | None = None,
-                          debias: bool = True, level: float = 0.95) -> DataFrame:
+                          debias: bool = True, level: float = 0.95, max_periods: int = MAX_PERIODS) -> DataFrame:
     """Coefficients of ``xs`` given unit and day effects, errors clustered by unit.
 
     One result row per specification (value of ``by``) and regressor.  The
@@ -162,30 +166,35 @@ def two_way_fixed_effects(df: DataFrame, unit: str, day: str, y: str, xs: Sequen
         spec.alias("spec"), F.col(unit).alias("unit"), period.cast("bigint").alias("t"),
         F.col(y).cast("double").alias("y"),
         F.array(*[F.col(c).cast("double") for c in xs]).alias("x"),
-    ).where(F.col("y").isNotNull() & ~F.isnan("y") & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))))
-    periods = _periods(panel)
-    if not len(periods):
-        return df.sparkSession.createDataFrame([], _FE_RESULT)
-
-    units = panel.groupBy("spec", "unit").agg(F.collect_list(F.struct("t", "y", "x")).alias("cells"))
-    units = units.select("spec", "cells")
-    moments = _summed(units.mapInArrow(_first_pass(periods, len(xs)), _ROWS))
-    fits = {s: _solve(m, len(periods), len(xs)) for s, m in _matrices(moments, len(periods) + len(xs) + 3).items()}
-    scores = _summed_small(units.mapInArrow(_second_pass(periods, len(xs), fits), _ROWS))
-    meats = _matrices(scores, len(xs))
+    ).where(F.col("unit").isNotNull() & F.col("t").isNotNull() & F.col("y").isNotNull() & ~F.isnan("y")
+            & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))))
+    periods = _periods(panel, max_periods)
+    if periods is None:
+        fits, meats = _fit_by_sweeping(panel, len(xs))
+    else:
+        fits, meats = _fit_by_days(panel, periods, len(xs))
     rows = [r for s in sorted(fits) for r in _table(s, xs, fits[s], meats[s], debias, level)]
     return df.sparkSession.createDataFrame(rows, _FE_RESULT)
 
 
-def _periods(panel: DataFrame) -> np.ndarray:
-    """The days of the panel, after checking that no unit has two rows for one of them."""
+def _fit_by_days(panel: DataFrame, periods: np.ndarray, p: int) -> tuple[dict[str, _Fit], dict[str, np.ndarray]]:
+    """Two passes over units, with the day effects solved on the driver in between."""
+    cells = F.collect_list(F.struct("t", "y", "x")).alias("cells")  # a unit's days: max_periods at most
+    units = panel.groupBy("spec", "unit").agg(cells).select("spec", "cells")
+    moments = _summed(units.mapInArrow(_first_pass(periods, p), _ROWS))
+    fits = {s: _solve(m, len(periods), p) for s, m in _matrices(moments, len(periods) + p + 3).items()}
+    scores = _summed_small(units.mapInArrow(_second_pass(periods, p, fits), _ROWS))
+    return fits, _matrices(scores, p)
+
+
+def _periods(panel: DataFrame, most: int) -> np.ndarray | None:
+    """The days of the panel, or None if there are more than ``most``; no unit may have two rows for a day."""
     cells = panel.groupBy("spec", "unit", "t").count()
-    days = cells.groupBy("t").agg(F.max("count").alias("most")).limit(MAX_PERIODS + 1).collect()
-    if len(days) > MAX_PERIODS:
-        raise ValueError(f"more than {MAX_PERIODS} distinct days")
-    if any(r["most"] > 1 for r in days):
+    days = cells.groupBy("t").agg(F.max("count").alias("most")).limit(most + 1).collect()
+    many = len(days) > most
+    if any(r["most"] > 1 for r in days) or (many and cells.where(F.col("count") > 1).limit(1).count()):
         raise ValueError("the panel has more than one row for some unit and day")
-    return np.sort(np.array([r["t"] for r in days], dtype=np.int64))
+    return None if many else np.sort(np.array([r["t"] for r in days], dtype=np.int64))
 
 
 def _blocks(batch: pa.RecordBatch, periods: np.ndarray, p: int) -> Iterator[tuple]:
@@ -313,21 +322,76 @@ def _solve(m: np.ndarray, t: int, p: int) -> _Fit:
     day_x, day_y = inverse_days @ dx, inverse_days @ dy
     gram = m[t:t + p, t:t + p] - dx.T @ day_x
     cross = m[t:t + p, t + p] - dx.T @ day_y
-    raw = m[t + p + 1, t:t + p]
+    n, units = int(round(m[t + p + 2, 0])), int(round(m[t + p + 2, 1]))
+    days = int((m[t + p + 1, :t] > 0).sum())
+    return _Fit(*_estimate(gram, cross, m[t + p + 1, t:t + p]), n, units, days, day_y, day_x)
+
+
+def _estimate(gram: np.ndarray, cross: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """Coefficients, the regressors kept, and the inverse of their cross products.
+
+    A regressor stays if, beside the effects and those before it, more than a
+    rounding error is left of its raw sum of squares.
+    """
     kept: list[int] = []
-    for k in range(p):  # a regressor stays if something is left beside those before it
+    for k in range(len(raw)):
         left = gram[k, k]
         if kept:
-            g = gram[np.ix_(kept, kept)]
-            left -= gram[k, kept] @ np.linalg.solve(g, gram[kept, k])
+            left -= gram[k, kept] @ np.linalg.solve(gram[np.ix_(kept, kept)], gram[kept, k])
         if left > 1e-9 * max(raw[k], 1e-300):
             kept.append(k)
     inverse = np.linalg.inv(gram[np.ix_(kept, kept)]) if kept else np.zeros((0, 0))
-    beta = np.zeros(p)
+    beta = np.zeros(len(raw))
     beta[kept] = inverse @ cross[kept]
-    n, units = int(round(m[t + p + 2, 0])), int(round(m[t + p + 2, 1]))
-    days = int((m[t + p + 1, :t] > 0).sum())
-    return _Fit(day_y, day_x, beta, kept, inverse, n, units, days)
+    return beta, kept, inverse
+
+
+def _fit_by_sweeping(panel: DataFrame, p: int, tolerance: float = 1e-11) -> tuple[dict[str, _Fit], dict[str, np.ndarray]]:
+    """The same estimates for any number of days: demean by unit and by day until neither moves.
+
+    Every step is an aggregation joined back on its own key, and the panel is
+    cut loose after each round, so plans do not grow with the rounds.
+    """
+    names = [f"v{i}" for i in range(p + 1)]
+    data = cut_lineage(panel.select("spec", "unit", "t", F.col("y").alias("v0"),
+                                    *[F.col("x")[i].alias(f"v{i + 1}") for i in range(p)]))
+    size = {r["spec"]: r for r in data.groupBy("spec").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("unit").alias("units"), F.countDistinct("t").alias("days"),
+        *[F.sum(F.col(c) * F.col(c)).alias(c) for c in names]).collect()}  # one row per specification
+
+    def means(df: DataFrame, key: str) -> DataFrame:
+        return df.groupBy("spec", key).agg(*[F.avg(c).alias(f"m_{c}") for c in names], F.count(F.lit(1)).alias("_n"))
+
+    def without(df: DataFrame, key: str) -> DataFrame:
+        return df.join(means(df, key), ["spec", key]).select(
+            "spec", "unit", "t", *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in names])
+
+    for _ in range(MAX_SWEEPS):
+        data = cut_lineage(without(without(data, "unit"), "t"))
+        moved = means(data, "unit").groupBy("spec").agg(
+            *[F.sum(F.col("_n") * F.pow(f"m_{c}", F.lit(2.0))).alias(c) for c in names]).collect()
+        if all(r[c] <= tolerance**2 * max(size[r["spec"]][c], 1e-300) for r in moved for c in names):
+            break
+    else:
+        raise RuntimeError(f"the effects did not separate within {MAX_SWEEPS} sweeps")
+
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    fits = {}
+    for row in data.groupBy("spec").agg(
+            *[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"g_{i}_{j}") for i, j in pairs]).collect():
+        gram, known = _symmetric(row, "g", p + 1), size[row["spec"]]
+        raw = np.array([known[c] for c in names[1:]])
+        fits[row["spec"]] = _Fit(*_estimate(gram[1:, 1:], gram[1:, 0], raw), known["n"], known["units"], known["days"])
+
+    betas = panel.sparkSession.createDataFrame(
+        [(s, [float(b) for b in f.beta]) for s, f in fits.items()], "spec string, _beta array<double>")
+    error = F.col("v0") - sum((F.col(f"v{k + 1}") * F.col("_beta")[k] for k in range(p)), F.lit(0.0))
+    scores = data.join(F.broadcast(betas), "spec").groupBy("spec", "unit").agg(  # one row per specification
+        *[F.sum(F.col(f"v{k + 1}") * error).alias(f"s{k}") for k in range(p)])
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    meats = {r["spec"]: _symmetric(r, "m", p) for r in scores.groupBy("spec").agg(
+        *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m_{i}_{j}") for i, j in pairs]).collect()}
+    return fits, meats
 
 
 def _table(spec: str, xs: list[str], fit: _Fit, meat: np.ndarray, debias: bool, level: float) -> list[tuple]:

@@ -46,6 +46,19 @@ def test_unbalanced_panel_equals_dummy_regression(spark, xs):
         assert (row.ci_high - row.coef) / s == pytest.approx(1.9624, abs=2e-3)
 
 
+def test_sweeping_gives_the_same_estimates(spark):
+    p = make_panel(units=30, days=12).assign(twice=lambda q: q.w * 2)
+    df = spark.createDataFrame(p)
+    want = regression.two_way_fixed_effects(df, "z", "d", "y", ["did", "treat", "w", "twice"]).collect()
+    got = regression.two_way_fixed_effects(df, "z", "d", "y", ["did", "treat", "w", "twice"], max_periods=11).collect()
+    for a, b in zip(want, got):
+        assert (a.term, a.absorbed, a.n_obs, a.n_zones, a.n_days) == (b.term, b.absorbed, b.n_obs, b.n_zones, b.n_days)
+        if not a.absorbed:
+            assert b.coef == pytest.approx(a.coef, rel=1e-8) and b.std_error == pytest.approx(a.std_error, rel=1e-8)
+    with pytest.raises(ValueError, match="more than one row"):
+        regression.two_way_fixed_effects(df.union(df.limit(1)), "z", "d", "y", ["did"], max_periods=11)
+
+
 def test_disconnected_days_do_not_break_the_solve(spark):
     p = make_panel(filled=1.0)
     p = p[(p.z < 20) == (p.d < date(2024, 1, 16))].assign(w=lambda q: q.w)

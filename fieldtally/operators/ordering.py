@@ -205,7 +205,7 @@ def _split_sequence(df, keys, order, number, previous, running, last) -> DataFra
     joined = stamped.withColumn("_nth", F.row_number().over(local))
     joined = joined.withColumns({f"_prev_{out}": F.lag(src).over(local) for out, src in previous.items()})
     joined = joined.withColumns({f"_run_{out}": F.sum(src).over(up_to_here) for out, src in running.items()})
-    joined = joined.join(F.broadcast(carried), same)  # heavy keys x partitions
+    joined = joined.join(F.broadcast(carried), same)  # at most one row per partition and per heavy key
     added = {}
     if number:
         added[number] = (F.col("_rows_before") + F.col("_nth")).cast("int")

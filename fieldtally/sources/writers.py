@@ -38,9 +38,11 @@ def load_months(df: DataFrame, path: str, ts: str, months: Sequence[str], *, for
     have = set() if force else months_present(df.sparkSession, path)
     todo = [m for m in months if m not in have]
     if todo:
-        first = F.to_timestamp_ntz(F.concat(F.lit(min(todo)), F.lit("-01")))
+        first = F.to_date(F.lit(f"{min(todo)}-01"))
+        after = F.add_months(F.to_date(F.lit(f"{max(todo)}-01")), 1)
         # The range on the bare timestamp reaches the scan; the exact months do not.
-        fresh = with_month(df.where(F.col(ts) >= first), ts).where(F.col("month").isin(todo))
+        scoped = df.where((F.col(ts) >= first.cast("timestamp_ntz")) & (F.col(ts) < after.cast("timestamp_ntz")))
+        fresh = with_month(scoped, ts).where(F.col("month").isin(todo))
         (
             fresh.hint("rebalance", F.col("month"))  # files of a sensible size, a large month in several
             .write.mode("overwrite")

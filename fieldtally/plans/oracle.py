@@ -12,8 +12,24 @@ from fieldtally.plans import bindings as B
 _SQL: dict[str, str] = {}
 
 
+# Date columns, shown as midnight timestamps like those of the queries.
+_DATES = {
+    "sink_roundtrip": ["trip_date"], "incremental_month_load": ["first_day", "last_day"],
+    "trips_enriched": ["trip_date"], "daily_counts": ["trip_date"], "rolling_7d_avg": ["trip_date"],
+    "daily_summary": ["trip_date"], "did_panel": ["trip_date"], "group_daily_series": ["trip_date"],
+    "indexed_series": ["trip_date"], "event_weeks": ["first_day", "last_day"],
+}
+
+
 def all_oracles() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: _shown(sql, _DATES.get(name, ())) for name, sql in _SQL.items()}
+
+
+def _shown(sql: str, dates) -> str:
+    if not dates:
+        return sql
+    casts = ", ".join(f"CAST({c} AS TIMESTAMP) AS {c}" for c in dates)
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})"
 
 
 def _r(expr: str, digits: int) -> str:

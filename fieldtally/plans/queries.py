@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldtally.functions import columns as C
 from fieldtally.operators import cohorts, demand, panel, quality, regression
@@ -24,7 +25,15 @@ _REGISTRY: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    _REGISTRY[fn.__name__] = fn
+    """Register a query; its dates are shown as midnight timestamps, which both engines hand over alike."""
+
+    def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = fn(spark, sf_dir)
+        dates = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DateType)]
+        return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in dates})
+
+    shown.__doc__ = fn.__doc__
+    _REGISTRY[fn.__name__] = shown
     return fn
 
 

@@ -67,12 +67,21 @@ def user_rfm(orders: DataFrame, items: DataFrame, tier: Mapping | None = None) -
 
 def order_sequence_summary(orders: DataFrame, items: DataFrame, *,
                            max_rows_per_task: int = MAX_ROWS_PER_TASK) -> DataFrame:
-    """One row per order number: retention, reorder rate and mean running volume."""
-    prior = items.where(F.col("source_eval_set") == "prior")
-    volume = cohorts.mean_running_volume(prior, max_rows_per_task=max_rows_per_task)
+    """One row per order number: retention, reorder rate and mean running volume.
+
+    Items are read once, down to one row per order, which gives both the
+    reorder rate and the running volume.
+    """
+    per_order = cut_lineage(items.groupBy("user_id", "order_number", "source_eval_set").agg(
+        F.count(F.lit(1)).alias("_n"), C.count_where(F.col("is_reordered")).alias("_r")))
+    rates = per_order.groupBy("order_number").agg(F.sum("_n").alias("total_items"), F.sum("_r").alias("_r")).select(
+        "order_number", "total_items",
+        C.percent(F.col("_r"), F.col("total_items")).alias("reorder_rate_pct"))
+    volume = cohorts.mean_running_count(per_order.where(F.col("source_eval_set") == "prior"), "_n",
+                                        max_rows_per_task=max_rows_per_task)
     return (
         cohorts.sequence_retention(orders)
-        .join(cohorts.reorder_rate_by(items, reordered="is_reordered"), "order_number", "left")
+        .join(rates, "order_number", "left")
         .join(volume, "order_number", "left")
         .withColumn("avg_cumulative_items_prior", F.round("avg_cumulative_items_prior", 1))
     )

@@ -4,6 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from fieldtally.plans import staging
 from fieldtally.sources import readers, schemas, writers
 from fieldtally.streaming import incremental
 
@@ -51,6 +52,14 @@ def test_csv_matches_columns_by_name_and_reads_padded_numbers(spark, folder):
         readers.read_csv(spark, f"{folder}/bad.csv", schemas.ORDERS).collect()
 
 
+def test_seed_with_quoted_names(spark, folder):
+    write(f"{folder}/seed.csv", 'LocationID,Zone,Borough,pct_fee_charged,zone_group\n'
+          '103,"Island/Ellis, Liberty",Manhattan,99.1,treatment\n1,Newark,EWR,,exclude_other\n')
+    rows = staging.zone_classification(readers.read_csv(spark, f"{folder}/seed.csv", schemas.ZONE_CLASSIFICATION))
+    assert [tuple(r) for r in rows.orderBy("location_id").collect()] == [
+        (1, "Newark", "EWR", None, "exclude_other"), (103, "Island/Ellis, Liberty", "Manhattan", 99.1, "treatment")]
+
+
 def test_optional_sources_are_all_or_nothing_and_required_ones_must_exist(spark, folder):
     with pytest.raises(readers.MissingSource, match="fhvhv"):
         readers.load_sources(spark, folder)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, secrets
+from . import bpe, decontamination, secrets
 from .common import sha256, table
 
 
@@ -32,10 +32,26 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         sha256(_joined(base)).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def word_bpe() -> str:
+    """The definition of the public word BPE that the contract names."""
+    import public_tokenizers
+
+    return bpe.read_definition(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    done = bpe.encode_decode(table(spark, folder, "documents"), word_bpe())
+    return done.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        sha256(F.col("decoded")).alias("decoded_sha256"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
         "op4_secret_scan": op4_secret_scan,
+        "op8_bpe": op8_bpe,
     }
 
 

@@ -7,7 +7,6 @@ import re
 import sys
 import unicodedata
 from collections.abc import Callable, Iterable
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -28,7 +27,6 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
 
-@cache
 def character_classes() -> dict[str, str]:
     """What stands in a character class for each class name of a pattern, by Python's Unicode tables.
 
@@ -49,17 +47,19 @@ def character_classes() -> dict[str, str]:
     return {r"\p{L}": text["L"], r"\p{N}": text["N"], r"\s": text["S"]}
 
 
-def compiled(pattern: str) -> re.Pattern:
-    """A split pattern whose class names stand inside square brackets."""
+def split_pattern(definition: str) -> str:
+    """The file's split pattern, its class names (which stand inside square brackets) written out."""
+    splits = json.loads(definition)["pre_tokenizer"]["pretokenizers"]
+    pattern = next(p["pattern"]["Regex"] for p in splits if p["type"] == "Split")
     for name, members in character_classes().items():
         pattern = pattern.replace(name, members)
-    return re.compile(pattern)
+    return pattern
 
 
 class Tokenizer:
     """A tokenizer file's word BPE: NFC, lower case, split by its pattern, bytes, merges by rank, word ends."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, pattern: str | None = None):
         whole = json.loads(definition)
         model = whole["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
@@ -68,8 +68,7 @@ class Tokenizer:
         self.split_special = re.compile(
             "(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")"
         ) if self.special else None
-        splits = [p for p in whole["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.pattern = compiled(splits[0]["pattern"]["Regex"])
+        self.pattern = re.compile(pattern or split_pattern(definition))
         letters = byte_characters()
         self.inner = np.array([vocab[c] for c in letters], np.int32)
         self.last = np.array([vocab[c + end] for c in letters], np.int32)
@@ -224,7 +223,8 @@ def read_definition(path: str) -> str:
 
 
 def _shared(spark: SparkSession, definition: str):
-    return spark.sparkContext.broadcast(definition)  # one vocabulary file, of a size that does not grow
+    """One vocabulary file, of a size that does not grow, and its pattern."""
+    return spark.sparkContext.broadcast((definition, split_pattern(definition)))
 
 
 def _lists(values: list[list[int]]) -> pa.Array:
@@ -244,7 +244,7 @@ def encode_decode(docs: DataFrame, definition: str, *, doc_id: str = "doc_id", t
     shared = _shared(docs.sparkSession, definition)
 
     def start() -> Callable[[list], dict[str, list]]:
-        own = Tokenizer(shared.value)
+        own = Tokenizer(*shared.value)
 
         def work(texts: list) -> dict[str, list]:
             ids = own.encode_batch(texts)
@@ -261,7 +261,7 @@ def encode(docs: DataFrame, definition: str, *, doc_id: str = "doc_id", text: st
     shared = _shared(docs.sparkSession, definition)
 
     def start() -> Callable[[list], dict[str, list]]:
-        own = Tokenizer(shared.value)
+        own = Tokenizer(*shared.value)
         return lambda texts: {"ids": _lists(own.encode_batch(texts))}
 
     return scan_texts(docs, with_schema(docs, ("ids", "array<int>")), start)

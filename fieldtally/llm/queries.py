@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, secrets
+from . import bpe, decontamination, quality, secrets, sharding, toxicity
 from .common import sha256, table
 
 
@@ -19,6 +19,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"))
 
 
+def op3_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.line_rules(table(spark, folder, "documents"))
+
+
 def _joined(spans) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -32,6 +36,14 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         sha256(_joined(base)).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
+
+
 def word_bpe() -> str:
     """The definition of the public word BPE that the contract names."""
     import public_tokenizers
@@ -47,11 +59,21 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
         sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op10_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.hilbert_shards(table(spark, folder, "documents"), shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
+        "op3_line_frequency": op3_line_frequency,
         "op4_secret_scan": op4_secret_scan,
+        "op6_toxicity": op6_toxicity,
         "op8_bpe": op8_bpe,
+        "op10_hilbert_shards": op10_hilbert_shards,
     }
 
 

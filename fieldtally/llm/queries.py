@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, quality, secrets, sharding, toxicity
+from . import bpe, decontamination, quality, secrets, sentence_spans, sharding, toxicity
 from .common import sha256, table
 
 
@@ -59,6 +59,12 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
         sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op9_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    done = sentence_spans.dedup_sentences(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_sentences", "n_removed", "removed",
+                       sha256(F.coalesce("kept_text", F.lit(""))).alias("kept_sha256"))
+
+
 def op10_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.hilbert_shards(table(spark, folder, "documents"), shards=8)
     return placed.select(
@@ -73,6 +79,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scan": op4_secret_scan,
         "op6_toxicity": op6_toxicity,
         "op8_bpe": op8_bpe,
+        "op9_sentence_spans": op9_sentence_spans,
         "op10_hilbert_shards": op10_hilbert_shards,
     }
 

@@ -38,10 +38,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder, and read back from there.
 
     Cuts the lineage like a checkpoint, survives lost executors, and is read by column.
+    The shuffles behind it are of no more use then and are dropped at once.
     """
-    path = scratch_table(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, drop = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = scratch_table(spark, name), spark.conf.get(drop, "false")
+    spark.conf.set(drop, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(drop, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def with_schema(docs: DataFrame, *fields: tuple[str, str | T.DataType]) -> T.StructType:

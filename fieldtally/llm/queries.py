@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, quality, secrets, sentence_spans, sharding, toxicity
+from . import bpe, decontamination, quality, secrets, sentence_spans, sharding, suffix_dedup, toxicity
 from .common import sha256, table
 
 
@@ -36,6 +36,13 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         sha256(_joined(base)).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = suffix_dedup.drop_repeats(table(spark, folder, "documents"), length=200)
+    return done.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.fit(docs, table(spark, folder, "labels"))
@@ -77,6 +84,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_line_frequency": op3_line_frequency,
         "op4_secret_scan": op4_secret_scan,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_toxicity": op6_toxicity,
         "op8_bpe": op8_bpe,
         "op9_sentence_spans": op9_sentence_spans,

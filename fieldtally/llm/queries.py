@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, quality, secrets, sentence_spans, sharding, suffix_dedup, toxicity
+from . import bpe, decontamination, ngram_join, quality, secrets, sentence_spans, sharding, suffix_dedup, toxicity
 from .common import sha256, table
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", "class_id", "n_links", "n_copies")
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -81,6 +86,7 @@ def op10_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_decontamination": op2_decontamination,
         "op3_line_frequency": op3_line_frequency,
         "op4_secret_scan": op4_secret_scan,

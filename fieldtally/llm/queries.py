@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, ngram_join, quality, secrets, sentence_spans, sharding, suffix_dedup, toxicity
+from . import bpe, decontamination, ngram_join, quality, secrets, sentence_spans, sharding, suffix_dedup, suffix_tree_lm, toxicity
 from .common import sha256, table
 
 
@@ -56,6 +56,13 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
+def op7_suffix_tree_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held = suffix_tree_lm.held_out()
+    return suffix_tree_lm.score_texts(docs, docs.where(~held)).select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def word_bpe() -> str:
     """The definition of the public word BPE that the contract names."""
     import public_tokenizers
@@ -92,6 +99,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scan": op4_secret_scan,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_toxicity": op6_toxicity,
+        "op7_suffix_tree_lm": op7_suffix_tree_lm,
         "op8_bpe": op8_bpe,
         "op9_sentence_spans": op9_sentence_spans,
         "op10_hilbert_shards": op10_hilbert_shards,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontamination, ngram_join, quality, secrets, sentence_spans, sharding, suffix_dedup, suffix_tree_lm, toxicity
 from .common import sha256, table
+from .oracle import ORACLES
 
 
 def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,4 +108,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -45,7 +45,7 @@ def entropy_windows(run: str, window: int, least: float) -> list[tuple[int, int]
     """
     if len(run) < window:
         return []
-    term = [0.0, *(c * math.log2(c) for c in range(1, window + 1))]
+    term = [0.0, *(c * math.log2(c) for c in range(1, window + 2))]
     counts: dict[str, int] = {}
     total, found = 0.0, []
     for i, new in enumerate(run):

@@ -68,7 +68,8 @@ def train(examples: list[tuple[str | None, int]], *, least_docs: int = 4, max_fe
     """Fit by gradient steps on the documents' log loss; ``examples`` must be a bounded sample.
 
     Features are the ``max_features`` whose presence in documents goes most with the label,
-    by the chi-square of the four counts.
+    by the chi-square of the four counts.  Examples of one label only teach nothing: then
+    no document is called toxic.
 
     With A the sum of softplus(z) over a document's sentences its probability is
     1 - exp(-A), so the gradient by z is the sentence's own probability times 1 for a
@@ -83,7 +84,7 @@ def train(examples: list[tuple[str | None, int]], *, least_docs: int = 4, max_fe
             bags.append((own, label))
     y = np.array([label for _, label in bags], float)
     if not len(y) or y.min() == y.max():
-        return Model({}, 10.0 if len(y) and y[0] > 0 else -10.0)
+        return Model({}, -10.0)
     names = [f for f in seen[0].keys() | seen[1].keys() if seen[0][f] + seen[1][f] >= least_docs]
     one, none = (np.array([seen[k][f] for f in names], float) for k in (1, 0))
     toxic, n = y.sum(), len(y)

@@ -88,8 +88,13 @@ def distribution_profile(df: DataFrame, duration: str, start: str, end: str, *,
     )
 
 
-def _per_key(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+def _rows(weight: str | None) -> Column:
+    """Number of rows, or of those that ``weight`` says each row stands for."""
+    return (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n")
+
+
+def _per_key(df: DataFrame, key: str, weight: str | None = None) -> DataFrame:
+    return df.groupBy(F.col(key).alias("_key")).agg(_rows(weight))
 
 
 def _labelled_counts(per_key: DataFrame, dim: DataFrame, dim_key: str, labels: Mapping[str, str],
@@ -104,11 +109,15 @@ def _largest(df: DataFrame, count: str, labels: Mapping[str, str], k: int) -> Da
 
 
 def topk_share(df: DataFrame, key: str, dim: DataFrame, dim_key: str, labels: Mapping[str, str], *, k: int = 10,
-               count: str = "trip_count", share: str = "pct_of_all_trips", digits: int | None = 2) -> DataFrame:
-    """The k largest labels and their percentage of all rows, matched or not."""
+               count: str = "trip_count", share: str = "pct_of_all_trips", digits: int | None = 2,
+               weight: str | None = None) -> DataFrame:
+    """The k largest labels and their percentage of all rows, matched or not.
+
+    ``weight`` is the number of rows each row stands for, where they were counted before.
+    """
     # The join below filters keys, the total does not, so the planner would read
     # the fact for each.  Cut here, it is read once, down to one row per key.
-    per_key = cut_lineage(_per_key(df, key))
+    per_key = cut_lineage(_per_key(df, key, weight))
     total = per_key.agg(F.sum("_n")).scalar()
     top = _largest(_labelled_counts(per_key, dim, dim_key, labels, count), count, labels, k)
     return top.withColumn(share, C.percent(F.col(count), total, digits))
@@ -123,9 +132,9 @@ def fee_share(df: DataFrame, fee: str, *, digits: int | None = 2) -> DataFrame:
 
 
 def fee_top_origins(df: DataFrame, fee: str, key: str, dim: DataFrame, dim_key: str, labels: Mapping[str, str], *,
-                    k: int = 10, count: str = "fee_paying_trip_count") -> DataFrame:
-    """The k labels where most fee-paying rows start."""
-    paying = _per_key(df.where(F.col(fee) > 0), key)
+                    k: int = 10, count: str = "fee_paying_trip_count", weight: str | None = None) -> DataFrame:
+    """The k labels where most fee-paying rows start; ``weight`` as in ``topk_share``."""
+    paying = _per_key(df.where(F.col(fee) > 0), key, weight)
     return _largest(_labelled_counts(paying, dim, dim_key, labels, count), count, labels, k)
 
 
@@ -159,10 +168,9 @@ def ratio_of_sums_by_hour(df: DataFrame, ts: str, pay: str, fare: str, rider_cos
 
 def pair_counts(df: DataFrame, origin: str, destination: str, dim: DataFrame, dim_key: str, label: str, *,
                 origin_as: str = "pickup_zone", destination_as: str = "dropoff_zone",
-                count: str = "trip_count") -> DataFrame:
-    """Rows per (origin label, destination label), the dimension playing both roles."""
-    counted = df.groupBy(F.col(origin).alias("_from"), F.col(destination).alias("_to")).agg(
-        F.count(F.lit(1)).alias("_n"))
+                count: str = "trip_count", weight: str | None = None) -> DataFrame:
+    """Rows per (origin label, destination label), the dimension playing both roles; ``weight`` as in ``topk_share``."""
+    counted = df.groupBy(F.col(origin).alias("_from"), F.col(destination).alias("_to")).agg(_rows(weight))
     start = dim.select(F.col(dim_key).alias("_from"), F.col(label).alias(origin_as))
     finish = dim.select(F.col(dim_key).alias("_to"), F.col(label).alias(destination_as))
     return (
@@ -183,9 +191,9 @@ def topn_per_group(df: DataFrame, group: str, by: str, tie_break: str, n: int, *
 
 
 def top_destinations(df: DataFrame, origin: str, destination: str, dim: DataFrame, dim_key: str, label: str, *,
-                     n: int = 3) -> DataFrame:
+                     n: int = 3, weight: str | None = None) -> DataFrame:
     """The n most frequent destinations of each origin."""
-    pairs = pair_counts(df, origin, destination, dim, dim_key, label)
+    pairs = pair_counts(df, origin, destination, dim, dim_key, label, weight=weight)
     return topn_per_group(pairs, "pickup_zone", "trip_count", "dropoff_zone", n, rank="dropoff_rank")
 
 

@@ -33,11 +33,6 @@ from fieldtally.functions import distributions as dist
 from fieldtally.operators.panel import TREATMENT, event_weeks, presence_filter, with_specs
 from fieldtally.session import cut_lineage
 
-# Up to this many days their cross products are solved on the driver, and a
-# unit, having one row per day, is handled as one group.  Beyond it both
-# effects are swept out by repeated demeaning instead.
-MAX_PERIODS = 3000
-MAX_SWEEPS = 1000
 _CELLS_PER_BLOCK = 1_000_000
 _ROWS = "spec string, i int, v array<double>"  # row i of a matrix per specification
 
@@ -73,14 +68,19 @@ def ols_hc1(df: DataFrame, y: str, xs: Sequence[str], by: str = "spec") -> DataF
     """OLS with intercept and HC1 standard errors for every value of ``by`` at once.
 
     Two aggregations: cross products, then squared-residual-weighted cross
-    products.  p-values use the normal distribution.
+    products.  p-values use the normal distribution.  Rows with a missing value
+    are left out.  A term the others explain fully has no estimate, and a
+    specification without more rows than terms no errors; both show NULL.
     """
     terms = ["Intercept", *xs]
     x = [F.lit(1.0)] + [F.col(c).cast("double") for c in xs]
     yc = F.col(y).cast("double")
     k = len(terms)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    data = cut_lineage(df.where(yc.isNotNull()).select(by, y, *xs))  # read twice
+    usable = yc.isNotNull()
+    for c in x[1:]:
+        usable = usable & c.isNotNull()
+    data = cut_lineage(df.where(usable).select(by, y, *xs))  # read twice
 
     first = data.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"),
@@ -90,13 +90,15 @@ def ols_hc1(df: DataFrame, y: str, xs: Sequence[str], by: str = "spec") -> DataF
     fits = {}
     for row in first:
         gram = _symmetric(row, "xx", k)
-        inverse = np.linalg.inv(gram)
-        fits[row[by]] = (row["n"], inverse, inverse @ np.array([row[f"xy_{i}"] for i in range(k)]))
+        beta, kept, inverse = _estimate(gram, np.array([row[f"xy_{i}"] for i in range(k)]), np.diag(gram))
+        full = np.zeros((k, k))  # terms that are not kept have no coefficient and no variance
+        full[np.ix_(kept, kept)] = inverse
+        fits[row[by]] = (row["n"], full, np.nan_to_num(beta), set(kept))
     if not fits:
         return df.sparkSession.createDataFrame([], _OLS_RESULT)
 
     betas = df.sparkSession.createDataFrame(
-        [(spec, *map(float, beta)) for spec, (_, _, beta) in fits.items()],
+        [(spec, *map(float, beta)) for spec, (_, _, beta, _) in fits.items()],
         T.StructType([df.schema[by]] + [T.StructField(f"_b{i}", T.DoubleType()) for i in range(k)]))
     fitted = sum((x[i] * F.col(f"_b{i}") for i in range(1, k)), F.col("_b0"))
     squared = F.pow(yc - fitted, F.lit(2.0))
@@ -104,12 +106,17 @@ def ols_hc1(df: DataFrame, y: str, xs: Sequence[str], by: str = "spec") -> DataF
         *[F.sum(squared * x[i] * x[j]).alias(f"m_{i}_{j}") for i, j in pairs]).collect()
     rows = []
     for row in second:
-        n, inverse, beta = fits[row[by]]
-        cov = inverse @ _symmetric(row, "m", k) @ inverse * (n / (n - k))
+        n, inverse, beta, kept = fits[row[by]]
+        left = n - len(kept)
+        cov = inverse @ _symmetric(row, "m", k) @ inverse * (n / left if left > 0 else 0.0)
         for i, term in enumerate(terms):
-            se = math.sqrt(cov[i, i])
-            z = beta[i] / se if se > 0 else float("nan")
-            rows.append((str(row[by]), term, float(beta[i]), se, float(z), dist.normal_two_sided_p(z), n))
+            if i not in kept:
+                rows.append((str(row[by]), term, None, None, None, None, n))
+                continue
+            se = math.sqrt(max(cov[i, i], 0.0)) if left > 0 else None
+            z = float(beta[i] / se) if se else None
+            rows.append((str(row[by]), term, float(beta[i]), se, z,
+                         None if z is None else dist.normal_two_sided_p(z), n))
     return df.sparkSession.createDataFrame(rows, _OLS_RESULT)
 
 
@@ -149,7 +156,7 @@ class _Fit:
 
 
 def two_way_fixed_effects(df: DataFrame, unit: str, day: str, y: str, xs: Sequence[str], *, by: str | None = None,
-                          debias: bool = True, level: float = 0.95, max_periods: int = MAX_PERIODS) -> DataFrame:
+                          debias: bool = True, level: float = 0.95, method: str = "moments") -> DataFrame:
     """Coefficients of ``xs`` given unit and day effects, errors clustered by unit.
 
     One result row per specification (value of ``by``) and regressor.  The
@@ -157,7 +164,15 @@ def two_way_fixed_effects(df: DataFrame, unit: str, day: str, y: str, xs: Sequen
     effects explain fully is reported as absorbed, without a coefficient.
     With ``debias`` the covariance is scaled by n / (n - k - units - days + 1),
     and t quantiles use those degrees of freedom.
+
+    ``method`` chooses the way, whatever the size: "moments" sums cross products of
+    the days in one pass and solves for the day effects on the driver, with
+    memory for (days + regressors) squared numbers a task; "sweep" removes both
+    effects by repeated demeaning, for panels of many thousand days.  The
+    estimates are the same.
     """
+    if method not in ("moments", "sweep"):
+        raise ValueError(f"unknown method {method!r}")
     xs = list(xs)
     spec = F.col(by).cast("string") if by else F.lit("all")
     period = F.unix_date(day) if isinstance(df.schema[day].dataType, T.DateType) else F.col(day).cast("bigint")
@@ -168,18 +183,16 @@ def two_way_fixed_effects(df: DataFrame, unit: str, day: str, y: str, xs: Sequen
         F.array(*[F.col(c).cast("double") for c in xs]).alias("x"),
     ).where(F.col("unit").isNotNull() & F.col("t").isNotNull() & F.col("y").isNotNull() & ~F.isnan("y")
             & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))))
-    periods = _periods(panel, max_periods)
-    if periods is None:
-        fits, meats = _fit_by_sweeping(panel, len(xs))
-    else:
-        fits, meats = _fit_by_days(panel, periods, len(xs))
+    _one_row_a_cell(panel)
+    fits, meats = (_fit_by_sweeping if method == "sweep" else _fit_by_days)(panel, len(xs))
     rows = [r for s in sorted(fits) for r in _table(s, xs, fits[s], meats[s], debias, level)]
     return df.sparkSession.createDataFrame(rows, _FE_RESULT)
 
 
-def _fit_by_days(panel: DataFrame, periods: np.ndarray, p: int) -> tuple[dict[str, _Fit], dict[str, np.ndarray]]:
+def _fit_by_days(panel: DataFrame, p: int) -> tuple[dict[str, _Fit], dict[str, np.ndarray]]:
     """Two passes over units, with the day effects solved on the driver in between."""
-    cells = F.collect_list(F.struct("t", "y", "x")).alias("cells")  # a unit's days: max_periods at most
+    periods = np.sort(np.array([r[0] for r in panel.select("t").distinct().collect()], dtype=np.int64))
+    cells = F.collect_list(F.struct("t", "y", "x")).alias("cells")  # one for each of a unit's days
     units = panel.groupBy("spec", "unit").agg(cells).select("spec", "cells")
     moments = _summed(units.mapInArrow(_first_pass(periods, p), _ROWS))
     fits = {s: _solve(m, len(periods), p) for s, m in _matrices(moments, len(periods) + p + 3).items()}
@@ -187,14 +200,10 @@ def _fit_by_days(panel: DataFrame, periods: np.ndarray, p: int) -> tuple[dict[st
     return fits, _matrices(scores, p)
 
 
-def _periods(panel: DataFrame, most: int) -> np.ndarray | None:
-    """The days of the panel, or None if there are more than ``most``; no unit may have two rows for a day."""
-    cells = panel.groupBy("spec", "unit", "t").count()
-    days = cells.groupBy("t").agg(F.max("count").alias("most")).limit(most + 1).collect()
-    many = len(days) > most
-    if any(r["most"] > 1 for r in days) or (many and cells.where(F.col("count") > 1).limit(1).count()):
+def _one_row_a_cell(panel: DataFrame) -> None:
+    """No unit may have two rows for a day; this also bounds a unit's rows by the days."""
+    if panel.groupBy("spec", "unit", "t").count().where(F.col("count") > 1).limit(1).count():
         raise ValueError("the panel has more than one row for some unit and day")
-    return None if many else np.sort(np.array([r["t"] for r in days], dtype=np.int64))
 
 
 def _blocks(batch: pa.RecordBatch, periods: np.ndarray, p: int) -> Iterator[tuple]:
@@ -350,7 +359,8 @@ def _fit_by_sweeping(panel: DataFrame, p: int, tolerance: float = 1e-11) -> tupl
     """The same estimates for any number of days: demean by unit and by day until neither moves.
 
     Every step is an aggregation joined back on its own key, and the panel is
-    cut loose after each round, so plans do not grow with the rounds.
+    cut loose after each round, so plans do not grow with the rounds.  Rounds end
+    within the tolerance, or where rounding lets nothing move closer any more.
     """
     names = [f"v{i}" for i in range(p + 1)]
     data = cut_lineage(panel.select("spec", "unit", "t", F.col("y").alias("v0"),
@@ -366,14 +376,16 @@ def _fit_by_sweeping(panel: DataFrame, p: int, tolerance: float = 1e-11) -> tupl
         return df.join(means(df, key), ["spec", key]).select(
             "spec", "unit", "t", *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in names])
 
-    for _ in range(MAX_SWEEPS):
+    closest, stalled = math.inf, 0
+    while stalled < 25:
         data = cut_lineage(without(without(data, "unit"), "t"))
         moved = means(data, "unit").groupBy("spec").agg(
             *[F.sum(F.col("_n") * F.pow(f"m_{c}", F.lit(2.0))).alias(c) for c in names]).collect()
-        if all(r[c] <= tolerance**2 * max(size[r["spec"]][c], 1e-300) for r in moved for c in names):
+        off = max((r[c] / max(size[r["spec"]][c], 1e-300) for r in moved for c in names), default=0.0)
+        if off <= tolerance**2:
             break
-    else:
-        raise RuntimeError(f"the effects did not separate within {MAX_SWEEPS} sweeps")
+        stalled = 0 if off < closest else stalled + 1
+        closest = min(closest, off)
 
     pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
     fits = {}

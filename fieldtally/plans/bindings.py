@@ -127,9 +127,10 @@ def orders(raw: DataFrame, *, max_rows_per_task: int = MAX_ROWS_PER_TASK) -> Dat
 
 
 def items(lineitem: DataFrame, placed_orders: DataFrame) -> DataFrame:
-    """Lines with their order's user, number and set, and whether the user had the part before."""
+    """Lines with their order's context and set, and whether the user had the part before."""
     context = placed_orders.select(
-        F.col("order_id").alias("l_orderkey"), "user_id", "order_number",
+        F.col("order_id").alias("l_orderkey"), "user_id", "order_number", "order_dow", "order_hour_of_day",
+        "days_since_prior_order",
         F.when(F.col("eval_set") == "prior", "prior").otherwise("train").alias("source_eval_set"))
     lines = lineitem.select("l_orderkey", F.col("l_partkey").alias("product_id"), "l_linenumber").join(
         context, "l_orderkey").withColumns({"_u": _never_null("user_id"), "_p": _never_null("product_id")})
@@ -143,7 +144,7 @@ def items(lineitem: DataFrame, placed_orders: DataFrame) -> DataFrame:
         F.col("l_orderkey").alias("order_id"), "product_id",
         F.col("l_linenumber").alias("add_to_cart_order"),
         C.indicator(F.col("order_number") > F.col("_first")).alias("reordered"),
-        "source_eval_set", "user_id", "order_number",
+        "source_eval_set", "user_id", "order_number", "order_dow", "order_hour_of_day", "days_since_prior_order",
     )
 
 

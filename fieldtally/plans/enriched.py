@@ -57,16 +57,20 @@ def tagged_items(prior: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def order_products_enriched(items: DataFrame, products: DataFrame, aisles: DataFrame, departments: DataFrame,
-                            orders: DataFrame) -> DataFrame:
+                            orders: DataFrame | None = None) -> DataFrame:
     """Every tagged item with product, aisle, department and order context.
 
     Names are joined to the product table first, so items meet one product
     dimension and the order table instead of three dimensions in turn.
+    Without ``orders`` the items carry their order's columns already, and the
+    fact is not shuffled by order again.
     """
     catalogue = products.join(aisles, "aisle_id").join(departments, "department_id")
-    context = orders.select("order_id", "user_id", "order_number", "order_dow", "order_hour_of_day",
-                            "days_since_prior_order")
-    return items.join(catalogue, "product_id").join(context, "order_id").select(
+    placed = items.join(catalogue, "product_id")
+    if orders is not None:
+        placed = placed.join(orders.select("order_id", "user_id", "order_number", "order_dow", "order_hour_of_day",
+                                           "days_since_prior_order"), "order_id")
+    return placed.select(
         "order_id", "product_id", "add_to_cart_order", "is_reordered", "source_eval_set",
         "product_name", "aisle_id", "aisle", "department_id", "department",
         "user_id", "order_number", "order_dow", "order_hour_of_day", "days_since_prior_order",

@@ -14,7 +14,7 @@ _SQL: dict[str, str] = {}
 
 # Date columns, shown as midnight timestamps like those of the queries.
 _DATES = {
-    "sink_roundtrip": ["trip_date"], "incremental_month_load": ["first_day", "last_day"],
+    "sink_roundtrip": ["trip_date"], "fct_trips": ["trip_date"], "incremental_month_load": ["first_day", "last_day"],
     "trips_enriched": ["trip_date"], "daily_counts": ["trip_date"], "rolling_7d_avg": ["trip_date"],
     "daily_summary": ["trip_date"], "did_panel": ["trip_date"], "group_daily_series": ["trip_date"],
     "indexed_series": ["trip_date"], "event_weeks": ["first_day", "last_day"],
@@ -158,6 +158,19 @@ SELECT * REPLACE (is_shared_request::VARCHAR AS is_shared_request, is_shared_mat
                   is_cbd_fee_trip::VARCHAR AS is_cbd_fee_trip)
 FROM enriched"""
 
+_SQL["fct_trips"] = _SQL["trips_enriched"]
+
+_SQL["staging_zones"] = """
+SELECT c_custkey AS location_id, r_name AS borough, n_name AS zone, c_mktsegment AS service_zone FROM customer
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+
+_SQL["staging_products"] = """
+SELECT p_partkey AS product_id, p_name AS product_name, p_brand AS aisle_id, p_type AS department_id FROM part"""
+
+_SQL["staging_aisles"] = "SELECT DISTINCT p_brand AS aisle_id, p_brand AS aisle FROM part"
+
+_SQL["staging_departments"] = "SELECT DISTINCT p_type AS department_id, p_type AS department FROM part"
+
 _SQL["interval_columns"] = f"""WITH {_TRIPS}
 SELECT pickup_datetime,
        floor(epoch(pickup_datetime))::BIGINT - floor(epoch(request_datetime))::BIGINT AS wait_time_sec,
@@ -278,6 +291,14 @@ items AS (
          order_number > min(order_number) OVER (PARTITION BY user_id, l_partkey) AS again
   FROM lineitem JOIN ords ON l_orderkey = order_id)"""
 
+_SQL["staging_orders"] = f"""WITH {_ORDERS}
+SELECT order_id, user_id, eval_set, order_number, order_dow, order_hour_of_day, days_since_prior_order FROM ords"""
+
+_STAGED = "SELECT order_id, product_id, add_to_cart_order, again AS is_reordered"
+for _set in ("prior", "train"):
+    _SQL[f"staging_order_products_{_set}"] = f"""WITH {_ITEMS} {_STAGED} FROM items WHERE source_eval_set = '{_set}'"""
+_SQL["tagged_union"] = f"WITH {_ITEMS} {_STAGED}, source_eval_set FROM items"
+
 _TIER = f"""CASE WHEN recency_days = {B.GAP_CAP} THEN '{B.GAP_TIERS["censored"]}'
   {' '.join(f"WHEN recency_days >= {edge} THEN '{name}'" for edge, name in B.GAP_TIERS["tiers"])}
   ELSE '{B.GAP_TIERS["recent"]}' END"""
@@ -701,7 +722,8 @@ _SQL["dq_reconcile"] = _checks([
                                                         "SELECT count(*) FROM scoped")),
     ("same_grain", "fct_trips", "*", _same("SELECT count(*) FROM enriched", "SELECT count(*) FROM scoped")),
     ("mart_total", "user_rfm", "monetary_proxy_items",
-     _same("SELECT count(*) FROM items WHERE source_eval_set = 'prior'", "SELECT count(*) FROM items"))],
+     _same("SELECT count(*) FROM items WHERE source_eval_set = 'prior'",
+           "SELECT count(*) FROM items WHERE source_eval_set = 'prior'"))],
     f"{_ENRICHED}, {_ITEMS}")
 
 _SQL["dq_partition_identity"] = _checks([

@@ -82,9 +82,7 @@ def _tagged_items(spark, d, orders: DataFrame | None = None) -> DataFrame:
 
 
 def _enriched_items(spark, d) -> DataFrame:
-    orders = _orders(spark, d)
-    items = _tagged_items(spark, d, orders).drop("user_id", "order_number")
-    return enriched.order_products_enriched(items, *_catalogue(spark, d), orders)
+    return enriched.order_products_enriched(_tagged_items(spark, d), *_catalogue(spark, d))
 
 
 def _classes(spark, d) -> DataFrame:
@@ -161,8 +159,8 @@ def incremental_month_load(spark, d):
     """Half the months, then all of them: those already there are skipped."""
     path = scratch_table(spark, "by_month")
     lines = B.table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_shipdate")
-    months = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]
-    writers.load_months(lines, path, "l_shipdate", months[:42])
+    months = writers.months_of(lines, "l_shipdate")
+    writers.load_months(lines, path, "l_shipdate", months[:len(months) // 2])
     writers.load_months(lines, path, "l_shipdate", months)
     loaded = spark.read.parquet(path)
     return loaded.groupBy(F.col("month").cast("string").alias("month")).agg(
@@ -177,11 +175,65 @@ def staging_contract(spark, d):
     return staging.trips(_trips(spark, d))
 
 
+@query
+def staging_zones(spark, d):
+    return staging.zones(_zones(spark, d))
+
+
+@query
+def staging_orders(spark, d):
+    return staging.orders(_orders(spark, d))
+
+
+def _staged_items(spark, d, source: str) -> DataFrame:
+    return staging.order_products(_items(spark, d).where(F.col("source_eval_set") == source))
+
+
+@query
+def staging_order_products_prior(spark, d):
+    return _staged_items(spark, d, "prior")
+
+
+@query
+def staging_order_products_train(spark, d):
+    return _staged_items(spark, d, "train")
+
+
+@query
+def staging_products(spark, d):
+    return staging.products(_catalogue(spark, d)[0])
+
+
+@query
+def staging_aisles(spark, d):
+    return staging.aisles(_catalogue(spark, d)[1])
+
+
+@query
+def staging_departments(spark, d):
+    return staging.departments(_catalogue(spark, d)[2])
+
+
+@query
+def tagged_union(spark, d):
+    """Both item sets as one table that remembers the set of each row."""
+    return enriched.tagged_items(_staged_items(spark, d, "prior"), _staged_items(spark, d, "train"))
+
+
+@query
+def fct_trips(spark, d):
+    """The enriched trips written as a table and read back."""
+    fact = writers.materialise(_enriched_trips(spark, d), scratch_table(spark, "fct_trips"))
+    return fact.withColumns({c: F.col(c).cast("string") for c in _FLAGS})
+
+
+_FLAGS = ("is_shared_request", "is_shared_match", "is_cbd_fee_trip")
+
+
 @query
 def trips_enriched(spark, d):
     """Three-valued flags are shown as text, so a missing one compares the same in both engines."""
-    flags = ("is_shared_request", "is_shared_match", "is_cbd_fee_trip")
-    return _enriched_trips(spark, d).withColumns({c: F.col(c).cast("string") for c in flags})
+    return _enriched_trips(spark, d).withColumns({c: F.col(c).cast("string") for c in _FLAGS})
 
 
 @query
@@ -227,10 +279,10 @@ def distribution_profile(spark, d):
                                        long_after=40 * 86400)
 
 
-def _supplied(spark, d, *columns) -> DataFrame:
-    """Lines with the nation of their supplier."""
+def _supplied(spark, d, counted: DataFrame) -> DataFrame:
+    """Counts by supplier, with the supplier's nation: the fact is reduced before it meets the supplier."""
     supplier = B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    return B.table(spark, d, "lineitem").select("l_suppkey", *columns).join(supplier, "l_suppkey")
+    return counted.join(supplier, "l_suppkey")
 
 
 def _nations(spark, d) -> DataFrame:
@@ -243,7 +295,9 @@ _PLACE = {"n_name": "pickup_zone", "r_name": "borough"}
 
 @query
 def topk_share(spark, d):
-    return demand.topk_share(_supplied(spark, d), "s_nationkey", _nations(spark, d), "n_nationkey", _PLACE)
+    lines = B.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("lines"))
+    return demand.topk_share(_supplied(spark, d, lines), "s_nationkey", _nations(spark, d), "n_nationkey", _PLACE,
+                             weight="lines")
 
 
 @query
@@ -253,8 +307,9 @@ def fee_share(spark, d):
 
 @query
 def fee_top_origins(spark, d):
-    return demand.fee_top_origins(_supplied(spark, d, "l_tax"), "l_tax", "s_nationkey", _nations(spark, d),
-                                  "n_nationkey", _PLACE)
+    taxed = B.table(spark, d, "lineitem").groupBy("l_suppkey").agg(C.count_where(F.col("l_tax") > 0).alias("taxed"))
+    return demand.fee_top_origins(_supplied(spark, d, taxed), "taxed", "s_nationkey", _nations(spark, d),
+                                  "n_nationkey", _PLACE, weight="taxed")
 
 
 @query
@@ -266,22 +321,23 @@ def ratio_of_sums_by_hour(spark, d):
 
 
 def _flows(spark, d) -> DataFrame:
-    """Lines from the supplier's nation to the customer's."""
+    """Numbers of lines from the supplier's nation to the customer's, counted before they meet the supplier."""
     owner = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(
         B.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-    return _supplied(spark, d, "l_orderkey").join(owner, "l_orderkey")
+    lines = B.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(owner, "l_orderkey")
+    return _supplied(spark, d, lines.groupBy("l_suppkey", "c_nationkey").agg(F.count(F.lit(1)).alias("lines")))
 
 
 @query
 def role_playing_join(spark, d):
     return demand.pair_counts(_flows(spark, d), "s_nationkey", "c_nationkey", B.table(spark, d, "nation"),
-                              "n_nationkey", "n_name")
+                              "n_nationkey", "n_name", weight="lines")
 
 
 @query
 def topn_per_group(spark, d):
     return demand.top_destinations(_flows(spark, d), "s_nationkey", "c_nationkey", B.table(spark, d, "nation"),
-                                   "n_nationkey", "n_name")
+                                   "n_nationkey", "n_name", weight="lines")
 
 
 @query
@@ -538,7 +594,7 @@ def dq_reconcile(spark, d):
         quality.reconcile("same_grain", "fct_trips", "*", enriched_trips.agg(rows), trips.agg(rows)),
         quality.reconcile("mart_total", "user_rfm", "monetary_proxy_items",
                           marts.user_rfm(orders, items, B.GAP_TIERS).agg(F.sum("monetary_proxy_items")),
-                          items.agg(rows)))
+                          items.where(F.col("source_eval_set") == "prior").agg(rows)))
 
 
 @query

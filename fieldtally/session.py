@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -43,14 +45,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, set only if nobody has."""
+    """The checkpoint folder of the session, set only if nobody has.
+
+    Executors on other machines cannot reach a folder of this one, so a
+    temporary folder serves a local master only, and goes when Python ends;
+    any other master must name shared storage in ``spark.checkpoint.dir``.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fieldtally-checkpoint-"))
+        if not named:
+            if not is_local(context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+            named = tempfile.mkdtemp(prefix="fieldtally-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
+def is_local(master: str) -> bool:
+    """Whether tasks run in the driver's own process."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_table(spark: SparkSession, name: str) -> str:
     """A fresh path for a table under the shared folder, which every executor can reach."""
     return f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"

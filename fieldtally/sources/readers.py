@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -49,13 +50,52 @@ def read_parquet_by_name(spark: SparkSession, pattern: str, schema: T.StructType
     return spark.read.schema(schema).parquet(pattern)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Headered CSV matched to the contract by name; ``"08"`` reads as 8 in an integer column.
+def _files_of(spark: SparkSession, path: str) -> list[str]:
+    """The data files of a glob: of a folder its files, hidden ones left out."""
+    found = []
+    for f in matching_files(spark, path):
+        inside = matching_files(spark, f"{f}/*")
+        found += inside or [f]
+    return [f for f in found if f.rsplit("/", 1)[1][:1] not in "._"]
 
-    Columns are read as text and cast, so a value that does not fit its type
-    fails the query instead of silently turning into NULL.
+
+def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """Column names in the first line of one CSV file, read on the driver, unpacked if need be."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    stream = path.getFileSystem(conf).open(path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    unpacked = codec.createInputStream(stream) if codec is not None else stream
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(unpacked, "UTF-8"))
+    try:
+        return tuple(next(csv.reader([(reader.readLine() or "").lstrip("\ufeff")]), ()))
+    finally:
+        reader.close()
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, multi_line: bool = False) -> DataFrame:
+    """Headered CSV files matched to the contract by name; ``"08"`` reads as 8 in an integer column.
+
+    Each file's own header orders its columns: files with the same header are
+    one scan, and the scans are aligned by name.  A quote inside quoted text
+    is doubled.  Columns are read as text and cast, so a value that does not
+    fit its type fails the query instead of silently turning into NULL.
+    ``multi_line`` allows line breaks in quoted text, at the price of files
+    that can no longer be split.
     """
-    return to_contract(spark.read.option("header", True).csv(path), schema)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in _files_of(spark, path):
+        header = _header(spark, file)
+        if header:
+            groups.setdefault(header, []).append(file)
+    if not groups:
+        raise MissingSource(f"no CSV file with a header matches {path}")
+    scans = [
+        to_contract(spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in header]))
+                    .csv(files, header=True, escape='"', multiLine=multi_line), schema)
+        for header, files in groups.items()]
+    return reduce(DataFrame.unionByName, scans)
 
 
 @dataclass(frozen=True)
@@ -72,6 +112,8 @@ MOBILITY = (
     Source("trips", "fhvhv_*.parquet", schemas.TRIPS, "parquet"),
     Source("zones", "taxi_zone_lookup.csv", schemas.ZONES),
 )
+# A ready classification of the zones, for studies that do not derive their own.
+CLASSIFICATION = Source("zone_classification", "crz_zone_classification.csv", schemas.ZONE_CLASSIFICATION)
 DELIVERY = (
     Source("orders", "instacart/orders.csv", schemas.ORDERS),
     Source("order_products_prior", "instacart/order_products__prior.csv", schemas.ORDER_PRODUCTS),

@@ -20,29 +20,45 @@ def materialise(df: DataFrame, path: str, *, partition_by: Sequence[str] = ()) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def months_present(spark: SparkSession, path: str) -> set[str]:
-    """Months already loaded, from the partition folders alone."""
-    return {f.rsplit("month=", 1)[1] for f in matching_files(spark, f"{path}/month=*")}
+_NO_MONTH = "__HIVE_DEFAULT_PARTITION__"  # the folder Spark gives rows without a month
+
+
+def months_present(spark: SparkSession, path: str) -> set[str | None]:
+    """Months already loaded, from the partition folders alone; None for rows without one."""
+    found = {f.rsplit("month=", 1)[1] for f in matching_files(spark, f"{path}/month=*")}
+    return {None if m == _NO_MONTH else m for m in found}
+
+
+def months_of(df: DataFrame, ts: str) -> list[str | None]:
+    """The months that occur in ``df``, in order, None last if rows lack a month; one value a calendar month."""
+    found = [r[0] for r in with_month(df, ts).select("month").distinct().collect()]
+    return sorted(m for m in found if m is not None) + [None] * (None in found)
 
 
 def with_month(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn("month", F.date_format(F.to_date(ts), "yyyy-MM"))
 
 
-def load_months(df: DataFrame, path: str, ts: str, months: Sequence[str], *, force: bool = False) -> list[str]:
+def load_months(df: DataFrame, path: str, ts: str, months: Sequence[str | None], *,
+                force: bool = False) -> list[str | None]:
     """Add the wanted months of ``df`` to a month-partitioned table; returns those written.
 
+    ``None`` among the months stands for rows whose timestamp is missing.
     Months already there are skipped unless ``force``, and only the folders of
     the months written are replaced, so a rerun changes nothing.
     """
     have = set() if force else months_present(df.sparkSession, path)
     todo = [m for m in months if m not in have]
+    dated = [m for m in todo if m is not None]
     if todo:
-        first = F.to_date(F.lit(f"{min(todo)}-01"))
-        after = F.add_months(F.to_date(F.lit(f"{max(todo)}-01")), 1)
-        # The range on the bare timestamp reaches the scan; the exact months do not.
-        scoped = df.where((F.col(ts) >= first.cast("timestamp_ntz")) & (F.col(ts) < after.cast("timestamp_ntz")))
-        fresh = with_month(scoped, ts).where(F.col("month").isin(todo))
+        wanted = F.col(ts).isNull() if None in todo else F.lit(False)
+        if dated:
+            first = F.to_date(F.lit(f"{min(dated)}-01"))
+            after = F.add_months(F.to_date(F.lit(f"{max(dated)}-01")), 1)
+            # The range on the bare timestamp reaches the scan; the exact months do not.
+            wanted = wanted | ((F.col(ts) >= first.cast("timestamp_ntz")) & (F.col(ts) < after.cast("timestamp_ntz")))
+        month = F.col("month")
+        fresh = with_month(df.where(wanted), ts).where(month.isNull() | month.isin(dated) if dated else month.isNull())
         (
             fresh.hint("rebalance", F.col("month"))  # files of a sensible size, a large month in several
             .write.mode("overwrite")

@@ -50,13 +50,13 @@ def test_sweeping_gives_the_same_estimates(spark):
     p = make_panel(units=30, days=12).assign(twice=lambda q: q.w * 2)
     df = spark.createDataFrame(p)
     want = regression.two_way_fixed_effects(df, "z", "d", "y", ["did", "treat", "w", "twice"]).collect()
-    got = regression.two_way_fixed_effects(df, "z", "d", "y", ["did", "treat", "w", "twice"], max_periods=11).collect()
+    got = regression.two_way_fixed_effects(df, "z", "d", "y", ["did", "treat", "w", "twice"], method="sweep").collect()
     for a, b in zip(want, got):
         assert (a.term, a.absorbed, a.n_obs, a.n_zones, a.n_days) == (b.term, b.absorbed, b.n_obs, b.n_zones, b.n_days)
         if not a.absorbed:
             assert b.coef == pytest.approx(a.coef, rel=1e-8) and b.std_error == pytest.approx(a.std_error, rel=1e-8)
     with pytest.raises(ValueError, match="more than one row"):
-        regression.two_way_fixed_effects(df.union(df.limit(1)), "z", "d", "y", ["did"], max_periods=11)
+        regression.two_way_fixed_effects(df.union(df.limit(1)), "z", "d", "y", ["did"], method="sweep")
 
 
 def test_disconnected_days_do_not_break_the_solve(spark):
@@ -190,3 +190,15 @@ def test_hc1_equals_the_textbook_formula(spark):
         assert got[term].coef == pytest.approx(beta[i], rel=1e-9)
         assert got[term].std_error == pytest.approx(se[i], rel=1e-9)
         assert got[term].n_obs == 60
+
+
+def test_unusable_specifications_leave_the_others_alone(spark):
+    rng = np.random.default_rng(4)
+    good = [("good", float(x), float(2 * x + e), float(z)) for x, e, z in rng.normal(size=(50, 3))]
+    same = [("collinear", float(x), float(x + e), float(2 * x)) for x, e in rng.normal(size=(50, 2))]
+    few = [("few", 1.0, 2.0, 3.0), ("few", 2.0, 1.0, 5.0), ("few", 4.0, 4.0, 4.0)]
+    df = spark.createDataFrame([*good, *same, *few, ("good", None, 1.0, 1.0)], "spec string, x double, y double, z double")
+    rows = {(r.spec, r.term): r for r in regression.ols_hc1(df, "y", ["x", "z"]).collect()}
+    assert rows["good", "x"].coef == pytest.approx(2, abs=0.6) and rows["good", "x"].n_obs == 50
+    assert rows["collinear", "z"].coef is None and rows["collinear", "x"].std_error > 0
+    assert rows["few", "x"].coef is not None and rows["few", "x"].std_error is None and rows["few", "x"].p_value is None

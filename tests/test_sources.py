@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtally.plans import staging
+from fieldtally.session import is_local, shared_folder
 from fieldtally.sources import readers, schemas, writers
 from fieldtally.streaming import incremental
 
@@ -123,3 +124,42 @@ def test_stream_takes_each_file_once(spark, folder):
     assert incremental.loaded(spark, table).count() == 6
     assert sorted(r[0] for r in incremental.loaded(spark, table).select(F.col("month").cast("string")).distinct().collect()) == [
         "2024-01", "2024-02", "2024-03"]
+
+
+def test_quotes_are_doubled_and_each_file_orders_its_columns(spark, folder):
+    write(f"{folder}/products/a.csv", 'product_id,product_name,aisle_id,department_id\n1,"8"" Pie, frozen",3,4\n')
+    write(f"{folder}/products/b.csv", 'aisle_id,department_id,product_name,product_id\n5,6,"Salt",2\n')
+    rows = sorted(readers.read_csv(spark, f"{folder}/products", schemas.PRODUCTS).collect())
+    assert [tuple(r) for r in rows] == [(1, '8" Pie, frozen', 3, 4), (2, "Salt", 5, 6)]
+    write(f"{folder}/lines.csv", 'product_id,product_name,aisle_id,department_id\n1,"two\nlines",3,4\n')
+    assert readers.read_csv(spark, f"{folder}/lines.csv", schemas.PRODUCTS, multi_line=True).first().product_name == "two\nlines"
+
+
+def test_rows_of_any_month_and_of_none_are_loaded(spark, folder):
+    df = months(spark, 3).union(spark.sql("select 9L, timestamp_ntz'1987-05-06 00:00:00'")).union(
+        spark.sql("select 10L, cast(null as timestamp_ntz)"))
+    found = writers.months_of(df, "t")
+    assert found == ["1987-05", "2024-01", "2024-02", None]
+    path = f"{folder}/all"
+    writers.load_months(df, path, "t", found[:2])
+    assert writers.load_months(df, path, "t", found) == ["2024-02", None]
+    assert writers.months_present(spark, path) == set(found) and spark.read.parquet(path).count() == 5
+    assert writers.load_months(df, path, "t", found) == []
+
+
+def test_a_cluster_must_name_shared_storage():
+    assert is_local("local") and is_local("local[8]")
+    assert not is_local("local-cluster[2,1,1024]") and not is_local("yarn")
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())

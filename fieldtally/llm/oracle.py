@@ -73,7 +73,7 @@ WITH d AS (
 ), hosts AS (SELECT host, count(DISTINCT doc_id) AS host_docs FROM d GROUP BY host
 ), frequent AS (
     SELECT host, norm FROM normal JOIN hosts USING (host) GROUP BY host, norm, host_docs
-    HAVING count(DISTINCT doc_id) > 5 AND count(DISTINCT doc_id) > 0.002 * host_docs
+    HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) > 0.002 * host_docs
 ), removed AS (
     SELECT rid, count(*) AS n_lines, sum(n) AS n_gone FROM normal JOIN frequent USING (host, norm) GROUP BY rid
 ), all_counts AS (

@@ -50,7 +50,7 @@ def normal_line(line_words: Column) -> Column:
 
 
 def line_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source",
-               max_docs: int = 5, max_share: float = 0.002, least_kept: float = 0.5, least_words: int = 50,
+               max_docs: int = 10, max_share: float = 0.002, least_kept: float = 0.5, least_words: int = 50,
                max_repeat: float = 0.5) -> DataFrame:
     """One row for each row: counts of the text, lines removed, and whether the document stays.
 

@@ -44,8 +44,9 @@ def build(spark: SparkSession, root: str, out: str, settings: Settings = Setting
           classes: DataFrame | None = None) -> dict[str, DataFrame]:
     """All models of the sources under ``root``; marts are written under ``out``.
 
-    ``classes`` is a ready zone classification; without one it is derived from
-    the fee incidence inside the scope.  Delivery models are built only where
+    ``classes`` is a ready zone classification; without one the file of
+    ``readers.CLASSIFICATION`` under ``root`` is taken, and where there is none
+    it is derived from the fee incidence inside the scope.  Delivery models are built only where
     the delivery sources exist.
     """
     stg = staging.staged(readers.load_sources(spark, root))
@@ -59,6 +60,9 @@ def build(spark: SparkSession, root: str, out: str, settings: Settings = Setting
     fact = keep("fct_trips", models["int_trips_enriched"])
     keep("mart_daily_trip_summary", marts.daily_trip_summary(fact))
     keep("mart_hourly_demand", marts.hourly_demand(fact))
+    seed = readers.CLASSIFICATION
+    if classes is None and readers.matching_files(spark, f"{root.rstrip('/')}/{seed.pattern}"):
+        classes = staging.zone_classification(readers.load(spark, root, seed))
     if classes is None:
         scoped = stg["stg_trips"].where(C.within("pickup_datetime", *settings.scope))
         classes = panel.incidence_classification(

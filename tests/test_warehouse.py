@@ -102,3 +102,17 @@ def test_failing_rows_show_up(spark, raw, tmp_path):
         "status <> 'pass'").collect()}
     assert bad == {("threshold", "trip_time"): (1, "warn"), ("relationships", "pickup_location_id"): (1, "error"),
                    ("mart_total", "trip_count"): (1, "error")}
+
+
+def test_a_given_classification_is_used(spark, raw, folder):
+    seed = Path(raw) / "crz_zone_classification.csv"
+    seed.write_text("LocationID,Zone,Borough,pct_fee_charged,zone_group\n1,Core,Manhattan,99.0,treatment\n"
+                    "2,North,Manhattan,1.0,manhattan_north_control\n3,Corona,Queens,0.0,outer_borough_control\n"
+                    "4,\"Corona, East\",Queens,0.0,exclude_border\n")
+    try:
+        models = warehouse.build(spark, str(raw), folder)
+    finally:
+        seed.unlink()
+    groups = {r.location_id: r.zone_group for r in models["zone_classification"].collect()}
+    assert groups == {1: "treatment", 2: "manhattan_north_control", 3: "outer_borough_control", 4: "exclude_border"}
+    assert models["mart_did_zone_daily_panel"].where("location_id = 4").count() == 0

@@ -16,6 +16,8 @@ from .common import id_and_text, row_key, store, with_schema
 # Fixed value: pieces that make up the whole text, each up to its closing marks or line feeds.
 PIECE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 WORD = re.compile(r"\w")
+#: Share of all runs, as one in so many, above which a hash is met by broadcast.
+HOT = 10_000
 
 
 def sentences_of(text: str | None) -> list[tuple[int, int, list[str]]]:
@@ -61,8 +63,8 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     A run's first occurrence is the one of the least (doc_id, place); documents are told
     apart by id and text.  Runs are hashed to 128 bits, stored without texts, and counted
-    before equal ones meet; only repeated hashes join back, and adaptive execution splits
-    the partitions of very frequent ones.
+    before equal ones meet.  Hashes of over one run in ``HOT`` are at most so many and meet
+    their runs by broadcast; the others, none of them frequent, by a join.
     """
     docs = id_and_text(docs, doc_id, text).withColumn("_key", row_key())
     schema = with_schema(docs, ("_key", "long"), ("first", "int"), ("last", "int"), ("h1", "long"), ("h2", "long"))
@@ -93,9 +95,13 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     runs = store(docs.select("doc_id", "_key", "text").mapInArrow(run, schema), "sentence-runs")
     place = F.struct("doc_id", "_key", "first")
-    repeated = (runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("origin"))
-                .where(F.col("n") > 1).drop("n"))
-    later = runs.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("origin")))
+    repeated = store(runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("origin"))
+                     .where(F.col("n") > 1), "repeated-runs")
+    bound = runs.count() / HOT
+    hot = F.broadcast(repeated.where(F.col("n") > bound).drop("n"))
+    rest = repeated.where(F.col("n") <= bound).drop("n")
+    met = runs.join(hot, ["h1", "h2"]).unionByName(runs.join(hot, ["h1", "h2"], "left_anti").join(rest, ["h1", "h2"]))
+    later = met.where(~place.eqNullSafe(F.col("origin")))
     return (later.groupBy("doc_id", "_key")
             .agg(F.collect_set(F.struct("first", "last")).alias("spans")))  # bounded by the document's sentences
 

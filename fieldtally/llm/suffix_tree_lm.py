@@ -143,6 +143,7 @@ class SuffixTree:
         self.totals = {s: sum(c.values()) for s, c in tree.items()}
         self.moves: dict[bytes, dict[int, tuple[float, bytes]]] = {}
         self.words: dict[bytes, float] = {}
+        self.start = self.state(b" ")
 
     def state(self, context: bytes) -> bytes:
         for k in range(max(0, len(context) - 16), len(context) + 1):
@@ -160,19 +161,20 @@ class SuffixTree:
             if seen else self.chance(state[1:], symbol)
 
     def step(self, state: bytes, symbol: int) -> tuple[float, bytes]:
-        own = self.moves.setdefault(state, {})
-        move = own.get(symbol)
-        if move is None:
-            move = own[symbol] = (log10(self.chance(state, symbol)), self.state(state + bytes((symbol,))))
+        move = log10(self.chance(state, symbol)), self.state(state + bytes((symbol,)))
+        self.moves.setdefault(state, {})[symbol] = move
         return move
 
     def score(self, token: bytes) -> float:
         """log10 of the token's probability."""
         known = self.words.get(token)
         if known is None:
-            state, known = self.state(b" "), 0.0
+            moves, state, known = self.moves, self.start, 0.0
             for symbol in token if token == END else token + b" ":
-                gain, state = self.step(state, symbol)
+                try:
+                    gain, state = moves[state][symbol]
+                except KeyError:
+                    gain, state = self.step(state, symbol)
                 known += gain
             if len(self.words) >= CACHED_WORDS:
                 self.words.clear()

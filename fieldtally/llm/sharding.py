@@ -111,10 +111,13 @@ def write_shards(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
                  dimensions: Sequence[str] = ("lang", "source", "n_chars"), bits: int = 8, shards: int = 8) -> None:
     """Write ``docs`` as Parquet folders by shard, rows along the curve, so that files and row groups prune.
 
-    Ids must be unique here, as rows are met again by id; ``shard`` must not be a column of ``docs``.
+    Rows are met again by id, so null or repeated ids raise; ``shard`` must not be a column of ``docs``.
     """
     placed = hilbert_shards(docs, doc_id=doc_id, text=text, dimensions=dimensions, bits=bits, shards=shards)
     placed = placed.select(F.col("doc_id").alias("_shard_doc"), "shard", F.col("slot").alias("_slot"))
+    rows, ids = placed.agg(F.count("*"), F.count_distinct("_shard_doc")).first()
+    if rows != ids:
+        raise ValueError("ids must be unique and not null to write shards")
     (docs.join(placed, docs[doc_id] == placed["_shard_doc"]).drop("_shard_doc")
      .repartitionByRange("shard", "_slot").sortWithinPartitions("shard", "_slot").drop("_slot")
      .write.partitionBy("shard").parquet(path))

@@ -391,6 +391,8 @@ def test_written_shards_can_be_read(spark, folder, texts):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     sharding.write_shards(docs, f"{folder}/out", shards=4)
     back = spark.read.parquet(f"{folder}/out")
+    with pytest.raises(ValueError, match="unique"):
+        sharding.write_shards(docs.limit(3).union(docs.limit(1)), f"{folder}/none")
     assert back.count() == len(texts) and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
 
 

@@ -76,9 +76,10 @@ def train(examples: list[tuple[str | None, int]], *, least_docs: int = 4, max_fe
     clean document and -exp(-A) / (1 - exp(-A)) for a toxic one.
     """
     seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    bags = []
+    bags: list[tuple[list[set[str]], int]] = []
+    pool: dict[str, str] = {}  # equal words are one object in all sentences
     for text, label in examples:
-        own = [set(words) for _, _, words in sentences_of(text)]
+        own = [{pool.setdefault(w, w) for w in words} for _, _, words in sentences_of(text)]
         if own:
             seen[label].update({f for w in set().union(*own) for f in features_of(w)})
             bags.append((own, label))
@@ -92,6 +93,7 @@ def train(examples: list[tuple[str | None, int]], *, least_docs: int = 4, max_fe
         chi = n * (one * (n - toxic - none) - none * (toxic - one)) ** 2 / (
             toxic * (n - toxic) * (one + none) * (n - one - none))
     best = sorted(zip(-np.nan_to_num(chi), names, strict=True))[:max_features]
+    del seen, names, pool
     words = [f for _, f in best]
     number = {w: i for i, w in enumerate(words)}
     feature, sentence, owner = [], [], []

@@ -64,8 +64,8 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts_of(raw: bytes, length: int, gram: int, up: np.ndarray,
-                down: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """First window, number of windows, gram hash and context hash of each context of a text."""
+                down: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """First window, number of windows, the anchor's distance from the first, gram hash and context hash of each context."""
     for begin in range(0, len(raw) - length + 1, PIECE):
         piece = np.frombuffer(raw, np.uint8, min(len(raw) - begin, PIECE + length - 1), begin)
         hashes = Prefixes(piece, None, up, down)
@@ -81,7 +81,7 @@ def contexts_of(raw: bytes, length: int, gram: int, up: np.ndarray,
         for lo, k, a, g in zip((first + begin).tolist(), count.tolist(), (at - first).tolist(),
                                mixed[at].view(np.int64).tolist(), strict=True):
             mark = xxhash.xxh3_64_intdigest(raw[lo:lo + k + length - 1], a)
-            yield lo, k, g, mark - (mark >> 63 << 64)
+            yield lo, k, a, g, mark - (mark >> 63 << 64)
 
 
 class SuffixSorter:
@@ -164,28 +164,28 @@ class SuffixSorter:
 
 
 def _context_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    schema = "_key long, lo int, n int, g long, e long"
+    schema = "_key long, lo int, n int, a int, g long, e long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up, down = powers(PIECE + length + 1)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                columns: list[list[int]] = [[], [], [], [], []]
+                columns: list[list[int]] = [[] for _ in range(6)]
                 for key, raw in zip(part.column("_key").to_pylist(), part.column("raw").to_pylist(), strict=True):
                     for found in contexts_of(raw, length, gram, up, down):
                         for c, v in zip(columns, (key, *found), strict=True):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int32() if i in (1, 2) else pa.int64()) for i, c in enumerate(columns)],
-                    names=["_key", "lo", "n", "g", "e"])
+                    [pa.array(c, pa.int32() if i in (1, 2, 3) else pa.int64()) for i, c in enumerate(columns)],
+                    names=["_key", "lo", "n", "a", "g", "e"])
 
     return docs.select("_key", "raw").mapInArrow(run, schema)
 
 
 def _chunks(met: DataFrame, length: int, most: int) -> DataFrame:
     """The bytes of each context to sort, under its gram; those of very frequent grams window by window."""
-    schema = "g long, sub long, _key long, lo int, n int, only boolean, bytes binary"
+    schema = "g long, sub long, _key long, lo int, n int, a int, only boolean, bytes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,15 +194,16 @@ def _chunks(met: DataFrame, length: int, most: int) -> DataFrame:
                 out: list[tuple] = []
                 for key, raw, wanted in zip(part["_key"], part["raw"], part["wanted"], strict=True):
                     for w in wanted:
-                        lo, n, parts = w["lo"], w["n"], -(-w["m"] // most)
+                        lo, n, a, parts = w["lo"], w["n"], w["a"], -(-w["m"] // most)
                         if parts == 1:
-                            out.append((w["g"], 0, key, lo, n, w["only"], raw[lo:lo + n + length - 1]))
+                            out.append((w["g"], 0, key, lo, n, a, w["only"], raw[lo:lo + n + length - 1]))
                             continue
                         for p in range(lo, lo + n):
                             own = raw[p:p + length]
-                            out.append((w["g"], 1 + xxhash.xxh3_64_intdigest(own) % parts, key, p, 1, w["only"], own))
-                names = ["g", "sub", "_key", "lo", "n", "only", "bytes"]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+                            out.append((w["g"], 1 + xxhash.xxh3_64_intdigest(own) % parts, key, p, 1, a - p + lo,
+                                        w["only"], own))
+                names = ["g", "sub", "_key", "lo", "n", "a", "only", "bytes"]
+                kinds = [*[pa.int64()] * 3, *[pa.int32()] * 3, pa.bool_(), pa.binary()]
                 for s in range(0, len(out), 50_000):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r[i] for r in out[s:s + 50_000]], t) for i, t in enumerate(kinds)], names=names)
@@ -222,8 +223,14 @@ def _repeated_windows(chunks: DataFrame, length: int) -> DataFrame:
         place = np.arange(len(buffer)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         starts = np.repeat(np.cumsum(sizes) - sizes, counts) + within
-        members = np.array([sum(r["n"] for r in g) for g in groups])
-        flags = SuffixSorter(buffer, place, starts, members, length).repeated()
+        # Equal windows have their anchor at the same distance, so each distance is a group of its own.
+        distance = np.repeat(np.array([r["a"] for r in rows]), counts) - within
+        group = np.repeat(np.repeat(np.arange(len(groups)), [len(g) for g in groups]), counts)
+        order = np.lexsort((distance, group))
+        new = (np.diff(group[order]) != 0) | (np.diff(distance[order]) != 0)
+        members = np.diff(np.r_[0, np.flatnonzero(new) + 1, len(order)])
+        flags = np.zeros(len(order), bool)
+        flags[order] = SuffixSorter(buffer, place, starts[order], members, length).repeated()
         found, at = [], 0
         for r in rows:
             own = flags[at:at + r["n"]]
@@ -272,11 +279,11 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, group_contexts: int
     by_gram = by_context.groupBy("g").agg(F.count("*").alias("m"), F.sum("copies").alias("all")).where("all > 1")
     flags = store(by_context.join(by_gram.select("g", "m"), "g"), "repeated-contexts")
     rows = store(contexts.join(flags, ["g", "e"]).select(
-        "_key", "lo", "n", "g", "m", (F.col("copies") > 1).alias("twice"),
+        "_key", "lo", "n", "a", "g", "m", (F.col("copies") > 1).alias("twice"),
         ((F.col("m") > 1) & (F.col("one._key") == F.col("_key")) & (F.col("one.lo") == F.col("lo"))).alias("wanted"),
     ).where("twice or wanted"), "context-places")
     wanted = rows.where("wanted").groupBy("_key").agg(  # bounded by the document's contexts
-        F.collect_set(F.struct("lo", "n", "g", "m", (~F.col("twice")).alias("only"))).alias("wanted"))
+        F.collect_set(F.struct("lo", "n", "a", "g", "m", (~F.col("twice")).alias("only"))).alias("wanted"))
     met = docs.select("_key", "raw").join(wanted, "_key")
     single = store(_repeated_windows(_chunks(met, length, group_contexts), length), "repeated-windows")
     return rows.where("twice").select("_key", "lo", (F.col("lo") + F.col("n") - 1).alias("hi")).unionByName(single)

@@ -1,4 +1,4 @@
-"""Language-model scores by a probabilistic suffix tree over the letters of tokens, and a unigram base."""
+"""Language-model scores by a probabilistic suffix tree over tokens, letters below its root, and a unigram base."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +18,12 @@ from .common import id_and_text, store, with_schema
 END = b"\n"
 #: Longest context in bytes, least share of all symbols a context needs, and least gain (a G statistic) to be kept.
 DEPTH, LEAST_SHARE, LEAST_GAIN = 6, 4e-6, 50.0
-#: Words that may be broadcast with their counts: those of at least a token in so many, hence at most so many.
-HEAD_WORDS = 500_000
+#: Occurrences and gain (a G statistic) that a context of one or two tokens needs to be a state, whatever the corpus.
+LEAST_COUNT, LEAST_TOKEN_GAIN = 8, 50.0
+#: Token runs that may be broadcast with their scores: those of at least a place in so many, hence at most so many.
+HEAD_GRAMS = 500_000
+#: What stands before the first token of a text, and two odd constants that mix the bits of a hash.
+START, MIX, MIX2 = np.uint64(1), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 CACHED_WORDS, LOCAL_WORDS = 200_000, 200_000
 
 
@@ -183,82 +188,177 @@ class SuffixTree:
         return known
 
 
+class Numbers:
+    """Texts as runs of 64-bit token hashes; the hashes of a task's tokens are kept while they are few."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of every token of the texts, in order: the two before it as one hash, the one before, its own; and the texts' sizes."""
+        known, flat, sizes = self.known, [], []
+        for text in texts:
+            tokens = tokens_of(text)
+            sizes.append(len(tokens))
+            for w in tokens:
+                number = known.get(w)
+                if number is None:
+                    number = xxhash.xxh3_64_intdigest(w)
+                    if len(known) >= CACHED_WORDS:
+                        known.clear()
+                    if len(w) < 64:
+                        known[w] = number
+                flat.append(number)
+        own, counts = np.array(flat, np.uint64), np.array(sizes, np.int64)
+        heads = np.cumsum(counts) - counts
+        one = np.r_[START, own[:-1]][:len(own)]
+        one[heads] = START  # every text has an end, so none is without tokens
+        two = np.r_[START, one[:-1]][:len(own)]
+        two[heads] = START
+        return joined(two, one), one, own, counts
+
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of pairs of hashes."""
+    mixed = left * MIX
+    mixed = ((mixed ^ (mixed >> np.uint64(29))) + right) * MIX2
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def count_grams(docs: DataFrame, counted: str, other: str) -> DataFrame:
+    """(a, u, w, c, m): each token ``w`` after ``u`` after the pair ``a``, as many times as it stands; ``other`` is 0."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                *found, _ = numbers.of(batch.column("text").slice(k, 500).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], names=["a", "u", "w"])
+
+    return (docs.select("text").mapInArrow(run, "a long, u long, w long")
+            .groupBy("a", "u", "w").agg(F.count("*").alias(counted)).withColumn(other, F.lit(0).cast("long"))
+            .select("a", "u", "w", "c", "m"))
+
+
+def smoothed(c: Column, n: Column, seen: Column, below: Column) -> Column:
+    """log10 of a count smoothed by the chance of the shorter context (Witten and Bell)."""
+    return F.when(c > 0, F.log10((c + seen * F.pow(F.lit(10.0), below)) / (n + seen))).otherwise(
+        below + F.log10(seen / (n + seen)))
+
+
+def gram_scores(grams: DataFrame, vocabulary: DataFrame, total: int, base_below: float, least_count: int,
+                least_gain: float) -> DataFrame:
+    """(a, w, m, known, base, score) of the runs with a place to score (m > 0), from the longest retained context.
+
+    A context of one or two tokens is a state if it stands ``least_count`` times in the
+    training texts and its tokens differ from those after the context one token shorter by a G
+    statistic of ``least_gain``; a state's chances are smoothed by those of its suffixes.
+    """
+    ln = lambda name: F.col("c") * F.log(name)
+    pairs = grams.groupBy("u", "w").agg(F.sum("c").alias("c")).join(vocabulary, "w")
+    one = (pairs.where("c > 0").groupBy("u").agg(
+        F.sum("c").alias("n1"), F.count("*").alias("t1"), F.sum(ln("c") - ln("cw")).alias("g"))
+        .where(F.col("n1") >= least_count)
+        .select("u", "n1", "t1", (2 * (F.col("g") + F.col("n1") * F.log(F.lit(float(max(1, total))) / F.col("n1"))))
+                .alias("g1")))
+    pairs = store(pairs.join(one, "u", "left").select(
+        "u", "w", F.col("c").alias("c1"), "n1", (F.col("g1") >= least_gain).alias("state1"),
+        (F.col("cw") > 0).alias("known"), (F.log10(F.col("cw") + 1) - base_below).alias("base"), "lp0",
+        F.when(F.col("n1").isNull(), F.col("lp0")).otherwise(
+            smoothed(F.col("c"), F.col("n1"), F.col("t1"), F.col("lp0"))).alias("lp1")), "token-pairs")
+    two = store(grams.where("c > 0").join(pairs.where("n1 is not null").select("u", "w", "c1", "n1"), ["u", "w"])
+                .groupBy("a").agg(F.sum("c").alias("n2"), F.count("*").alias("t2"),
+                                  F.sum(ln("c") - ln("c1") + ln("n1")).alias("g"))
+                .where(F.col("n2") >= least_count)
+                .where(2 * (F.col("g") - F.col("n2") * F.log("n2")) >= least_gain).drop("g"), "token-contexts")
+    return grams.where("m > 0").join(pairs, ["u", "w"]).join(two, "a", "left").select(
+        "a", "w", "m", "known", "base",
+        F.when(F.col("n2").isNotNull(), smoothed(F.col("c"), F.col("n2"), F.col("t2"), F.col("lp1")))
+        .when(F.col("state1"), F.col("lp1")).otherwise(F.col("lp0")).alias("score"))
+
+
 def score_texts(docs: DataFrame, training: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 depth: int = DEPTH, least_share: float = LEAST_SHARE, least_gain: float = LEAST_GAIN,
-                head_words: int = HEAD_WORDS) -> DataFrame:
+                least_count: int = LEAST_COUNT, least_token_gain: float = LEAST_TOKEN_GAIN,
+                head_grams: int = HEAD_GRAMS) -> DataFrame:
     """For each row of ``docs``: ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     ``training`` has the texts to learn from, in the column ``text``.  ``score`` is the model's log10
-    probability of the tokens: the deepest state of a token is the whole token with its
-    corpus count c, smoothed by the letters' tree p with the weight of the distinct tokens,
-    (c + V p) / (N + V), so unseen tokens are scored by the tree.  ``base_score`` is that of
-    add-one unigrams.  Token counts cover the whole training corpus.  Words of at least one token in ``head_words`` are
-    broadcast, at most so many by that share; the others are joined, and none of them is
-    frequent, so their rows spread.  Null and empty texts are one end; without training
-    texts the base is 0 and the tree uniform over bytes; repeated rows repeat, each by
+    probability of the tokens in their order, each from the longest retained run of up to two
+    tokens before it (see gram_scores).  Below the contexts is a token's corpus count c, smoothed
+    by the letters' tree p with the weight of the distinct tokens, (c + V p) / (N + V), so unseen
+    tokens are scored by the tree.  ``base_score`` is that of add-one unigrams.
+
+    Runs and contexts are counted and joined as tables, none is collected but the scores of
+    runs of at least one place in ``head_grams``, which are broadcast, at most so many by that share; the
+    others are joined, and none of them is frequent, so their rows spread.  Null and empty texts are one end; without
+    training texts the base is 0 and the tree uniform over bytes; repeated rows repeat, each by
     itself; null ids stay null; other columns are not read.
     """
-    docs = id_and_text(docs, doc_id, text)
-    words = store(count_tokens(training.select(training[text].cast("string").alias("text"))), "token-counts")
+    docs, training = id_and_text(docs, doc_id, text), training.select(training[text].cast("string").alias("text"))
+    words = store(count_tokens(training), "token-counts")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    bound = max(1.0, total / head_words)
-    head = words.where(F.col("c") >= bound).toArrow()
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((
-        dict(zip(head.column("w").to_pylist(), head.column("c").to_pylist(), strict=True)),
-        learn_tree(words, depth, least_share, least_gain)))
+    letters = context.broadcast(learn_tree(words, depth, least_share, least_gain))
     types = max(1, distinct)
     below, weight = log10(total + distinct + 1), log10(total + types)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = SuffixTree(letters.value)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 20_000):
+                part = batch.slice(k, 20_000)
+                own, counts, chances = [], part.column("c").to_pylist(), []
+                for w, c in zip(part.column("w").to_pylist(), counts, strict=True):
+                    p = tree.score(w)
+                    own.append(xxhash.xxh3_64_intdigest(w))
+                    chances.append((log10(c + types * 10.0 ** p) if c else p + log10(types)) - weight)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(counts, pa.int64()),
+                     pa.array(chances, pa.float64())], names=["w", "cw", "lp0"])
+
+    vocabulary = store(words.unionByName(count_tokens(docs).select("w", F.lit(0).cast("long").alias("c")))
+                       .groupBy("w").agg(F.sum("c").alias("c")).mapInArrow(spell, "w long, cw long, lp0 double"), "vocabulary")
+    grams = store(count_grams(training, "c", "m").unionByName(count_grams(docs, "m", "c"))
+                  .groupBy("a", "u", "w").agg(F.sum("c").alias("c"), F.sum("m").alias("m")), "token-runs")
+    scores = store(gram_scores(grams, vocabulary, total, below, least_count, least_token_gain), "run-scores")
+    bound = max(1.0, (scores.agg(F.sum("m")).first()[0] or 0) / head_grams)
+    top = scores.where(F.col("m") >= bound).drop("m").toArrow()
+    key = joined(*(top.column(n).to_numpy().view(np.uint64) for n in ("a", "w")))
+    order = np.argsort(key)
+    head = context.broadcast((key[order], *(np.asarray(top.column(n).to_numpy(), np.float64)[order]
+                                            for n in ("known", "base", "score"))))
     schema = with_schema(docs, ("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("score", "double"),
-                         ("tail", "array<struct<w:binary,k:int,p:double>>"))
+                         ("tail", "array<struct<a:long,w:long>>"))
     from pyspark.sql.pandas.types import to_arrow_schema
 
     columns = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, tree = shared.value[0], SuffixTree(shared.value[1])
+        (keys, *values), numbers = head.value, Numbers()
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                n, known, base, score = [], [], [], []
-                tail_words, tail_counts, tail_chances, offsets = [], [], [], [0]
-                for t in part.column("text").to_pylist():
-                    own = Counter(tokens_of(t))
-                    seen, low, high = 0, 0.0, 0.0
-                    for w, m in own.items():
-                        p = tree.score(w)
-                        c = counts.get(w)
-                        if c is None:
-                            tail_words.append(w)
-                            tail_counts.append(m)
-                            tail_chances.append(p)
-                        else:
-                            high += m * (log10(c + types * 10.0 ** p) - weight)
-                            seen += m
-                            low += m * (log10(c + 1) - below)
-                    n.append(own.total())
-                    known.append(seen)
-                    base.append(low)
-                    score.append(high)
-                    offsets.append(len(tail_words))
+                a, _, w, sizes = numbers.of(part.column("text").to_pylist())
+                row, own = np.repeat(np.arange(len(sizes)), sizes), joined(a, w)
+                at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+                found = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+                known, base, score = (np.bincount(row[found], v[at[found]], len(sizes)) for v in values)
+                left = ~found
+                offsets = np.r_[0, np.cumsum(np.bincount(row[left], minlength=len(sizes)))]
                 tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
-                    [pa.array(tail_words, pa.binary()), pa.array(tail_counts, pa.int32()), pa.array(tail_chances, pa.float64())],
-                    ["w", "k", "p"]))
+                    [pa.array(x[left].view(np.int64)) for x in (a, w)], ["a", "w"]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(columns.field(0).type), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                     pa.array(base, pa.float64()), pa.array(score, pa.float64()), tail.cast(columns.field(5).type)],
+                    [part.column("doc_id").cast(columns.field(0).type), pa.array(sizes),
+                     pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), tail.cast(columns.field(5).type)],
                     schema=columns)
 
     scanned = store(docs.mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("uid"), "*"), "scored")
-    rare = words.where(F.col("c") < bound)
     tail = (scanned.select("uid", F.explode("tail").alias("x")).select("uid", "x.*")
-            .join(rare, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-            .groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more"),
-                                F.sum(F.col("k") * (F.log10(F.col("c") + 1) - below)).alias("rest"),
-                                F.sum(F.col("k") * (F.when(F.col("c") > 0, F.log10(F.col("c") + types * F.pow(F.lit(10.0), "p")))
-                                                    .otherwise(F.col("p") + log10(types)) - weight)).alias("letters")))
+            .join(scores.where(F.col("m") < bound).drop("m"), ["a", "w"])
+            .groupBy("uid").agg(F.sum(F.col("known").cast("long")).alias("more"), F.sum("base").alias("rest"),
+                                F.sum("score").alias("runs")))
     return scanned.drop("tail").join(tail, "uid", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("letters", F.lit(0.0))).alias("score"))
+        (F.col("score") + F.coalesce("runs", F.lit(0.0))).alias("score"))

@@ -291,6 +291,54 @@ def test_contexts_equal_plain_counts_and_the_tree_is_a_distribution(spark):
     assert tree.score(b"an") > tree.score(b"nb") and tree.state(b"zzan") in (b"an", b"n", b"")
 
 
+def test_scores_follow_the_order_of_tokens(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["new york city", "old river bank", "york city bank", "new river"]) for _ in range(12))
+             for _ in range(30)] + [None, "", "york new unseen bank"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = docs.where("doc_id < 25")
+    swapped = docs.where("doc_id < 3").selectExpr("doc_id + 100 AS doc_id", "array_join(reverse(split(text, ' ')), ' ') AS text")
+    tokens = lambda t: [b"<", b"<", *suffix_tree_lm.tokens_of(t)]
+    count, total = Counter(), 0
+    for t in texts[:25]:
+        own = tokens(t)
+        total += len(own) - 2
+        for i in range(2, len(own)):
+            for d in range(3):
+                count[tuple(own[i - d:i + 1])] += 1
+    words = spark.createDataFrame([(bytearray(k[0]), c) for k, c in count.items() if len(k) == 1], "w binary, c long")
+    tree = suffix_tree_lm.SuffixTree(suffix_tree_lm.learn_tree(words))
+    types = words.count()
+    after = {}
+    for k, c in count.items():
+        after.setdefault(k[:-1], {})[k[-1]] = c
+
+    def chance(context, w):
+        if not context:
+            return (count[w,] + types * 10 ** tree.score(w)) / (total + types)
+        own = after[context]
+        return (own.get(w, 0) + len(own) * chance(context[1:], w)) / (sum(own.values()) + len(own))
+
+    def state(context):
+        own = after.get(context, {})
+        n, up = sum(own.values()), after.get(context[1:])
+        if not context or n >= 8 and 2 * sum(
+                c * math.log(c / n * sum(up.values()) / up[w]) for w, c in own.items()) >= 20:
+            return context
+        return state(context[1:])
+
+    for head in (1, 500_000):  # all runs joined but the most frequent, or all broadcast
+        out = {r.doc_id: r for r in suffix_tree_lm.score_texts(
+            docs.unionByName(swapped), train, least_token_gain=20.0, head_grams=head).collect()}
+        for i, t in enumerate(texts):
+            own = tokens(t)
+            want = sum(math.log10(chance(state(tuple(own[j - 2:j])), own[j])) for j in range(2, len(own)))
+            assert out[i].score == pytest.approx(want)
+    assert {len(state(tuple(tokens(t)[j - 2:j]))) for t in texts for j in range(2, len(tokens(t)))} >= {1, 2}
+    for i in range(3):
+        assert out[i].base_score == pytest.approx(out[i + 100].base_score) and out[i].score > out[i + 100].score + 1
+
+
 # 8: BPE
 
 ODD = ["", "I'LL don't 'S ''s", "<|startoftext|>a <|endoftext|>B", "a\x1cb\x85c\xa0d​e", "ΣΑΣ ς", "½ ² ٣ 12", "é 가",

@@ -39,29 +39,38 @@ def sentences_of(text: str | None) -> list[tuple[int, int, list[str]]]:
 
 def runs_of(sentences: list[tuple[int, int, list[str]]], several: int, least_words: int,
             alone_words: int) -> Iterator[tuple[int, int]]:
-    """First and last number of the run from each sentence that starts one.
+    """First and last number of the runs that start or end at each sentence, each run once.
 
-    The shortest run of at least ``several`` sentences and ``least_words`` words; a
-    sentence of ``alone_words`` is a run by itself too.
+    The shortest runs of at least ``several`` sentences and ``least_words`` words from a
+    sentence, and up to one; a sentence of ``alone_words`` is a run by itself too.  What
+    is a run depends on its own sentences only, and any longer stretch is covered by runs in it.
     """
     sizes = [len(w) for _, _, w in sentences]
+    found = {(i, i) for i, size in enumerate(sizes) if size >= alone_words}
     j, total = -1, 0
     for i in range(len(sizes)):
-        if sizes[i] >= alone_words:
-            yield i, i
         while j + 1 < len(sizes) and (total < least_words or j - i + 1 < several):
             j += 1
             total += sizes[j]
         if total >= least_words and j - i + 1 >= several:
-            yield i, j
+            found.add((i, j))
         total -= sizes[i]
+    i, total = 0, 0
+    for j in range(len(sizes)):
+        total += sizes[j]
+        while j - i >= several and total - sizes[i] >= least_words:
+            total -= sizes[i]
+            i += 1
+        if total >= least_words and j - i + 1 >= several:
+            found.add((i, j))
+    yield from sorted(found)
 
 
 def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", several: int = 2,
                    least_words: int = 20, alone_words: int = 40) -> DataFrame:
     """Per document (doc_id, _key) with any: ``spans``, the non-first repeated runs (first, last sentence).
 
-    A run's first occurrence is the one of the least (doc_id, place); documents are told
+    Runs are those of runs_of.  A run's first occurrence is the one of the least (doc_id, place); documents are told
     apart by id and text.  Runs are hashed to 128 bits, stored without texts, and counted
     before equal ones meet.  Hashes of over one run in ``HOT`` are at most so many and meet
     their runs by broadcast; the others, none of them frequent, by a join.

@@ -414,6 +414,33 @@ def test_runs_equal_plain_ones(spark, texts):
         assert got[i].n_removed == len(gone)
 
 
+def test_the_end_of_a_repeated_passage_goes(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + ". "
+    passage = "".join(map(sentence, (30, 25, 10, 8)))
+    rows = [(i, sentence(12) + passage + sentence(15) + sentence(9)) for i in range(4)]
+    rows += [(10 + i, "".join(sentence(rng.randrange(1, 25)) if rng.random() < 0.4 else p
+                              for p in rng.choices([sentence(rng.randrange(1, 25)) for _ in range(6)], k=9)))
+             for i in range(10)]
+    pool = [sentence(n) for n in (3, 12, 5, 2, 30, 1, 9, 41)]
+    rows += [(30 + i, "".join(pool[(i + k) % 8] if rng.random() < 0.8 else sentence(4) for k in range(10)))
+             for i in range(12)]
+    words = {i: [w for _, _, w in sentence_spans.sentences_of(t)] for i, t in rows}
+    first, gone = {}, {i: set() for i in words}
+    for i in sorted(words):  # every run, not only the shortest
+        for a in range(len(words[i])):
+            for b in range(a, len(words[i])):
+                n = sum(map(len, words[i][a:b + 1]))
+                if (b > a and n >= 20) or (b == a and n >= 40):
+                    if first.setdefault(tuple(map(tuple, words[i][a:b + 1])), (i, a)) != (i, a):
+                        gone[i] |= set(range(a, b + 1))
+    out = {r.doc_id: r for r in sentence_spans.dedup_sentences(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].n_removed == 0 and [out[i].n_removed for i in (1, 2, 3)] == [4] * 3
+    assert {i: r.n_removed for i, r in out.items()} == {i: len(g) for i, g in gone.items()}
+
+
 # 10: shards
 
 def test_curve_visits_every_cell_by_single_steps():

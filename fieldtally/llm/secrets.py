@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,11 +20,13 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 BASE_KINDS = ("assign", "access", "hex")
-KINDS = (*BASE_KINDS, "entropy_hex", "entropy_base64")
+KINDS = (*BASE_KINDS, "entropy_hex", "entropy_base64", "entropy_base32", "entropy_lower")
 # By class, its characters, the window and the bits a character needs.
 CLASSES = {
     "entropy_hex": (re.compile(r"[0-9A-Fa-f]{20,}"), 20, 2.9),
     "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 4.0),
+    "entropy_base32": (re.compile(r"[A-Z2-7]{24,}"), 24, 3.5),
+    "entropy_lower": (re.compile(r"[a-z0-9]{24,}"), 24, 3.5),
 }
 # What is no secret though it looks random.
 ALLOWED = (
@@ -34,6 +36,7 @@ ALLOWED = (
     r"^\d+$",
     r"^(?:[A-Za-z]+[/_=-]+)*[A-Za-z]+$",  # words and paths
 )
+DIGITS = re.compile(r"[0-9]+")
 MASK = "[SECRET]"
 
 
@@ -78,29 +81,58 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def mixed(kind: str, piece: str) -> bool:
+    """Whether a stretch mixes characters as keys do and joined words, with a number or not, do not.
+
+    Base64 has capitals, small letters and digits; the classes of one case have letters
+    between digits.
+    """
+    if kind == "entropy_base64":
+        return (any(c.isdigit() for c in piece) and any(c.isupper() for c in piece)
+                and any(c.islower() for c in piece))
+    return kind == "entropy_hex" or len(DIGITS.findall(piece)) > 1
+
+
+def outside(start: int, end: int, cut: Sequence[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What remains of a range without the sorted, separate ranges ``cut``."""
+    for k in range(max(0, bisect_right(cut, (start, 1 << 60)) - 1), len(cut)):
+        s, e = cut[k]
+        if s >= end:
+            break
+        if e > start:
+            if s > start:
+                yield start, s
+            start = e
+    if start < end:
+        yield start, end
+
+
 def entropy_spans(text: str, taken: Sequence[tuple[int, int]], allowed: re.Pattern,
                   literals: frozenset[str]) -> list[tuple[str, int, int]]:
     """Spans the method adds: random-looking stretches outside what is taken and not allowed.
 
-    A base64-like stretch must mix capitals, small letters and digits; joined words do not.
+    Windows slide over what a run has besides taken spans and allowed matches, so
+    neither hides its surroundings; a found stretch must mix characters and be no allowed string itself.
     """
     found = []
     for kind, (shape, window, least) in CLASSES.items():
+        own = []
         for m in shape.finditer(text):
-            run = m[0]
-            if literals and run in literals or allowed.search(run):
+            if m[0] in literals:
                 continue
-            for a, b in entropy_windows(run, window, least):
-                piece = run[a:b]
-                if kind == "entropy_base64" and not (
-                        any(c.isdigit() for c in piece) and any(c.isupper() for c in piece)
-                        and any(c.islower() for c in piece)):
+            for start, end in outside(m.start(), m.end(), taken):
+                if end - start < window:
                     continue
-                start, end = m.start() + a, m.start() + b
-                k = bisect_right(taken, (start, 1 << 60)) - 1
-                near = [*taken[max(0, k):k + 2], *((s, e) for _, s, e in found)]
-                if not any(s < end and start < e for s, e in near):
-                    found.append((kind, start, end))
+                rest = text[start:end]
+                cut = [(x.start(), x.end()) for x in allowed.finditer(rest) if x.end() > x.start()]
+                for lo, hi in outside(0, len(rest), cut):
+                    for a, b in entropy_windows(rest[lo:hi], window, least):
+                        piece = rest[lo + a:lo + b]
+                        if mixed(kind, piece) and piece not in literals and not allowed.search(piece):
+                            own.append((kind, start + lo + a, start + lo + b))
+        if own:
+            taken = _merged([*taken, *((s, e) for _, s, e in own)])
+            found += own
     return found
 
 

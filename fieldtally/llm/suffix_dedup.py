@@ -25,8 +25,10 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Windows of a text hashed together; longer texts go piece by piece.
 PIECE = 1 << 18
-#: Windows sorted together in a task, and contexts of a gram beyond which its windows are dealt by their own hash.
+#: Windows sorted together in a task, and contexts of a gram beyond which its windows are counted by their own hash.
 BATCH_WINDOWS, GROUP_CONTEXTS = 200_000, 10_000
+#: Share of those windows, as one in so many, above which a hash is met by broadcast.
+HOT = 10_000
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,27 +185,18 @@ def _context_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("_key", "raw").mapInArrow(run, schema)
 
 
-def _chunks(met: DataFrame, length: int, most: int) -> DataFrame:
-    """The bytes of each context to sort, under its gram; those of very frequent grams window by window."""
-    schema = "g long, sub long, _key long, lo int, n int, a int, only boolean, bytes binary"
+def _chunks(met: DataFrame, length: int) -> DataFrame:
+    """The bytes of each context to sort, under its gram."""
+    schema = "g long, _key long, lo int, n int, a int, only boolean, bytes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200).to_pydict()
-                out: list[tuple] = []
-                for key, raw, wanted in zip(part["_key"], part["raw"], part["wanted"], strict=True):
-                    for w in wanted:
-                        lo, n, a, parts = w["lo"], w["n"], w["a"], -(-w["m"] // most)
-                        if parts == 1:
-                            out.append((w["g"], 0, key, lo, n, a, w["only"], raw[lo:lo + n + length - 1]))
-                            continue
-                        for p in range(lo, lo + n):
-                            own = raw[p:p + length]
-                            out.append((w["g"], 1 + xxhash.xxh3_64_intdigest(own) % parts, key, p, 1, a - p + lo,
-                                        w["only"], own))
-                names = ["g", "sub", "_key", "lo", "n", "a", "only", "bytes"]
-                kinds = [*[pa.int64()] * 3, *[pa.int32()] * 3, pa.bool_(), pa.binary()]
+                out = [(w["g"], key, w["lo"], w["n"], w["a"], w["only"], raw[w["lo"]:w["lo"] + w["n"] + length - 1])
+                       for key, raw, wanted in zip(part["_key"], part["raw"], part["wanted"], strict=True) for w in wanted]
+                names = ["g", "_key", "lo", "n", "a", "only", "bytes"]
+                kinds = [*[pa.int64()] * 2, *[pa.int32()] * 3, pa.bool_(), pa.binary()]
                 for s in range(0, len(out), 50_000):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r[i] for r in out[s:s + 50_000]], t) for i, t in enumerate(kinds)], names=names)
@@ -211,6 +204,38 @@ def _chunks(met: DataFrame, length: int, most: int) -> DataFrame:
     return met.mapInArrow(run, schema)
 
 
+def _hashed_repeats(met: DataFrame, length: int) -> DataFrame:
+    """As _repeated_windows, for very frequent grams: windows meet as counts of 128-bit hashes, whatever their number.
+
+    Hashes of over one window in ``HOT`` are at most so many and meet their windows by broadcast.
+    """
+    schema = "_key long, lo int, only boolean, h1 long, h2 long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200).to_pydict()
+                out: list[tuple] = []
+                for key, raw, wanted in zip(part["_key"], part["raw"], part["wanted"], strict=True):
+                    for w in wanted:
+                        for p in range(w["lo"], w["lo"] + w["n"]):
+                            mark = xxhash.xxh3_128_digest(raw[p:p + length])
+                            out.append((key, p, w["only"], *(int.from_bytes(x, "little", signed=True)
+                                                             for x in (mark[:8], mark[8:]))))
+                kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+                for s in range(0, len(out), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out[s:s + 50_000]], t)
+                                                      for i, t in enumerate(kinds)], names=["_key", "lo", "only", "h1", "h2"])
+
+    windows = store(met.mapInArrow(run, schema), "hashed-windows")
+    repeated = store(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "repeated-hashes")
+    bound = windows.count() / HOT
+    hot = F.broadcast(repeated.where(F.col("n") > bound).drop("n"))
+    rest, own = repeated.where(F.col("n") <= bound).drop("n"), windows.where("only")
+    found = own.join(hot, ["h1", "h2"]).unionByName(own.join(hot, ["h1", "h2"], "left_anti").join(rest, ["h1", "h2"]))
+    return found.select("_key", "lo", F.col("lo").alias("hi"))
+
+
 def _repeated_windows(chunks: DataFrame, length: int) -> DataFrame:
     """Ranges of windows of contexts that occur once (``only``) which are repeated nevertheless."""
     schema = "_key long, lo int, hi int"
@@ -252,18 +277,18 @@ def _repeated_windows(chunks: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 for r in batch.slice(k, 2000).to_pylist():
-                    if (r["g"], r["sub"]) != last:
+                    if r["g"] != last:
                         if windows >= BATCH_WINDOWS:
                             yield table(solve(groups))
                             groups, windows = [], 0
                         groups.append([])
-                        last = (r["g"], r["sub"])
+                        last = r["g"]
                     groups[-1].append(r)
                     windows += r["n"]
         if groups:
             yield table(solve(groups))
 
-    return chunks.repartition("g", "sub").sortWithinPartitions("g", "sub").mapInArrow(run, schema)
+    return chunks.repartition("g").sortWithinPartitions("g").mapInArrow(run, schema)
 
 
 def repeated_ranges(docs: DataFrame, length: int, gram: int, group_contexts: int) -> DataFrame:
@@ -271,7 +296,8 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, group_contexts: int
 
     Contexts that occur twice are repeated as a whole.  The others of a repeated gram are
     sorted with one copy of each different context of that gram; a gram with more than
-    ``group_contexts`` of them is split by the hash of the windows, which sends equal windows to one group.
+    ``group_contexts`` of them has its windows hashed and counted before equal ones meet, so no task
+    holds them all; only where there are such grams, their texts are shuffled once more.
     """
     contexts = _context_rows(docs, length, gram)
     by_context = contexts.groupBy("g", "e").agg(F.count("*").alias("copies"),
@@ -282,10 +308,16 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, group_contexts: int
         "_key", "lo", "n", "a", "g", "m", (F.col("copies") > 1).alias("twice"),
         ((F.col("m") > 1) & (F.col("one._key") == F.col("_key")) & (F.col("one.lo") == F.col("lo"))).alias("wanted"),
     ).where("twice or wanted"), "context-places")
-    wanted = rows.where("wanted").groupBy("_key").agg(  # bounded by the document's contexts
-        F.collect_set(F.struct("lo", "n", "a", "g", "m", (~F.col("twice")).alias("only"))).alias("wanted"))
-    met = docs.select("_key", "raw").join(wanted, "_key")
-    single = store(_repeated_windows(_chunks(met, length, group_contexts), length), "repeated-windows")
+
+    def meet(part: DataFrame) -> DataFrame:
+        wanted = part.groupBy("_key").agg(  # bounded by the document's contexts
+            F.collect_set(F.struct("lo", "n", "a", "g", (~F.col("twice")).alias("only"))).alias("wanted"))
+        return docs.select("_key", "raw").join(wanted, "_key")
+
+    few, many = (rows.where("wanted").where(x) for x in (F.col("m") <= group_contexts, F.col("m") > group_contexts))
+    single = store(_repeated_windows(_chunks(meet(few), length), length), "repeated-windows")
+    if many.limit(1).count():
+        single = single.unionByName(_hashed_repeats(meet(many), length))
     return rows.where("twice").select("_key", "lo", (F.col("lo") + F.col("n") - 1).alias("hi")).unionByName(single)
 
 

@@ -227,6 +227,23 @@ def test_removed_bytes_equal_all_windows(spark, monkeypatch, group):
     assert [got[i] for i, _ in rows] == removed_bytes(raws, 40)
 
 
+def test_windows_of_a_frequent_gram_are_not_held_together(spark, monkeypatch):
+    rng, largest, plain = random.Random(8), [0], suffix_dedup._repeated_windows
+    own = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = own(120)
+    rows = [(i, own(60) + passage + own(60)) for i in range(60)]
+
+    def measured(chunks, length):
+        largest[0] = max((r["count"] for r in chunks.groupBy("g").count().collect()), default=0)
+        return plain(chunks, length)
+
+    monkeypatch.setattr(suffix_dedup, "_repeated_windows", measured)
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.drop_repeats(
+        spark.createDataFrame(rows, "doc_id long, text string"), length=40, gram=12, group_contexts=5).collect()}
+    assert largest[0] <= 5
+    assert [got[i] for i, _ in rows] == removed_bytes([t.encode() for _, t in rows], 40)
+
+
 def test_suffix_sort_orders_windows():
     rng = np.random.default_rng(2)
     buffer = rng.integers(97, 99, 3000).astype(np.uint8)

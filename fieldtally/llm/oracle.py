@@ -88,8 +88,50 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM all_counts
 """
 
+#: CRC-32 byte by byte over each distinct feature, weights by bucket, and the highest twentieth of the eligible.
+TARGET_RESAMPLING = r"""
+WITH RECURSIVE steps AS (
+    SELECT n, 0 AS i, n AS v FROM range(256) r(n)
+    UNION ALL SELECT n, i + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE i < 8
+), tab AS (SELECT list(v ORDER BY n) AS t FROM steps WHERE i = 8
+), d AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+), b AS (
+    SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark
+), runs AS (
+    SELECT rid, array_to_string(w[i:i + k], ' ') AS g FROM d, (VALUES (0), (1), (2)) ks(k), unnest(range(1, len(w) - k + 1)) AS r(i)
+), target_runs AS (
+    SELECT array_to_string(w[i:i + k], ' ') AS g FROM b, (VALUES (0), (1), (2)) ks(k), unnest(range(1, len(w) - k + 1)) AS r(i)
+), sums AS (
+    SELECT g, xor(list_reduce(list_transform(range(0, len(hex(g)) // 2), lambda i: ('0x' || substr(hex(g), 2 * i + 1, 2))::BIGINT),
+        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+    FROM (SELECT g FROM runs UNION SELECT g FROM target_runs), tab
+), s AS (SELECT bucket, count(*) AS n FROM runs JOIN sums USING (g) GROUP BY bucket
+), t AS (SELECT bucket, count(*) AS n FROM target_runs JOIN sums USING (g) GROUP BY bucket
+), totals AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t_all
+), gain AS (
+    SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000)
+                                   / ((coalesce(s.n, 0) + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain
+    FROM s FULL JOIN t USING (bucket), totals
+), weights AS (
+    SELECT rid, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM runs JOIN sums USING (g) JOIN gain USING (bucket) GROUP BY rid
+), scored AS (
+    SELECT rid, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE)
+                                                      / 4294967296)))::BIGINT AS score
+    FROM d LEFT JOIN weights USING (rid)
+), ranked AS (
+    SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, rid) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 5 // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (rid)
+"""
+
 ORACLES = {
     "op1_ngram_join": NGRAM_JOIN,
     "op2_decontamination": DECONTAMINATION,
     "op3_line_frequency": LINE_FREQUENCY,
+    "op11_target_resampling": TARGET_RESAMPLING,
 }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, ngram_join, quality, secrets, sentence_spans, sharding, suffix_dedup, suffix_tree_lm, toxicity
+from . import bpe, decontamination, ngram_join, quality, secrets, sentence_spans, sharding, suffix_dedup, suffix_tree_lm, target_resampling, \
+    toxicity
 from .common import sha256, table
 from .oracle import ORACLES
 
@@ -92,6 +93,11 @@ def op10_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op11_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = target_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -104,6 +110,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_sentence_spans": op9_sentence_spans,
         "op10_hilbert_shards": op10_hilbert_shards,
+        "op11_target_resampling": op11_target_resampling,
     }
 
 

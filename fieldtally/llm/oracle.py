@@ -129,9 +129,24 @@ WITH RECURSIVE steps AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 5 // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (rid)
 """
 
+WARC = r"""
+WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), g AS (SELECT payload, max(page_id) AS last FROM p GROUP BY payload
+), d AS (
+    SELECT payload, last, octet_length(payload) AS payload_bytes,
+           array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+               (('0x' || substr(sha1(payload) || '00', 2 * (i * 5 // 8) + 1, 4))::BIGINT >> (11 - i * 5 % 8)) % 32, 1)), '') AS payload_digest
+    FROM g)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < last THEN last END AS refers_to
+FROM p JOIN d USING (payload)
+"""
+
 ORACLES = {
     "op1_ngram_join": NGRAM_JOIN,
     "op2_decontamination": DECONTAMINATION,
     "op3_line_frequency": LINE_FREQUENCY,
     "op11_target_resampling": TARGET_RESAMPLING,
+    "op13_warc": WARC,
 }

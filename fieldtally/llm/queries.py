@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, ngram_join, quality, secrets, sentence_spans, sharding, suffix_dedup, suffix_tree_lm, target_resampling, \
-    toxicity
+from fieldtally.session import scratch_table
+
+from . import (bpe, decontamination, ngram_join, quality, secrets, sentence_spans, sharding, suffix_dedup, suffix_tree_lm,
+               target_resampling, toxicity, warc)
 from .common import sha256, table
 from .oracle import ORACLES
 
@@ -98,6 +100,15 @@ def op11_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    legacy, archives = scratch_table(spark, "arc"), scratch_table(spark, "warc")
+    warc.write_arc(table(spark, folder, "pages"), legacy)
+    warc.arc_to_warc(spark, legacy, archives)
+    return warc.read_warc(spark, archives, payloads=False).where("warc_type IN ('response', 'revisit')").select(
+        F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("warc_type").alias("record_type"), F.col("refers_to_key").cast("long").alias("refers_to"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -111,6 +122,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sentence_spans": op9_sentence_spans,
         "op10_hilbert_shards": op10_hilbert_shards,
         "op11_target_resampling": op11_target_resampling,
+        "op13_warc": op13_warc,
     }
 
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.session import scratch_table
 
-from . import (bpe, decontamination, ngram_join, quality, secrets, sentence_spans, sharding, suffix_dedup, suffix_tree_lm,
-               target_resampling, toxicity, warc)
+from . import (bpe, decontamination, ngram_join, periodic_runs, quality, secrets, sentence_spans, sharding, suffix_dedup,
+               suffix_tree_lm, target_resampling, toxicity, warc)
 from .common import sha256, table
 from .oracle import ORACLES
 
@@ -100,6 +101,29 @@ def op11_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def with_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's change of every tenth document: from some word on it repeats a stretch of its own. Null ids change nothing."""
+    h = crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    done = periodic_runs.collapse_runs(table(spark, folder, "documents"), rewrite=with_period)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("less"))))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    start, length, period = -F.col("_longest.before"), F.col("_longest.length"), -F.col("_longest.less")
+    return done.withColumn("_longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        sha256(lines).alias("runs_sha256"), sha256(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
     legacy, archives = scratch_table(spark, "arc"), scratch_table(spark, "warc")
     warc.write_arc(table(spark, folder, "pages"), legacy)
@@ -122,6 +146,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sentence_spans": op9_sentence_spans,
         "op10_hilbert_shards": op10_hilbert_shards,
         "op11_target_resampling": op11_target_resampling,
+        "op12_periodic_runs": op12_periodic_runs,
         "op13_warc": op13_warc,
     }
 

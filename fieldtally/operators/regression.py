@@ -9,11 +9,11 @@ estimated from
 
     G = diag(n_t) - sum over units of c c' / n      (c: the unit's days as 0/1)
 
-and the cross products of the demeaned columns with each other and with the
-days.  A first pass over units sums these; a second one, knowing the day
-coefficients, forms residuals and each unit's score for clustered errors.
-No dummy matrix of the whole panel exists at any point.  Panels with more days
-than the driver should solve for are demeaned by unit and day in turn instead.
+and the sums by day of the demeaned columns.  G itself is never formed: conjugate
+gradients only need G times a vector of days, which is a pass over the units whose
+tasks send numbers in proportion to days.  A last pass, knowing the day coefficients,
+forms residuals and each unit's score for clustered errors.  No dummy matrix of the
+whole panel, and none of days by days, exists at any point.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from fieldtally.operators.panel import TREATMENT, event_weeks, presence_filter,
 from fieldtally.session import cut_lineage
 
 _CELLS_PER_BLOCK = 1_000_000
-_ROWS = "spec string, i int, v array<double>"  # row i of a matrix per specification
 
 _OLS_RESULT = T.StructType([
     T.StructField("spec", T.StringType()),
@@ -59,6 +58,7 @@ _FE_RESULT = T.StructType([
     T.StructField("n_zones", T.LongType()),
     T.StructField("n_days", T.LongType()),
     T.StructField("absorbed", T.BooleanType()),
+    T.StructField("converged", T.BooleanType()),
 ])
 
 
@@ -143,7 +143,7 @@ def pretrend_test(series: DataFrame, specs: dict[str, Column], *, treated: str =
 
 @dataclass
 class _Fit:
-    """What the second pass needs to know about one specification."""
+    """One specification's estimates and what its errors need."""
 
     beta: np.ndarray
     kept: list[int]
@@ -151,189 +151,297 @@ class _Fit:
     n: int
     units: int
     days: int
-    day_y: np.ndarray | None = None  # day coefficients of the outcome
-    day_x: np.ndarray | None = None  # and of each regressor (days x regressors)
+    converged: bool
+    periods: np.ndarray | None = None  # days, and by day
+    effects: np.ndarray | None = None  # the day coefficients of the outcome and of each regressor
 
 
 def two_way_fixed_effects(df: DataFrame, unit: str, day: str, y: str, xs: Sequence[str], *, by: str | None = None,
-                          debias: bool = True, level: float = 0.95, method: str = "moments") -> DataFrame:
+                          levels: tuple[str, Sequence[int]] | None = None, debias: bool = True, level: float = 0.95,
+                          method: str = "gradients", dropped: Observation | None = None) -> DataFrame:
     """Coefficients of ``xs`` given unit and day effects, errors clustered by unit.
 
     One result row per specification (value of ``by``) and regressor.  The
     panel may be unbalanced but has one row per unit and day.  A regressor the
     effects explain fully is reported as absorbed, without a coefficient.
     With ``debias`` the covariance is scaled by n / (n - k - units - days + 1),
-    and t quantiles use those degrees of freedom.
-
-    ``method`` chooses the way, whatever the size: "moments" sums cross products of
-    the days in one pass and solves for the day effects on the driver, with
-    memory for (days + regressors) squared numbers a task; "sweep" removes both
-    effects by repeated demeaning, for panels of many thousand days.  The
-    estimates are the same.
+    and t quantiles use those degrees of freedom.  Rows with a missing value stay
+    out; ``dropped`` receives their number.
+
+    ``levels`` names a column of whole numbers and those of its values that are
+    regressors too, each an indicator called ``column_value``.  A row carries
+    the one number, whatever the number of levels.
+
+    ``method`` chooses the way, whatever the size: "gradients" solves for the day
+    effects by conjugate gradients, a pass over the units a step, whose tasks send
+    numbers in proportion to days; "sweep" removes both effects by repeated
+    demeaning, for panels whose days do not fit the driver.  The estimates are the
+    same; ``converged`` tells whether the steps came to an end within the tolerance.
     """
-    if method not in ("moments", "sweep"):
+    if method not in ("gradients", "sweep"):
         raise ValueError(f"unknown method {method!r}")
-    xs = list(xs)
+    xs, values = list(xs), list(levels[1]) if levels else []
+    terms = xs + [f"{levels[0]}_{v}" for v in values]
     spec = F.col(by).cast("string") if by else F.lit("all")
     period = F.unix_date(day) if isinstance(df.schema[day].dataType, T.DateType) else F.col(day).cast("bigint")
-    # A panel is read several times below and usually stands on a much larger fact.
-    panel = cut_lineage(df.select(
+    # Place of the row's level among the levels, from 0; array_position gives 0 for other values.
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, values)), F.col(levels[0])), F.lit(0)) - 1 if values else F.lit(-1)
+    rows = df.select(
         spec.alias("spec"), F.col(unit).alias("unit"), period.cast("bigint").alias("t"),
-        F.col(y).cast("double").alias("y"),
-        F.array(*[F.col(c).cast("double") for c in xs]).alias("x"),
-    ).where(F.col("unit").isNotNull() & F.col("t").isNotNull() & F.col("y").isNotNull() & ~F.isnan("y")
-            & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))))
-    _one_row_a_cell(panel)
-    fits, meats = (_fit_by_sweeping if method == "sweep" else _fit_by_days)(panel, len(xs))
-    rows = [r for s in sorted(fits) for r in _table(s, xs, fits[s], meats[s], debias, level)]
-    return df.sparkSession.createDataFrame(rows, _FE_RESULT)
-
-
-def _fit_by_days(panel: DataFrame, p: int) -> tuple[dict[str, _Fit], dict[str, np.ndarray]]:
-    """Two passes over units, with the day effects solved on the driver in between."""
-    periods = np.sort(np.array([r[0] for r in panel.select("t").distinct().collect()], dtype=np.int64))
-    cells = F.collect_list(F.struct("t", "y", "x")).alias("cells")  # one for each of a unit's days
-    units = panel.groupBy("spec", "unit").agg(cells).select("spec", "cells")
-    moments = _summed(units.mapInArrow(_first_pass(periods, p), _ROWS))
-    fits = {s: _solve(m, len(periods), p) for s, m in _matrices(moments, len(periods) + p + 3).items()}
-    scores = _summed_small(units.mapInArrow(_second_pass(periods, p, fits), _ROWS))
-    return fits, _matrices(scores, p)
+        F.col(y).cast("double").alias("y"), F.array(*[F.col(c).cast("double") for c in xs]).cast("array<double>").alias("x"),
+        place.cast("int").alias("k"))
+    whole = F.coalesce(F.col("unit").isNotNull() & F.col("t").isNotNull() & F.col("y").isNotNull() & ~F.isnan("y")
+                       & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)), F.lit(False))
+    if dropped is not None:
+        rows = rows.observe(dropped, C.count_where(~whole).alias("dropped_rows"))
+    fit = _fit_by_sweeping if method == "sweep" else _fit_by_gradients
+    fits, meats = fit(rows.where(whole), len(xs), len(values))
+    out = [r for s in sorted(fits) for r in _table(s, terms, fits[s], meats[s], debias, level)]
+    return df.sparkSession.createDataFrame(out, _FE_RESULT)
+
+
+_MORE_THAN_ONE = "the panel has more than one row for some unit and day"
+
+
+def _fit_by_gradients(panel: DataFrame, dense: int, levels: int) -> tuple[dict[str, _Fit], dict[str, np.ndarray]]:
+    """One row a unit, stored once; then a pass for the moments, one a step for the day effects, one for the errors."""
+    p = dense + levels
+    # Both groupings use the one shuffle.  First a row a cell, which bounds a unit's cells by the days.
+    cells = panel.repartition("spec", "unit").groupBy("spec", "unit", "t").agg(
+        F.count(F.lit(1)).alias("n"), F.first("y").alias("y"), F.first("x").alias("x"), F.first("k").alias("k"))
+    units = cut_lineage(cells.groupBy("spec", "unit").agg(
+        F.max("n").alias("most"), F.collect_list(F.struct("t", "y", "x", "k")).alias("cells")).select("spec", "most", "cells"))
+    moments = _added(units, _moments(dense, levels))
+    if not moments:
+        return {}, {}
+    if any(m["size"][-1, 0] > 1 for m in moments.values()):
+        raise ValueError(_MORE_THAN_ONE)
+    periods = {s: m["days"] for s, m in moments.items()}
+    right = {s: m["day"][:, :p + 1] for s, m in moments.items()}
+    scale = {s: m["day"][:, p + 1] for s, m in moments.items()}
+    effects, converged = _day_effects(
+        right, scale, lambda v: {s: m["day"] for s, m in _added(units, _apply(periods, v, dense, levels)).items()})
+    fits = {}
+    for s, m in moments.items():
+        cross, (n, number) = m["cross"], m["size"][:2, 0]
+        left = cross - right[s].T @ effects[s]  # outcome and regressors, beside unit and day effects
+        fits[s] = _Fit(*_estimate(left[1:, 1:], left[1:, 0], m["raw"][1:, 0]), int(n), int(number), len(periods[s]),
+                       converged[s], periods[s], effects[s])
+    scores = _added(units, _scores(fits, dense, levels))
+    return fits, {s: m["cross"][1:, 1:] for s, m in scores.items()}
 
 
-def _one_row_a_cell(panel: DataFrame) -> None:
-    """No unit may have two rows for a day; this also bounds a unit's rows by the days."""
-    if panel.groupBy("spec", "unit", "t").count().where(F.col("count") > 1).limit(1).count():
-        raise ValueError("the panel has more than one row for some unit and day")
+#: What a task sends: numbers of the parts of its sums, added up by Spark; a day's numbers are found by the day itself.
+_NUMBERS = "spec string, part string, i bigint, j int, v double"
 
 
-def _blocks(batch: pa.RecordBatch, periods: np.ndarray, p: int) -> Iterator[tuple]:
-    """Dense (presence, y, x) blocks of units, split by specification."""
-    specs = np.asarray(batch.column(0).to_pylist(), dtype=object)
-    cells = batch.column(1)
-    lengths = np.asarray(cells.value_lengths())
-    flat = cells.flatten()
-    column = np.searchsorted(periods, np.asarray(flat.field("t")))
-    y = np.asarray(flat.field("y"))
-    x = np.asarray(flat.field("x").flatten()).reshape(len(y), p)
-    ends = np.cumsum(lengths)
-    per_block = max(1, _CELLS_PER_BLOCK // (len(periods) * (p + 2)))
-    for s in sorted(set(specs)):
-        members = np.flatnonzero(specs == s)
-        for at in range(0, len(members), per_block):
-            chosen = members[at:at + per_block]
-            rows = np.repeat(np.arange(len(chosen)), lengths[chosen])
-            source = np.concatenate([np.arange(ends[m] - lengths[m], ends[m]) for m in chosen])
-            present = np.zeros((len(chosen), len(periods)))
-            values = np.zeros((p + 1, len(chosen), len(periods)))
-            present[rows, column[source]] = 1.0
-            values[0, rows, column[source]] = y[source]
-            for k in range(p):
-                values[k + 1, rows, column[source]] = x[source, k]
-            yield s, present, values
+def _added(units: DataFrame, work) -> dict[str, dict[str, np.ndarray]]:
+    """Sums over all tasks of what ``work`` adds up in each: per specification its parts as matrices.
 
+    ``days`` lists the values of ``i`` in the part ``day``, whose rows follow it.
+    """
+    sums = units.mapInArrow(work, _NUMBERS).groupBy("spec", "part", "i", "j").agg(
+        F.sum(F.when(F.col("part") != "most", F.col("v"))).alias("v"), F.max("v").alias("top"))
+    table = sums.toArrow()  # some numbers a day and specification
+    spec, part = (np.asarray(table.column(c).to_pylist(), dtype=object) for c in ("spec", "part"))
+    i, j = np.asarray(table.column("i")), np.asarray(table.column("j"))
+    v = np.where(part == "most", np.asarray(table.column("top")), np.asarray(table.column("v")))
+    out: dict[str, dict[str, np.ndarray]] = {}
+    for s in sorted(set(spec)):
+        own = out[s] = {}
+        for name in set(part[spec == s]) - {"most"}:
+            at = (spec == s) & (part == name)
+            rows, place = np.unique(i[at], return_inverse=True) if name == "day" else (np.arange(i[at].max() + 1), i[at])
+            own[name] = np.zeros((len(rows), int(j[at].max()) + 1))
+            own[name][place, j[at]] = v[at]
+            if name == "day":
+                own["days"] = rows
+        most = v[(spec == s) & (part == "most")]
+        if len(most):
+            own["size"] = np.vstack([own["size"], [[most[0]]]])
+    return out
 
-def _demean(present: np.ndarray, values: np.ndarray) -> np.ndarray:
-    means = values.sum(axis=2) / present.sum(axis=1)
-    return values - means[:, :, None] * present
 
+class _Sums:
+    """A task's sums by specification: matrices, and numbers by day."""
 
-def _emit(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for s, m in sums.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([s] * len(m)), pa.array(range(len(m)), pa.int32()),
-             pa.array(list(m), pa.list_(pa.float64()))],
-            names=["spec", "i", "v"])
+    def __init__(self):
+        self.parts: dict[tuple[str, str], np.ndarray] = {}
+        self.days: dict[str, dict[int, np.ndarray]] = {}
 
+    def add(self, spec: str, part: str, m: np.ndarray) -> None:
+        self.parts[spec, part] = self.parts.get((spec, part), 0) + m
 
-def _first_pass(periods: np.ndarray, p: int):
-    """Per task and specification one symmetric matrix over (days, regressors, outcome, raw size, counts)."""
-    t = len(periods)
+    def most(self, spec: str, n: int) -> None:
+        self.parts[spec, "most"] = np.maximum(self.parts.get((spec, "most"), 0), np.array([[n]]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for s, present, values in _blocks(batch, periods, p):
-                m = sums.setdefault(s, np.zeros((t + p + 3, t + p + 3)))
-                n = present.sum(axis=1)
-                m[:t, :t] += np.diag(present.sum(axis=0)) - (present / n[:, None]).T @ present
-                centred = _demean(present, values)
-                by_day = centred.sum(axis=1)  # (1 + p) x days
-                m[:t, t:t + p] += by_day[1:].T
-                m[:t, t + p] += by_day[0]
-                flat = centred.reshape(p + 1, -1)
-                cross = flat @ flat.T
-                m[t:t + p, t:t + p] += cross[1:, 1:]
-                m[t:t + p, t + p] += cross[1:, 0]
-                m[t + p, t + p] += cross[0, 0]
-                m[t + p + 1, t:t + p] += np.square(values[1:]).sum(axis=(1, 2))
-                m[t + p + 1, :t] += present.sum(axis=0)
-                m[t + p + 2, 0] += present.sum()
-                m[t + p + 2, 1] += len(n)
-        yield from _emit(sums)
+    def by_day(self, spec: str, days: np.ndarray, numbers: np.ndarray) -> None:
+        own = self.days.setdefault(spec, {})
+        for t, row in zip(days.tolist(), numbers):
+            own[t] = own[t] + row if t in own else row
 
-    return run
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        def batch(spec, part, i, m):
+            rows, columns = m.shape
+            return pa.RecordBatch.from_arrays(
+                [pa.array([spec] * m.size), pa.array([part] * m.size), pa.array(np.repeat(i, columns).astype(np.int64)),
+                 pa.array(np.tile(np.arange(columns, dtype=np.int32), rows)), pa.array(np.asarray(m, float).reshape(-1))],
+                names=["spec", "part", "i", "j", "v"])
+
+        for (spec, part), m in self.parts.items():
+            yield batch(spec, part, np.arange(len(m)), m)
+        for spec, own in self.days.items():
+            if own:
+                yield batch(spec, "day", np.array(list(own)), np.stack(list(own.values())))
 
 
-def _second_pass(periods: np.ndarray, p: int, fits: dict[str, _Fit]):
-    """Per task and specification the sum over units of score times score."""
+@dataclass
+class _Block:
+    """Cells of some units of one specification, unit by unit; columns are the outcome and the regressors."""
+
+    spec: str
+    most: int
+    starts: np.ndarray
+    lengths: np.ndarray
+    t: np.ndarray
+    values: np.ndarray
+
+    def demeaned(self, values: np.ndarray) -> np.ndarray:
+        means = np.add.reduceat(values, self.starts, axis=0) / self.lengths[:, None]
+        return values - np.repeat(means, self.lengths, axis=0)
+
+    def summed_by_day(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        days, place = np.unique(self.t, return_inverse=True)
+        return days, np.stack([np.bincount(place, c, len(days)) for c in values.T], axis=1)
+
+
+def _blocks(batch: pa.RecordBatch, dense: int, levels: int) -> Iterator[_Block]:
+    """Units of a batch in blocks of at most ``_CELLS_PER_BLOCK`` numbers, a larger unit alone; indicators exist only here."""
+    specs = np.asarray(batch.column("spec").to_pylist(), dtype=object)
+    most, cells = np.asarray(batch.column("most")), batch.column("cells")
+    lengths = np.asarray(cells.value_lengths()).astype(np.int64)
+    flat = cells.flatten()
+    t, y, k = (np.asarray(flat.field(c)) for c in ("t", "y", "k"))
+    x = np.asarray(flat.field("x").flatten()).reshape(len(y), dense)
+    ends = np.cumsum(lengths)
+    for s in sorted(set(specs)):
+        members = np.flatnonzero(specs == s)
+        size = np.cumsum(lengths[members]) * (1 + dense + levels)
+        at = 0
+        while at < len(members):
+            stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _CELLS_PER_BLOCK, side="right")))
+            chosen = members[at:stop]
+            n = lengths[chosen]
+            starts = np.cumsum(n) - n
+            source = np.repeat(ends[chosen] - n - starts, n) + np.arange(n.sum())
+            values = np.zeros((len(source), 1 + dense + levels))
+            values[:, 0] = y[source]
+            values[:, 1:1 + dense] = x[source]
+            hit = np.flatnonzero(k[source] >= 0)
+            values[hit, 1 + dense + k[source][hit]] = 1.0
+            yield _Block(s, int(most[chosen].max()), starts, n, t[source], values)
+            at = stop
+
+
+def _each_block(add, dense: int, levels: int):
+    """A task: ``add(sums, block)`` for every block, then the sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums = _Sums()
         for batch in batches:
-            for s, present, values in _blocks(batch, periods, p):
-                fit = fits[s]
-                effects = np.vstack([fit.day_y, fit.day_x.T])[:, None, :] * present[None]
-                residual = _demean(present, values) - _demean(present, effects)
-                x = residual[1:]
-                error = residual[0] - np.tensordot(fit.beta, x, axes=1)
-                scores = (x * error[None]).sum(axis=2).T  # units x regressors
-                sums.setdefault(s, np.zeros((p, p)))
-                sums[s] += scores.T @ scores
-        yield from _emit(sums)
+            for block in _blocks(batch, dense, levels):
+                add(sums, block)
+        yield from sums.batches()
 
     return run
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    """Long matrix rows added up over tasks; a group holds one row per task."""
+def _moments(dense: int, levels: int):
+    """Sums of demeaned columns by day and of their products; by day also the diagonal of the day system."""
 
-    def add(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-        total = np.sum(np.stack(part.column("v").to_numpy()), axis=0)
-        return pa.table({"spec": [key[0].as_py()], "i": pa.array([key[1].as_py()], pa.int32()),
-                         "v": pa.array([total], pa.list_(pa.float64()))})
+    def add(sums: _Sums, b: _Block) -> None:
+        centred = b.demeaned(b.values)
+        own = 1.0 - 1.0 / np.repeat(b.lengths, b.lengths)
+        sums.by_day(b.spec, *b.summed_by_day(np.column_stack([centred, own])))
+        sums.add(b.spec, "cross", centred.T @ centred)
+        sums.add(b.spec, "raw", np.square(b.values).sum(axis=0)[:, None])
+        sums.add(b.spec, "size", np.array([[len(b.t)], [len(b.lengths)]]))
+        sums.most(b.spec, b.most)
 
-    return rows.groupBy("spec", "i").applyInArrow(add, _ROWS)
+    return _each_block(add, dense, levels)
 
 
-def _summed_small(rows: DataFrame) -> DataFrame:
-    """The same for short rows (one number per pair of regressors), number by number."""
-    numbers = rows.select("spec", "i", F.posexplode("v").alias("j", "n")).groupBy("spec", "i", "j").agg(
-        F.sum("n").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("j", "n")))
-    return numbers.groupBy("spec", "i").agg(ordered.getField("n").alias("v"))
+def _by_day(periods: np.ndarray, numbers: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return numbers[np.searchsorted(periods, t)]
 
 
-def _matrices(rows: DataFrame, size: int) -> dict[str, np.ndarray]:
-    out: dict[str, np.ndarray] = {}
-    for r in rows.collect():  # (days + regressors) squared numbers per specification
-        out.setdefault(r["spec"], np.zeros((size, size)))[r["i"]] = r["v"]
-    return out
+def _apply(periods: dict[str, np.ndarray], vectors: dict[str, np.ndarray], dense: int, levels: int):
+    """The day system times day vectors: each day's values less their units' means, summed over units."""
+
+    def add(sums: _Sums, b: _Block) -> None:
+        if b.spec in vectors:
+            sums.by_day(b.spec, *b.summed_by_day(b.demeaned(_by_day(periods[b.spec], vectors[b.spec], b.t))))
+
+    return _each_block(add, dense, levels)
+
+
+def _scores(fits: dict[str, _Fit], dense: int, levels: int):
+    """Sums over units of score times score; the outcome's row and column are not used."""
+
+    def add(sums: _Sums, b: _Block) -> None:
+        fit = fits[b.spec]
+        left = b.demeaned(b.values - _by_day(fit.periods, fit.effects, b.t))
+        error = left[:, 0] - left[:, 1:] @ fit.beta
+        scores = np.add.reduceat(left * error[:, None], b.starts, axis=0)
+        sums.add(b.spec, "cross", scores.T @ scores)
 
+    return _each_block(add, dense, levels)
 
-def _solve(m: np.ndarray, t: int, p: int) -> _Fit:
-    dx, dy = m[:t, t:t + p], m[:t, t + p]
-    # Days are rank deficient by one per group of days no unit connects.  Scaled
-    # to a unit diagonal, rounding leaves those eigenvalues near 1e-14, well
-    # below the cut-off; any generalised inverse serves as well as another.
-    scale = np.sqrt(np.where(np.diag(m[:t, :t]) > 0, np.diag(m[:t, :t]), 1.0))
-    scale = np.outer(scale, scale)
-    inverse_days = np.linalg.pinv(m[:t, :t] / scale, rcond=1e-11, hermitian=True) / scale
-    day_x, day_y = inverse_days @ dx, inverse_days @ dy
-    gram = m[t:t + p, t:t + p] - dx.T @ day_x
-    cross = m[t:t + p, t + p] - dx.T @ day_y
-    n, units = int(round(m[t + p + 2, 0])), int(round(m[t + p + 2, 1]))
-    days = int((m[t + p + 1, :t] > 0).sum())
-    return _Fit(*_estimate(gram, cross, m[t + p + 1, t:t + p]), n, units, days, day_y, day_x)
+
+def _day_effects(right: dict[str, np.ndarray], scale: dict[str, np.ndarray], system, tolerance: float = 1e-12,
+                 patience: int = 25) -> tuple[dict[str, np.ndarray], dict[str, bool]]:
+    """Solutions of the day system for all columns of all specifications at once, by conjugate gradients.
+
+    Days that no unit connects leave the system singular; its right sides lie in
+    its range, where the steps stay, and any solution serves.  Steps end within the
+    tolerance, or once ``patience`` of them brought no specification nearer.
+    """
+    names = sorted(right)
+    inverse = {s: 1.0 / np.where(scale[s] > 1e-9, scale[s], 1.0)[:, None] for s in names}
+    solution = {s: np.zeros_like(right[s]) for s in names}
+    left = {s: right[s].copy() for s in names}
+    size = {s: np.linalg.norm(right[s], axis=0) for s in names}
+    floor = {s: tolerance * np.maximum(size[s], 1e-300) for s in names}
+    step = {s: inverse[s] * left[s] for s in names}
+    weight = {s: (left[s] * step[s]).sum(axis=0) for s in names}
+    closest, stalled = {s: np.full_like(size[s], np.inf) for s in names}, 0
+    while True:
+        off = {s: np.linalg.norm(left[s], axis=0) for s in names}
+        open_ = [s for s in names if (off[s] > floor[s]).any()]
+        nearer = any((off[s] < closest[s])[off[s] > floor[s]].any() for s in open_)
+        stalled = 0 if nearer else stalled + 1
+        if not open_ or stalled > patience:
+            break
+        closest = {s: np.minimum(closest[s], off[s]) for s in names}
+        moved = system({s: step[s] for s in open_})
+        for s in open_:
+            bend = (step[s] * moved[s]).sum(axis=0)
+            go = (off[s] > floor[s]) & (bend > 0)
+            length = np.where(go, weight[s] / np.where(go, bend, 1.0), 0.0)
+            solution[s] += length * step[s]
+            left[s] -= length * moved[s]
+            nearby = inverse[s] * left[s]
+            new = (left[s] * nearby).sum(axis=0)
+            step[s] = nearby + np.where(go & (weight[s] > 0), new / np.where(weight[s] > 0, weight[s], 1.0), 0.0) * step[s]
+            weight[s] = new
+    # Rounding may keep the residual above the tolerance; a millionfold of it still gives all printed digits.
+    return solution, {s: bool((off[s] <= 1e6 * floor[s]).all()) for s in names}
+
+
+def _one_row_a_cell(panel: DataFrame) -> None:
+    """No unit may have two rows for a day."""
+    if panel.groupBy("spec", "unit", "t").count().where(F.col("count") > 1).limit(1).count():
+        raise ValueError(_MORE_THAN_ONE)
 
 
 def _estimate(gram: np.ndarray, cross: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
@@ -355,16 +463,19 @@ def _estimate(gram: np.ndarray, cross: np.ndarray, raw: np.ndarray) -> tuple[np.
     return beta, kept, inverse
 
 
-def _fit_by_sweeping(panel: DataFrame, p: int, tolerance: float = 1e-11) -> tuple[dict[str, _Fit], dict[str, np.ndarray]]:
+def _fit_by_sweeping(panel: DataFrame, dense: int, levels: int, tolerance: float = 1e-11) -> tuple[dict[str, _Fit], dict[str, np.ndarray]]:
     """The same estimates for any number of days: demean by unit and by day until neither moves.
 
     Every step is an aggregation joined back on its own key, and the panel is
     cut loose after each round, so plans do not grow with the rounds.  Rounds end
     within the tolerance, or where rounding lets nothing move closer any more.
     """
+    p = dense + levels
     names = [f"v{i}" for i in range(p + 1)]
-    data = cut_lineage(panel.select("spec", "unit", "t", F.col("y").alias("v0"),
-                                    *[F.col("x")[i].alias(f"v{i + 1}") for i in range(p)]))
+    data = cut_lineage(panel.select(
+        "spec", "unit", "t", F.col("y").alias("v0"), *[F.col("x")[i].alias(f"v{i + 1}") for i in range(dense)],
+        *[C.indicator(F.col("k") == i).cast("double").alias(f"v{dense + i + 1}") for i in range(levels)]))
+    _one_row_a_cell(data)
     size = {r["spec"]: r for r in data.groupBy("spec").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("unit").alias("units"), F.countDistinct("t").alias("days"),
         *[F.sum(F.col(c) * F.col(c)).alias(c) for c in names]).collect()}  # one row per specification
@@ -376,16 +487,17 @@ def _fit_by_sweeping(panel: DataFrame, p: int, tolerance: float = 1e-11) -> tupl
         return df.join(means(df, key), ["spec", key]).select(
             "spec", "unit", "t", *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in names])
 
-    closest, stalled = math.inf, 0
+    closest, stalled, off = math.inf, 0, {}
     while stalled < 25:
         data = cut_lineage(without(without(data, "unit"), "t"))
         moved = means(data, "unit").groupBy("spec").agg(
             *[F.sum(F.col("_n") * F.pow(f"m_{c}", F.lit(2.0))).alias(c) for c in names]).collect()
-        off = max((r[c] / max(size[r["spec"]][c], 1e-300) for r in moved for c in names), default=0.0)
-        if off <= tolerance**2:
+        off = {r["spec"]: max(r[c] / max(size[r["spec"]][c], 1e-300) for c in names) for r in moved}
+        furthest = max(off.values(), default=0.0)
+        if furthest <= tolerance**2:
             break
-        stalled = 0 if off < closest else stalled + 1
-        closest = min(closest, off)
+        stalled = 0 if furthest < closest else stalled + 1
+        closest = min(closest, furthest)
 
     pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
     fits = {}
@@ -393,7 +505,8 @@ def _fit_by_sweeping(panel: DataFrame, p: int, tolerance: float = 1e-11) -> tupl
             *[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"g_{i}_{j}") for i, j in pairs]).collect():
         gram, known = _symmetric(row, "g", p + 1), size[row["spec"]]
         raw = np.array([known[c] for c in names[1:]])
-        fits[row["spec"]] = _Fit(*_estimate(gram[1:, 1:], gram[1:, 0], raw), known["n"], known["units"], known["days"])
+        fits[row["spec"]] = _Fit(*_estimate(gram[1:, 1:], gram[1:, 0], raw), known["n"], known["units"], known["days"],
+                                 off[row["spec"]] <= (1e3 * tolerance)**2)
 
     betas = panel.sparkSession.createDataFrame(
         [(s, [float(b) for b in f.beta]) for s, f in fits.items()], "spec string, _beta array<double>")
@@ -420,7 +533,7 @@ def _table(spec: str, xs: list[str], fit: _Fit, meat: np.ndarray, debias: bool,
     rows = []
     for j, term in enumerate(xs):
         if j not in fit.kept:
-            rows.append((spec, term, *[None] * 6, fit.n, fit.units, fit.days, True))
+            rows.append((spec, term, *[None] * 6, fit.n, fit.units, fit.days, True, fit.converged))
             continue
         b = float(fit.beta[j])
         at = fit.kept.index(j)
@@ -428,13 +541,14 @@ def _table(spec: str, xs: list[str], fit: _Fit, meat: np.ndarray, debias: bool,
         stat = b / se if se > 0 else float("nan")
         p = dist.t_two_sided_p(stat, df_left) if debias else dist.normal_two_sided_p(stat)
         rows.append((spec, term, b, se, stat, p if se > 0 else float("nan"),
-                     b - reach * se, b + reach * se, fit.n, fit.units, fit.days, False))
+                     b - reach * se, b + reach * se, fit.n, fit.units, fit.days, False, fit.converged))
     return rows
 
 
 # --- difference in differences -----------------------------------------------------------
 
-def did_regression(panel: DataFrame, specs: dict[str, Column], *, fraction: float = 0.7) -> DataFrame:
+def did_regression(panel: DataFrame, specs: dict[str, Column], *, fraction: float = 0.7,
+                   method: str = "gradients") -> DataFrame:
     """Effect of the policy on log daily volume, one result row per specification.
 
     A specification is a condition choosing its panel rows, for example a
@@ -446,7 +560,8 @@ def did_regression(panel: DataFrame, specs: dict[str, Column], *, fraction: floa
         "did": F.col("is_treatment") * F.col("is_post"),
     })
     sample = presence_filter(with_specs(data, specs), ["spec"], fraction=fraction)
-    fit = two_way_fixed_effects(sample, "location_id", "trip_date", "log_trip_count", ["did"], by="spec")
+    fit = two_way_fixed_effects(sample, "location_id", "trip_date", "log_trip_count", ["did"], by="spec",
+                                method=method)
     return with_percent_effects(fit)
 
 
@@ -479,7 +594,7 @@ def keep_positive(panel: DataFrame, columns: Sequence[str], dropped: Observation
 
 
 def did_outcomes(panel: DataFrame, sample: Column, *, fraction: float = 0.7,
-                 dropped: Observation | None = None) -> DataFrame:
+                 dropped: Observation | None = None, method: str = "gradients") -> DataFrame:
     """Effect on log fare per trip, log pay per trip and pay as a share of fare.
 
     Log outcomes also show percent effects, the share shows percentage points.
@@ -495,7 +610,7 @@ def did_outcomes(panel: DataFrame, sample: Column, *, fraction: float = 0.7,
     long = kept.withColumn("did", F.col("is_treatment") * F.col("is_post")).select(
         "location_id", "trip_date", "did",
         F.inline(F.array(*[F.struct(F.lit(k).alias("spec"), v.alias("y")) for k, v in outcomes.items()])))
-    fit = two_way_fixed_effects(long, "location_id", "trip_date", "y", ["did"], by="spec")
+    fit = two_way_fixed_effects(long, "location_id", "trip_date", "y", ["did"], by="spec", method=method)
     logged = F.col("spec") != "driver_share_of_fare"
 
     def effect(c: str) -> Column:
@@ -507,21 +622,19 @@ def did_outcomes(panel: DataFrame, sample: Column, *, fraction: float = 0.7,
     })
 
 
-def event_study(panel: DataFrame, policy: C.Moment, reference: int, *, fraction: float = 0.7) -> DataFrame:
+def event_study(panel: DataFrame, policy: C.Moment, reference: int, *, fraction: float = 0.7,
+                method: str = "gradients") -> DataFrame:
     """Treatment effect in each full week around the policy, relative to a reference week.
 
     Partial weeks go first, then units sparse in the days that are left.  The
     reference week is listed with a zero coefficient.
     """
     dated = event_weeks(_panel_copy(panel), policy)
-    sample = presence_filter(dated, fraction=fraction).withColumn("log_trip_count", F.log("trip_count"))
     weeks = sorted(r[0] for r in dated.select("week_relative").distinct().collect())  # one per calendar week
-    estimated = [w for w in weeks if w != reference]
-    names = {f"week_{w}": w for w in estimated}
-    dummies = {name: C.indicator((F.col("is_treatment") == 1) & (F.col("week_relative") == w))
-               for name, w in names.items()}
-    fit = two_way_fixed_effects(sample.withColumns(dummies), "location_id", "trip_date", "log_trip_count",
-                                list(names))
+    sample = presence_filter(dated, fraction=fraction).withColumns({
+        "log_trip_count": F.log("trip_count"), "week": F.when(F.col("is_treatment") == 1, F.col("week_relative"))})
+    fit = two_way_fixed_effects(sample, "location_id", "trip_date", "log_trip_count", [],
+                                levels=("week", [w for w in weeks if w != reference]), method=method)
     week = F.regexp_replace("term", "week_", "").cast("int").alias("week_relative")
     table = fit.select(week, "coef", F.col("std_error").alias("se"), "ci_low", "ci_high")
     zero = panel.sparkSession.createDataFrame([(reference, 0.0, 0.0, 0.0, 0.0)], table.schema)

@@ -508,7 +508,7 @@ _PCT_NUMBERS = ("pct_effect", "pct_low", "pct_high")
 def twfe_did(spark, d):
     fit = regression.did_regression(_panel(spark, d), {"primary": _between(OUTER_CONTROL) & _no_holidays()},
                                     fraction=B.PRESENCE)
-    return _rounded(fit, 6, *_FE_NUMBERS, *_PCT_NUMBERS)
+    return _rounded(fit.drop("converged"), 6, *_FE_NUMBERS, *_PCT_NUMBERS)
 
 
 @query
@@ -518,13 +518,13 @@ def twfe_specs(spark, d):
         "sensitivity": _between(OUTER_CONTROL),
         "robustness": _between(CORE_CONTROL) & _no_holidays(),
     }, fraction=B.PRESENCE)
-    return _rounded(fit, 6, *_FE_NUMBERS, *_PCT_NUMBERS)
+    return _rounded(fit.drop("converged"), 6, *_FE_NUMBERS, *_PCT_NUMBERS)
 
 
 @query
 def twfe_outcomes(spark, d):
     fit = regression.did_outcomes(_panel(spark, d), _between(OUTER_CONTROL) & _no_holidays(), fraction=B.PRESENCE)
-    return _rounded(fit, 6, *_FE_NUMBERS, "effect", "effect_low", "effect_high")
+    return _rounded(fit.drop("converged"), 6, *_FE_NUMBERS, "effect", "effect_low", "effect_high")
 
 
 @query

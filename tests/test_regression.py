@@ -113,12 +113,94 @@ def test_small_blocks_change_nothing(spark, monkeypatch):
     p = make_panel()
     whole = regression.two_way_fixed_effects(spark.createDataFrame(p), "z", "d", "y", ["did"]).first()
     monkeypatch.setattr(regression, "_CELLS_PER_BLOCK", 1)
-    periods = np.sort(np.unique([(d - date(1970, 1, 1)).days for d in p.d]))
     cells = spark.createDataFrame(p).groupBy(F.lit("all").alias("spec"), "z").agg(
-        F.collect_list(F.struct(F.unix_date("d").cast("long").alias("t"), "y", F.array(F.col("did").cast("double")).alias("x")))
-        .alias("cells")).select("spec", "cells").toArrow().combine_chunks().to_batches()[0]
-    blocks = list(regression._blocks(cells, periods, 1))
-    assert len(blocks) == 40 and sum(b[1].sum() for b in blocks) == whole.n_obs
+        F.lit(1).alias("most"), F.collect_list(F.struct(
+            F.unix_date("d").cast("long").alias("t"), "y", F.array(F.col("did").cast("double")).alias("x"), F.lit(-1).alias("k")))
+        .alias("cells")).select("spec", "most", "cells").toArrow().combine_chunks().to_batches()[0]
+    blocks = list(regression._blocks(cells, 1, 0))
+    assert len(blocks) == 40 and sum(len(b.t) for b in blocks) == whole.n_obs
+
+
+def test_many_days_equal_the_dense_solve(spark):
+    """4,000 days and few units, gaps and all: the matrix of days by days is solved here only."""
+    rng = np.random.default_rng(8)
+    units, days = 12, 4000
+    z, d = (a.ravel() for a in np.meshgrid(np.arange(units), np.arange(days), indexing="ij"))
+    seen = rng.random(len(z)) < 0.7
+    z, d = z[seen], d[seen]
+    x = rng.normal(size=len(z)) + 0.3 * (z % 3) * np.sin(d / 50)
+    y = 0.2 * z + np.cos(d / 9) + 0.5 * x + rng.normal(size=len(z))
+    df = spark.createDataFrame(pd.DataFrame({"z": z, "d": d, "x": x, "y": y}))
+    got = regression.two_way_fixed_effects(df, "z", "d", "y", ["x"]).first()
+    presence = np.zeros((units, days))
+    presence[z, d] = 1
+    n = presence.sum(axis=1)
+    gram = np.diag(presence.sum(axis=0)) - (presence / n[:, None]).T @ presence
+    less = lambda v: v - (np.bincount(z, v, units) / n)[z]
+    right = np.stack([np.bincount(d, less(v), days) for v in (y, x)], axis=1)
+    effects = np.linalg.lstsq(gram, right, rcond=1e-12)[0]
+    ey, ex = less(y - effects[d, 0]), less(x - effects[d, 1])
+    beta = (ex @ ey) / (ex @ ex)
+    scores = np.bincount(z, ex * (ey - beta * ex), units)
+    left = len(z) - 1 - units - days + 1
+    assert got.converged and got.n_days == days and got.coef == pytest.approx(beta, rel=1e-9)
+    assert got.std_error == pytest.approx(np.sqrt((scores**2).sum() * len(z) / left) / (ex @ ex), rel=1e-9)
+
+
+def test_what_a_task_sends_grows_with_days_not_with_their_square():
+    import pyarrow as pa
+
+    def sent(days):
+        cells = [{"t": t, "y": float(t % 7), "x": [1.0], "k": t % 3} for t in range(days)]
+        kind = pa.list_(pa.struct([("t", pa.int64()), ("y", pa.float64()), ("x", pa.list_(pa.float64())), ("k", pa.int32())]))
+        batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 5), pa.array([1] * 5), pa.array([cells] * 5, kind)],
+                                           names=["spec", "most", "cells"])
+        periods, vectors = {"a": np.arange(days)}, {"a": np.ones((days, 5))}
+        return [sum(b.num_rows for b in run(iter([batch]))) for run in (
+            regression._moments(1, 3), regression._apply(periods, vectors, 1, 3))]
+
+    few, many = sent(100), sent(1000)
+    assert many[1] == 10 * few[1] == 5000 and many[0] - few[0] == 900 * 6
+
+
+def test_levels_equal_indicator_columns(spark):
+    p = make_panel(units=25, days=20).assign(week=lambda q: [int(d.day) // 7 if t else -9 for d, t in zip(q.d, q.treat)])
+    df = spark.createDataFrame(p)
+    shown = df.withColumns({f"week_{w}": (F.col("week") == w).cast("int") for w in (1, 2)})
+    want = regression.two_way_fixed_effects(shown, "z", "d", "y", ["w", "week_1", "week_2"]).collect()
+    for method in ("gradients", "sweep"):
+        got = regression.two_way_fixed_effects(df, "z", "d", "y", ["w"], levels=("week", [1, 2]), method=method).collect()
+        assert [r.term for r in got] == ["w", "week_1", "week_2"] and all(r.converged for r in got)
+        for a, b in zip(want, got):
+            assert b.coef == pytest.approx(a.coef, rel=1e-8) and b.std_error == pytest.approx(a.std_error, rel=1e-8)
+
+
+def test_no_indicator_columns_in_the_plan_of_the_event_study(spark, monkeypatch):
+    seen = []
+    fit = regression._fit_by_gradients
+    monkeypatch.setattr(regression, "_fit_by_gradients", lambda panel, *a: (seen.append(panel.columns), fit(panel, *a))[1])
+    regression.event_study(did_panel(spark), "2024-03-04", -3)
+    assert seen == [["spec", "unit", "t", "y", "x", "k"]]
+
+
+def test_missing_values_are_counted(spark):
+    p = make_panel(units=10, days=8)
+    holes = spark.createDataFrame(p).withColumn("w", F.when(F.col("w") > 0, F.col("w")))
+    seen = Observation()
+    got = regression.two_way_fixed_effects(holes, "z", "d", "y", ["w"], dropped=seen).first()
+    assert got.n_obs == int((p.w > 0).sum()) and seen.get["dropped_rows"] == int((p.w <= 0).sum())
+
+
+def test_methods_reach_the_operators(spark):
+    panel = did_panel(spark, units=9)
+    keep = F.lit(True)
+    for make in (lambda m: regression.did_regression(panel, {"all": keep}, method=m),
+                 lambda m: regression.did_outcomes(panel, keep, method=m),
+                 lambda m: regression.event_study(panel, "2024-03-04", -3, method=m)):
+        for a, b in zip(make("gradients").collect(), make("sweep").collect()):
+            assert a[0] == b[0] and b.coef == pytest.approx(a.coef, rel=1e-7)
+    with pytest.raises(ValueError, match="unknown method"):
+        regression.did_regression(panel, {"all": keep}, method="dense")
 
 
 def did_panel(spark, weeks=(-3, 3), units=24):

@@ -183,19 +183,16 @@ def cumulative_by_tenure(items: DataFrame, checkpoints: Sequence[int] = TENURE_C
 
 
 def mean_running_volume(items: DataFrame, *, user: str = "user_id", number: str = "order_number",
-                        out: str = "avg_cumulative_items_prior",
-                        max_rows_per_task: int = ordering.MAX_ROWS_PER_TASK) -> DataFrame:
+                        out: str = "avg_cumulative_items_prior") -> DataFrame:
     """Mean running item count at every order number (the checkpoint list left open)."""
-    per_order = cut_lineage(items.groupBy(user, number).agg(F.count(F.lit(1)).alias("_n")))
-    return mean_running_count(per_order, "_n", user=user, number=number, out=out, max_rows_per_task=max_rows_per_task)
+    per_order = items.groupBy(user, number).agg(F.count(F.lit(1)).alias("_n"))
+    return mean_running_count(per_order, "_n", user=user, number=number, out=out)
 
 
 def mean_running_count(per_order: DataFrame, count: str, *, user: str = "user_id", number: str = "order_number",
-                       out: str = "avg_cumulative_items_prior",
-                       max_rows_per_task: int = ordering.MAX_ROWS_PER_TASK) -> DataFrame:
-    """The same from one row per order.  It is read twice, once to look for oversized users: cut it loose before."""
-    running = ordering.sequence_within(per_order, [user], [F.col(number).asc()], running={"_sum": count},
-                                       max_rows_per_task=max_rows_per_task)
+                       out: str = "avg_cumulative_items_prior") -> DataFrame:
+    """The same from one row per order."""
+    running = ordering.sequence_within(per_order, [user], [F.col(number).asc()], running={"_sum": count})
     return running.groupBy(number).agg(F.avg("_sum").alias(out))
 
 

@@ -25,9 +25,6 @@ SLOT = "_slot"
 SEGMENT = "_segment"
 _SEGMENT_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
 
-# A key with more rows than this is never handed to one window task.
-MAX_ROWS_PER_TASK = 5_000_000
-
 
 def stamp_order(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Rows sorted across the cluster with their place: ``_segment`` and ``_slot``.
@@ -133,11 +130,6 @@ def quantiles_of_counts(stamped: DataFrame, value: str, quantiles: Mapping[str,
     return found.select(*out)
 
 
-def oversized_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Keys with more than ``limit`` rows; at most rows / limit of them exist."""
-    return df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
-
-
 def sequence_within(
     df: DataFrame,
     keys: Sequence[str],
@@ -147,74 +139,60 @@ def sequence_within(
     previous: Mapping[str, str] | None = None,
     running: Mapping[str, str] | None = None,
     last: str | None = None,
-    max_rows_per_task: int = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
     """Row number, previous value, running sum and last-row flag of each key in order.
 
     ``previous`` and ``running`` map a new column to its input column;
-    ``order`` must be unique inside a key.  Keys of ordinary size use plain
-    windows.  Keys above ``max_rows_per_task`` are sorted over many tasks and
-    each piece continues from what the earlier pieces of its key add up to.
+    ``order`` must be unique inside a key.  Rows are sorted by key and order over
+    many tasks, so a key of any size is spread like all others.  Within a sorted
+    segment plain windows count; only a segment's first key can go on from
+    earlier ones, and what they add up to is one row a segment.
     """
-    previous, running = dict(previous or {}), dict(running or {})
-    big = oversized_keys(df, keys, max_rows_per_task).collect()
-    if not big:
-        return _window_sequence(df, list(keys), order, number, previous, running, last)
-    schema = df.select(*keys).schema
-    heavy = F.broadcast(df.sparkSession.createDataFrame(big, schema))  # rows / limit keys at most
-    same = [df[k].eqNullSafe(heavy[k]) for k in keys]
-    ordinary = _window_sequence(df.join(heavy, same, "left_anti"), list(keys), order, number, previous, running, last)
-    split = _split_sequence(df.join(heavy, same, "left_semi"), list(keys), order, number, previous, running, last)
-    return ordinary.unionByName(split)
-
-
-def _window_sequence(df, keys, order, number, previous, running, last) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    up_to_here = w.rowsBetween(Window.unboundedPreceding, 0)
-    added = {}
-    if number:
-        added[number] = F.row_number().over(w)
-    added.update({out: F.lag(src).over(w) for out, src in previous.items()})
-    added.update({out: F.sum(src).over(up_to_here) for out, src in running.items()})
-    if last:
-        added[last] = F.lead(F.lit(1)).over(w).isNull()
-    return df.withColumns(added)
-
-
-def _split_sequence(df, keys, order, number, previous, running, last) -> DataFrame:
+    keys, previous, running = list(keys), dict(previous or {}), dict(running or {})
     stamped = stamp_order(df, [F.col(k).asc() for k in keys] + list(order))
-    piece = [*keys, SEGMENT]
-
-    # What each piece of a key passes on: one row per key and partition it spans.
-    facts = [F.count(F.lit(1)).alias("_rows")]
-    facts += [F.max_by(F.struct(src), SLOT).alias(f"_last_{out}") for out, src in previous.items()]
-    facts += [F.sum(src).alias(f"_sum_{out}") for out, src in running.items()]
-    pieces = stamped.groupBy(*piece).agg(*facts)
-    w = Window.partitionBy(*keys).orderBy(SEGMENT)
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    carry = [F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
-             F.col("_rows").alias("_rows_here"), F.lead(F.lit(1)).over(w).isNull().alias("_final")]
-    carry += [F.lag(f"_last_{out}").over(w).alias(f"_last_{out}") for out in previous]
-    carry += [F.sum(f"_sum_{out}").over(earlier).alias(f"_sum_{out}") for out in running]
-    renamed = [F.col(c).alias(f"_k_{c}") for c in piece]
-    carried = pieces.select(*renamed, *carry)
-
-    local = Window.partitionBy(*piece).orderBy(SLOT)
+    local = Window.partitionBy(SEGMENT, *keys).orderBy(SLOT)
     up_to_here = local.rowsBetween(Window.unboundedPreceding, 0)
-    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in piece]
-    joined = stamped.withColumn("_nth", F.row_number().over(local))
-    joined = joined.withColumns({f"_prev_{out}": F.lag(src).over(local) for out, src in previous.items()})
-    joined = joined.withColumns({f"_run_{out}": F.sum(src).over(up_to_here) for out, src in running.items()})
-    joined = joined.join(F.broadcast(carried), same)  # at most one row per partition and per heavy key
+    counted = stamped.withColumns({
+        "_nth": F.row_number().over(local).cast("bigint"),
+        "_more": F.lead(F.lit(True)).over(local).isNotNull(),
+        **{f"_prev_{out}": F.lag(src).over(local) for out, src in previous.items()},
+        **{f"_run_{out}": F.sum(src).over(up_to_here) for out, src in running.items()},
+    })
+    carried = _carried(counted, keys, previous, running)
+    goes_on = F.col("_goes_on") & F.struct(*keys).eqNullSafe(F.col("_first_key"))
+    joined = counted.join(F.broadcast(carried), SEGMENT)  # one row per sorted partition
     added = {}
     if number:
-        added[number] = (F.col("_rows_before") + F.col("_nth")).cast("int")
-    for out, src in previous.items():
-        continued = F.col(f"_last_{out}").getField(src)
-        added[out] = F.when(F.col("_nth") == 1, continued).otherwise(F.col(f"_prev_{out}"))
+        added[number] = (F.col("_nth") + F.when(goes_on, F.col("_rows_before")).otherwise(0)).cast("int")
+    for out in previous:
+        added[out] = F.when(goes_on & (F.col("_nth") == 1), F.col(f"_last_{out}")).otherwise(F.col(f"_prev_{out}"))
     for out in running:
-        before, here = F.col(f"_sum_{out}"), F.col(f"_run_{out}")
+        before, here = F.when(goes_on, F.col(f"_sum_{out}")), F.col(f"_run_{out}")
         added[out] = F.when(before.isNull(), here).otherwise(before + F.coalesce(here, F.lit(0)))
     if last:
-        added[last] = F.col("_final") & (F.col("_nth") == F.col("_rows_here"))
+        added[last] = ~F.col("_more") & ~(F.col("_stays") & F.struct(*keys).eqNullSafe(F.col("_last_key")))
     return joined.withColumns(added).select(*df.columns, *added)
+
+
+def _carried(counted: DataFrame, keys: list[str], previous: Mapping[str, str], running: Mapping[str, str]) -> DataFrame:
+    """Per segment its first and last key, and what the first key's rows in earlier segments add up to."""
+    key = F.struct(*keys)
+    ends = counted.groupBy(SEGMENT).agg(
+        F.min_by(key, SLOT).alias("_first_key"), F.max_by(key, SLOT).alias("_last_key"), F.max_by("_nth", SLOT).alias("_rows"),
+        *[F.max_by(F.struct(F.col(src).alias("v")), SLOT).alias(f"_end_{out}") for out, src in previous.items()],
+        *[F.max_by(F.struct(F.col(f"_run_{out}").alias("v")), SLOT).alias(f"_end_{out}") for out in running])
+    # One row per segment: single-task windows are right here.  Segments that end with one key stand
+    # side by side, so its rows up to a segment are those of the segments ending with it.
+    same_end = Window.partitionBy("_last_key").orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, 0)
+    in_order = Window.partitionBy(F.lit(0)).orderBy(SEGMENT)
+    summed = ends.withColumns({"_rows": F.sum("_rows").over(same_end), **{
+        f"_end_{out}": F.struct(F.sum(F.col(f"_end_{out}.v")).over(same_end).alias("v")) for out in running}})
+    return summed.select(
+        SEGMENT, "_first_key", "_last_key",
+        F.coalesce(F.lag("_last_key").over(in_order).eqNullSafe(F.col("_first_key")) & F.lag(F.lit(True)).over(in_order),
+                   F.lit(False)).alias("_goes_on"),
+        F.coalesce(F.lead("_first_key").over(in_order).eqNullSafe(F.col("_last_key")) & F.lead(F.lit(True)).over(in_order),
+                   F.lit(False)).alias("_stays"),
+        F.lag("_rows").over(in_order).alias("_rows_before"),
+        *[F.lag(f"_end_{out}").over(in_order).getField("v").alias(f"_last_{out}") for out in previous],
+        *[F.lag(f"_end_{out}").over(in_order).getField("v").alias(f"_sum_{out}") for out in running])

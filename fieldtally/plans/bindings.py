@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.functions import columns as C
-from fieldtally.operators.ordering import MAX_ROWS_PER_TASK, sequence_within
+from fieldtally.operators.ordering import sequence_within
 from fieldtally.sources import schemas
 from fieldtally.sources.readers import to_contract
 
@@ -107,12 +107,12 @@ def zones(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFram
         F.col("c_mktsegment").alias("service_zone"))
 
 
-def orders(raw: DataFrame, *, max_rows_per_task: int = MAX_ROWS_PER_TASK) -> DataFrame:
+def orders(raw: DataFrame) -> DataFrame:
     """Orders with their number, capped gap and held-out set in their customer's sequence."""
     slim = raw.select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderdate").alias("_at"))
     placed = sequence_within(
         slim, ["o_custkey"], [F.col("_at").asc(), F.col("o_orderkey").asc()],
-        number="order_number", previous={"_before": "_at"}, last="_last", max_rows_per_task=max_rows_per_task)
+        number="order_number", previous={"_before": "_at"}, last="_last")
     gap = F.datediff(F.to_date("_at"), F.to_date("_before"))
     held_out = F.when(F.col("o_orderstatus") == "O", "test").otherwise("train")
     return placed.select(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from fieldtally.functions import columns as C
 from fieldtally.operators import cohorts, demand
-from fieldtally.operators.ordering import MAX_ROWS_PER_TASK
 from fieldtally.session import cut_lineage
 
 
@@ -65,8 +64,7 @@ def user_rfm(orders: DataFrame, items: DataFrame, tier: Mapping | None = None) -
     )
 
 
-def order_sequence_summary(orders: DataFrame, items: DataFrame, *,
-                           max_rows_per_task: int = MAX_ROWS_PER_TASK) -> DataFrame:
+def order_sequence_summary(orders: DataFrame, items: DataFrame) -> DataFrame:
     """One row per order number: retention, reorder rate and mean running volume.
 
     Items are read once, down to one row per order, which gives both the
@@ -77,8 +75,7 @@ def order_sequence_summary(orders: DataFrame, items: DataFrame, *,
     rates = per_order.groupBy("order_number").agg(F.sum("_n").alias("total_items"), F.sum("_r").alias("_r")).select(
         "order_number", "total_items",
         C.percent(F.col("_r"), F.col("total_items")).alias("reorder_rate_pct"))
-    volume = cohorts.mean_running_count(per_order.where(F.col("source_eval_set") == "prior"), "_n",
-                                        max_rows_per_task=max_rows_per_task)
+    volume = cohorts.mean_running_count(per_order.where(F.col("source_eval_set") == "prior"), "_n")
     return (
         cohorts.sequence_retention(orders)
         .join(rates, "order_number", "left")

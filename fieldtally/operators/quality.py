@@ -3,11 +3,17 @@
 Checks on one table that only look at single rows share one pass over it.
 Checks on keys aggregate to the key first, so a key with very many rows is
 combined before the shuffle.
+
+``run`` answers any number of checks on any number of tables at once: each table
+is read once, as a stream of (check, key) entries, and one aggregation by check and
+key, then one by check, gives all failures.  The functions ``expect_...`` declare
+what it takes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -109,3 +115,115 @@ def partition_identity(df: DataFrame, table: str, unit: str, column: str, parts:
 
 def report(*results: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, results)
+
+
+# --- many checks in one pass ----------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Feed:
+    """What rows of ``table`` give to a check: ``value`` for their key, on one of two sides, where ``when`` holds."""
+
+    table: str
+    when: Column
+    key: tuple[str, ...] = ()
+    value: Column | None = None  # 1 without one
+    other: bool = False
+
+
+@dataclass(frozen=True)
+class Expectation:
+    check: str
+    table: str
+    column: str
+    measure: str  # one of the keys of _MEASURES
+    feeds: tuple[Feed, ...]
+    warn_above: int = 0
+    error_above: int = 0
+
+
+#: Failures of a check from its keys, each with the sums of either side, NULL where it has no rows.
+_MEASURES = {
+    "rows": "sum(a)",
+    "repeated keys": "count_if(a > 1)",
+    "rows without other": "sum(a) FILTER (WHERE b IS NULL)",
+    "unlike totals": "int(coalesce(sum(a), 0) <> coalesce(sum(b), 0))",
+    "unlike numbers of keys": "abs(count(a) - count(b))",
+}
+
+
+def expect_not_null(table: str, column: str) -> Expectation:
+    return Expectation("not_null", table, column, "rows", (Feed(table, F.col(column).isNull()),))
+
+
+def expect_accepted(table: str, column: str, values: Sequence) -> Expectation:
+    return Expectation("accepted_values", table, column, "rows", (Feed(table, ~F.col(column).isin(list(values))),))
+
+
+def expect_within(table: str, column: str, bad: Column, warn_above: int = 0, error_above: int = 20) -> Expectation:
+    return Expectation("threshold", table, column, "rows", (Feed(table, bad),), warn_above, error_above)
+
+
+def expect_unique(table: str, column: str) -> Expectation:
+    return Expectation("unique", table, column, "repeated keys", (Feed(table, F.col(column).isNotNull(), (column,)),))
+
+
+def expect_unique_together(table: str, columns: Sequence[str]) -> Expectation:
+    """Missing values count as values, as in ``unique_combination``."""
+    return Expectation("unique_combination", table, ",".join(columns), "repeated keys",
+                       (Feed(table, F.lit(True), tuple(columns)),))
+
+
+def expect_known(table: str, column: str, parent: str, parent_column: str) -> Expectation:
+    return Expectation("relationships", table, column, "rows without other", (
+        Feed(table, F.col(column).isNotNull(), (column,)),
+        Feed(parent, F.col(parent_column).isNotNull(), (parent_column,), other=True)))
+
+
+def expect_same_total(check: str, table: str, column: str, left: tuple[str, Column, Column | None],
+                      right: tuple[str, Column, Column | None]) -> Expectation:
+    """Two sums of whole numbers that have to agree; a side is (table, condition, value or None for rows)."""
+    return Expectation(check, table, column, "unlike totals", (
+        Feed(left[0], left[1], (), left[2]), Feed(right[0], right[1], (), right[2], other=True)))
+
+
+def expect_one_part(table: str, unit: str, column: str, parts: Sequence[str]) -> Expectation:
+    """Pairs of unit and part have to be as many as units, so every unit has exactly one of the parts."""
+    some = F.col(unit).isNotNull()
+    return Expectation("partition_identity", table, column, "unlike numbers of keys", (
+        Feed(table, some & F.col(column).isin(list(parts)), (unit, column)), Feed(table, some, (unit,), other=True)))
+
+
+def run(expectations: Sequence[Expectation], tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The report of all checks whose tables are there, each table read once.
+
+    Keys are compared as text, column by column.  A row check costs an entry only for
+    rows that fail it; entries of one key are combined before the shuffle.
+    """
+    wanted = [e for e in expectations if all(f.table in tables for f in e.feeds)]
+    streams = []
+    for name, df in tables.items():
+        entries = [_entry(i, f) for i, e in enumerate(wanted) for f in e.feeds if f.table == name]
+        if entries:
+            streams.append(df.select(F.inline(F.array_compact(F.array(*entries)))))
+    spark = next(iter(tables.values())).sparkSession
+    shown = spark.createDataFrame(
+        [(i, e.check, e.table, e.column, e.warn_above, e.error_above) for i, e in enumerate(wanted)],
+        "id int, check string, table_name string, column_name string, warn int, error int")
+    if not streams:
+        return shown.select("check", "table_name", "column_name", F.lit(0).cast("bigint").alias("failures"),
+                            F.lit("pass").alias("status"))
+    keys = reduce(DataFrame.unionByName, streams).groupBy("id", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    used = sorted({e.measure for e in wanted})
+    measured = keys.groupBy("id").agg(*[F.expr(_MEASURES[m]).cast("bigint").alias(f"_{k}") for k, m in enumerate(used)])
+    failures = F.coalesce(*[F.when(F.col("id").isin([i for i, e in enumerate(wanted) if e.measure == m]), F.col(f"_{k}"))
+                            for k, m in enumerate(used)], F.lit(0)).cast("bigint")
+    return F.broadcast(measured).join(shown, "id", "right").select(  # one row a check
+        "check", "table_name", "column_name", failures.alias("failures"),
+        F.when(failures > F.col("error"), "error").when(failures > F.col("warn"), "warn").otherwise("pass").alias("status"))
+
+
+def _entry(number: int, feed: Feed) -> Column:
+    key = F.array(*[F.col(c).cast("string") for c in feed.key]).cast("array<string>")
+    value, none = F.coalesce((F.lit(1) if feed.value is None else feed.value).cast("bigint"), F.lit(0)), F.lit(None).cast("bigint")
+    a, b = (none, value) if feed.other else (value, none)
+    return F.when(feed.when, F.struct(F.lit(number).alias("id"), key.alias("key"), a.alias("a"), b.alias("b")))

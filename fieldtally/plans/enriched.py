@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions import columns as C
+from fieldtally.operators import joins
 
 # Licence codes and company names.
 COMPANIES = {"HV0003": "Uber", "HV0005": "Lyft"}
 
+# The columns of the source that the enriched trips keep.
 _KEPT = (
     "hvfhs_license_num", "dispatching_base_num",
     "request_datetime", "on_scene_datetime", "pickup_datetime", "dropoff_datetime",
@@ -22,18 +24,25 @@ _KEPT = (
 
 
 def trips_enriched(trips: DataFrame, zones: DataFrame, start: C.Moment | None = None, end: C.Moment | None = None,
-                   companies: Mapping[str, str] = COMPANIES) -> DataFrame:
+                   companies: Mapping[str, str] = COMPANIES, *, broadcast_rows: int = joins.BROADCAST_ROWS) -> DataFrame:
     """Trips picked up in [start, end) with company, both zones, calendar buckets and waiting intervals.
 
-    The zone table plays two roles.  It is left to the planner to broadcast
-    it, which it does while the table is under its size threshold.
+    The zone table plays two roles.  It is counted once: up to ``broadcast_rows`` rows it is
+    broadcast, and beyond that the zones with a large share of the trips are spread over tasks.
     """
     pickup = zones.select(F.col("location_id").alias("pickup_location_id"), F.col("zone").alias("pickup_zone"),
                           F.col("borough").alias("pickup_borough"))
     dropoff = zones.select(F.col("location_id").alias("dropoff_location_id"), F.col("zone").alias("dropoff_zone"),
                            F.col("borough").alias("dropoff_borough"))
     scoped = trips.where(C.within("pickup_datetime", start, end))
-    return scoped.join(pickup, "pickup_location_id").join(dropoff, "dropoff_location_id").select(
+    if joins.has_few_rows(zones, broadcast_rows):
+        placed = scoped.join(F.broadcast(pickup), "pickup_location_id").join(F.broadcast(dropoff), "dropoff_location_id")
+    else:
+        slim = scoped.select(*_KEPT, "shared_request_flag", "shared_match_flag")  # what a piece carries through the shuffles
+        by_dropoff = joins.heavy_keys(scoped, ["dropoff_location_id"])
+        placed = joins.spread_join(joins.spread_join(slim, pickup, ["pickup_location_id"]), dropoff,
+                                   ["dropoff_location_id"], heavy=by_dropoff)
+    return placed.select(
         *_KEPT,
         C.labelled("hvfhs_license_num", companies).alias("provider_name"),
         "pickup_zone", "pickup_borough", "dropoff_zone", "dropoff_borough",

@@ -547,11 +547,10 @@ def dq_not_null(spark, d):
 
 @query
 def dq_unique(spark, d):
-    return quality.report(
-        quality.unique(B.table(spark, d, "orders"), "orders", "o_orderkey"),
-        quality.unique(B.table(spark, d, "orders"), "orders", "o_custkey"),
-        quality.unique(B.table(spark, d, "part"), "part", "p_name"),
-        quality.unique(B.table(spark, d, "nation"), "nation", "n_nationkey"))
+    return quality.run(
+        [quality.expect_unique("orders", "o_orderkey"), quality.expect_unique("orders", "o_custkey"),
+         quality.expect_unique("part", "p_name"), quality.expect_unique("nation", "n_nationkey")],
+        {n: B.table(spark, d, n) for n in ("orders", "part", "nation")})
 
 
 @query
@@ -566,19 +565,20 @@ def dq_accepted_values(spark, d):
 
 @query
 def dq_relationships(spark, d):
-    table = {n: B.table(spark, d, n) for n in ("lineitem", "orders", "part", "customer", "events")}
-    return quality.report(
-        quality.relationships(table["lineitem"], "lineitem", "l_partkey", table["part"], "p_partkey"),
-        quality.relationships(table["lineitem"], "lineitem", "l_orderkey", table["orders"], "o_orderkey"),
-        quality.relationships(table["orders"], "orders", "o_orderkey", table["lineitem"], "l_orderkey"),
-        quality.relationships(table["customer"], "customer", "c_custkey", table["events"], "user_id"))
+    return quality.run(
+        [quality.expect_known("lineitem", "l_partkey", "part", "p_partkey"),
+         quality.expect_known("lineitem", "l_orderkey", "orders", "o_orderkey"),
+         quality.expect_known("orders", "o_orderkey", "lineitem", "l_orderkey"),
+         quality.expect_known("customer", "c_custkey", "events", "user_id")],
+        {n: B.table(spark, d, n) for n in ("lineitem", "orders", "part", "customer", "events")})
 
 
 @query
 def dq_unique_combination(spark, d):
-    return quality.report(
-        quality.unique_combination(B.table(spark, d, "lineitem"), "lineitem", ["l_orderkey", "l_linenumber"]),
-        quality.unique_combination(_panel(spark, d), "did_panel", ["trip_date", "location_id"]))
+    return quality.run(
+        [quality.expect_unique_together("lineitem", ["l_orderkey", "l_linenumber"]),
+         quality.expect_unique_together("did_panel", ["trip_date", "location_id"])],
+        {"lineitem": B.table(spark, d, "lineitem"), "did_panel": _panel(spark, d)})
 
 
 @query

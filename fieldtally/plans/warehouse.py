@@ -152,28 +152,25 @@ _RELATIONSHIPS = (
 
 
 def checks(models: Mapping[str, DataFrame], settings: Settings = Settings()) -> DataFrame:
-    """Every declared check of the models present, as one report."""
-    results = []
+    """Every declared check of the models present, as one report; each model is read once."""
+    wanted = []
     for name, spec in _ROW_CHECKS.items():
-        if name in models:
-            limits = {c: (F.expr(bad), warn, error) for c, (bad, warn, error) in spec.get("limits", {}).items()}
-            results.append(quality.row_checks(models[name], name, not_null=spec.get("not_null", ()),
-                                              accepted=spec.get("accepted"), thresholds=limits))
-    results += [quality.unique(models[m], m, c) for m, c in _UNIQUE if m in models]
-    results += [quality.unique_combination(models[m], m, cs) for m, cs in _UNIQUE_TOGETHER if m in models]
-    results += [quality.relationships(models[child], child, c, models[parent], p)
-                for child, c, parent, p in _RELATIONSHIPS if child in models]
-
-    rows = F.count(F.lit(1)).alias("n")
-    scoped = models["stg_trips"].where(C.within("pickup_datetime", *settings.scope))
-    results.append(quality.reconcile("mart_total", "mart_daily_trip_summary", "trip_count",
-                                     models["mart_daily_trip_summary"].agg(F.sum("trip_count")), scoped.agg(rows)))
-    results.append(quality.reconcile("same_grain", "fct_trips", "*", models["fct_trips"].agg(rows),
-                                     models["int_trips_enriched"].agg(rows)))
-    if "stg_orders" in models:
-        results.append(quality.partition_identity(models["stg_orders"], "stg_orders", "user_id", "eval_set",
-                                                  ["train", "test"]))
-        results.append(quality.reconcile("mart_total", "mart_user_rfm", "monetary_proxy_items",
-                                         models["mart_user_rfm"].agg(F.sum("monetary_proxy_items")),
-                                         models["stg_order_products_prior"].agg(rows)))
-    return quality.report(*results)
+        wanted += [quality.expect_not_null(name, c) for c in spec.get("not_null", ())]
+        wanted += [quality.expect_accepted(name, c, v) for c, v in spec.get("accepted", {}).items()]
+        wanted += [quality.expect_within(name, c, F.expr(bad), warn, error)
+                   for c, (bad, warn, error) in spec.get("limits", {}).items()]
+    wanted += [quality.expect_unique(m, c) for m, c in _UNIQUE]
+    wanted += [quality.expect_unique_together(m, cs) for m, cs in _UNIQUE_TOGETHER]
+    wanted += [quality.expect_known(*r) for r in _RELATIONSHIPS]
+    every = F.lit(True)
+    wanted += [
+        quality.expect_same_total("mart_total", "mart_daily_trip_summary", "trip_count",
+                                  ("mart_daily_trip_summary", every, F.col("trip_count")),
+                                  ("stg_trips", C.within("pickup_datetime", *settings.scope), None)),
+        quality.expect_same_total("same_grain", "fct_trips", "*", ("fct_trips", every, None), ("int_trips_enriched", every, None)),
+        quality.expect_one_part("stg_orders", "user_id", "eval_set", ["train", "test"]),
+        quality.expect_same_total("mart_total", "mart_user_rfm", "monetary_proxy_items",
+                                  ("mart_user_rfm", every, F.col("monetary_proxy_items")),
+                                  ("stg_order_products_prior", every, None)),
+    ]
+    return quality.run(wanted, models)

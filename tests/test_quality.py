@@ -46,3 +46,47 @@ def test_reconcile_and_partition_identity(spark):
     orders = spark.createDataFrame([(1, "prior"), (1, "train"), (2, "test"), (3, "prior")], "u int, s string")
     assert result(quality.partition_identity(orders, "o", "u", "s", ["train", "test"])) == [(1, "error")]
     assert result(quality.partition_identity(orders.where("u < 3"), "o", "u", "s", ["train", "test"])) == [(0, "pass")]
+
+
+def failures(df):
+    return {(r.check, r.table_name, r.column_name): (r.failures, r.status) for r in df.collect()}
+
+
+def test_one_pass_equals_the_single_checks(spark):
+    rows = [(1, 1, "Y"), (1, 2, "N"), (2, 1, None), (2, 1, "?"), (None, 5, "Y"), (None, 5, "Y"), (9, None, "N")]
+    child = spark.createDataFrame(rows, "a int, b int, f string")
+    parent = spark.createDataFrame([(1,), (1,), (2,), (None,)], "id long")
+    orders = spark.createDataFrame([(1, "prior"), (1, "train"), (2, "test"), (3, "prior"), (None, "test")], "u int, s string")
+    q = quality
+    got = failures(q.run([
+        q.expect_not_null("c", "a"), q.expect_accepted("c", "f", ["Y", "N"]), q.expect_within("c", "b", F.col("b") > 1, 0, 3),
+        q.expect_unique("c", "a"), q.expect_unique("p", "id"), q.expect_unique_together("c", ["a", "b"]),
+        q.expect_known("c", "a", "p", "id"), q.expect_known("p", "id", "c", "a"), q.expect_one_part("o", "u", "s", ["train", "test"]),
+        q.expect_known("absent", "a", "p", "id"),
+    ], {"c": child, "p": parent, "o": orders}))
+    want = failures(q.report(
+        q.not_null(child, "c", ["a"]), q.accepted_values(child, "c", {"f": ["Y", "N"]}),
+        q.threshold(child, "c", "b", F.col("b") > 1, error_above=3), q.unique(child, "c", "a"), q.unique(parent, "p", "id"),
+        q.unique_combination(child, "c", ["a", "b"]), q.relationships(child, "c", "a", parent, "id"),
+        q.relationships(parent, "p", "id", child, "a"), q.partition_identity(orders, "o", "u", "s", ["train", "test"])))
+    assert got == want and got["unique", "c", "a"] == (2, "error") and got["threshold", "c", "b"] == (3, "warn")
+
+
+def test_totals_and_tables_without_rows(spark):
+    one, none = spark.range(3).selectExpr("id AS n"), spark.range(0).selectExpr("id AS n")
+    every = F.lit(True)
+    same = lambda a, b: quality.expect_same_total("total", a, "n", (a, every, F.col("n")), (b, every, None))
+    got = failures(quality.run([same("one", "one"), same("none", "one"), quality.expect_unique("none", "n")],
+                               {"one": one, "none": none}))
+    assert got == {("total", "one", "n"): (0, "pass"), ("total", "none", "n"): (1, "error"), ("unique", "none", "n"): (0, "pass")}
+    assert failures(quality.run([same("none", "none")], {"none": none})) == {("total", "none", "n"): (0, "pass")}
+    assert quality.run([same("x", "y")], {"one": one}).count() == 0
+
+
+def test_relationships_read_each_table_once(spark, sf):
+    from fieldtally.plans import queries
+
+    scans = queries.dq_relationships(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert scans.count("FileScan") == 5
+    for table in ("lineitem", "orders", "part", "customer", "events"):
+        assert scans.count(f"/{table}.parquet") == 1

@@ -87,6 +87,13 @@ def test_build_and_checks(spark, delivery, tmp_path):
 
     report = {(r.check, r.table_name, r.column_name): r for r in warehouse.checks(models, settings).collect()}
     assert {k: r.failures for k, r in report.items() if r.status != "pass"} == {}
+    # Written tables are read once; of the others, trips and zones also stand behind the lazy enriched trips.
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = warehouse.checks(models, settings)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    for table in ("fct_trips", "mart_user_rfm", "int_order_products_enriched", "zone_classification", "mart_hourly_demand"):
+        assert plan.count(f"/{table}]") + plan.count(f"/{table},") == 1, table
+    assert plan.count("orders.csv") == 1 and plan.count("order_products__prior.csv") == 1
     kinds = [k[0] for k in report]
     assert {k: kinds.count(k) for k in set(kinds)} == {
         "not_null": 32, "unique": 11, "accepted_values": 12, "relationships": 8, "unique_combination": 4,

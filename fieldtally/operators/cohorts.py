@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.functions import columns as C
 from fieldtally.operators import ordering
+from fieldtally.operators.distinct import count_distinct
 from fieldtally.session import cut_lineage
 
 # Scope names of the two summary rows.
@@ -45,11 +46,14 @@ def recency_tier(days: str | Column, *, cap: int = 30, tiers: Sequence[tuple[int
 
 
 def sequence_retention(orders: DataFrame, *, user: str = "user_id", number: str = "order_number",
-                       digits: int | None = 2) -> DataFrame:
-    """Users reaching each order number, and their share of all users."""
-    everyone = orders.agg(F.countDistinct(user)).scalar()
+                       digits: int | None = 2, approximate: float | None = None) -> DataFrame:
+    """Users reaching each order number, and their share of all users.
+
+    ``approximate`` counts users within that relative error instead of exactly.
+    """
+    everyone = orders.agg(count_distinct(user, approximate)).scalar()
     return (
-        orders.groupBy(number).agg(F.countDistinct(user).alias("n_users_reaching"))
+        orders.groupBy(number).agg(count_distinct(user, approximate).alias("n_users_reaching"))
         .withColumn("pct_of_all_users", C.percent(F.col("n_users_reaching"), everyone, digits))
     )
 

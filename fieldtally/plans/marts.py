@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions import columns as C
@@ -12,9 +12,9 @@ from fieldtally.operators import cohorts, demand
 from fieldtally.session import cut_lineage
 
 
-def daily_trip_summary(trips: DataFrame) -> DataFrame:
-    """One row per date: volumes, flags, economics and the trailing seven-row mean."""
-    daily = trips.groupBy("trip_date").agg(
+def trip_sums() -> list[Column]:
+    """What the trip marts add up; the results of parts can be added up again by ``added_sums``."""
+    return [
         F.count(F.lit(1)).alias("trip_count"),
         C.count_where(F.col("provider_name") == "Uber").alias("uber_trip_count"),
         C.count_where(F.col("provider_name") == "Lyft").alias("lyft_trip_count"),
@@ -23,12 +23,29 @@ def daily_trip_summary(trips: DataFrame) -> DataFrame:
         C.count_where(F.col("is_cbd_fee_trip")).alias("cbd_fee_trip_count"),
         F.sum("driver_pay").alias("total_driver_pay"),
         F.sum("base_passenger_fare").alias("total_base_fare"),
-    ).select(
+    ]
+
+
+_SUMS = ("trip_count", "uber_trip_count", "lyft_trip_count", "shared_request_count", "shared_match_count",
+         "cbd_fee_trip_count", "total_driver_pay", "total_base_fare")
+
+
+def daily_trip_summary(trips: DataFrame) -> DataFrame:
+    """One row per date: volumes, flags, economics and the trailing seven-row mean."""
+    return _daily(trips.groupBy("trip_date").agg(*trip_sums()))
+
+
+def daily_of_cells(cells: DataFrame) -> DataFrame:
+    """The same from sums by any finer grouping."""
+    return _daily(cells.groupBy("trip_date").agg(*[F.sum(c).alias(c) for c in _SUMS]))
+
+
+def _daily(sums: DataFrame) -> DataFrame:
+    daily = sums.select(
         "trip_date",
         C.weekday_name("trip_date").alias("day_of_week"),
         C.day_type("trip_date").alias("day_type"),
-        "trip_count", "uber_trip_count", "lyft_trip_count", "shared_request_count", "shared_match_count",
-        "cbd_fee_trip_count", "total_driver_pay", "total_base_fare",
+        *_SUMS,
         C.percent(F.col("total_driver_pay"), F.col("total_base_fare")).alias("driver_share_of_fare_pct"),
     )
     return demand.rolling_mean(daily, "trip_date", "trip_count", out="rolling_7d_avg_trips")
@@ -36,13 +53,18 @@ def daily_trip_summary(trips: DataFrame) -> DataFrame:
 
 def hourly_demand(trips: DataFrame) -> DataFrame:
     """One row per hour of day and day type.  Days are counted from one row per day and hour."""
-    cells = trips.groupBy("hour_of_day", "day_type", "trip_date").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("driver_pay").alias("_pay"), F.sum("base_passenger_fare").alias("_fare"))
+    return hourly_of_cells(trips.groupBy("hour_of_day", "day_type", "trip_date").agg(
+        F.count(F.lit(1)).alias("trip_count"), F.sum("driver_pay").alias("total_driver_pay"),
+        F.sum("base_passenger_fare").alias("total_base_fare")))
+
+
+def hourly_of_cells(cells: DataFrame) -> DataFrame:
+    """The same from one row per hour, day type and date."""
     return cells.groupBy("hour_of_day", "day_type").agg(
-        F.sum("_n").alias("trip_count"),
+        F.sum("trip_count").alias("trip_count"),
         F.count("trip_date").alias("n_days"),
-        F.sum("_pay").alias("total_driver_pay"),
-        F.sum("_fare").alias("total_base_fare"),
+        F.sum("total_driver_pay").alias("total_driver_pay"),
+        F.sum("total_base_fare").alias("total_base_fare"),
     ).select(
         "hour_of_day", "day_type", "trip_count", "n_days",
         F.round(C.guarded_ratio(F.col("trip_count"), F.col("n_days"))).alias("avg_trips_per_hour"),

@@ -17,7 +17,7 @@ _DATES = {
     "sink_roundtrip": ["trip_date"], "fct_trips": ["trip_date"], "incremental_month_load": ["first_day", "last_day"],
     "trips_enriched": ["trip_date"], "daily_counts": ["trip_date"], "rolling_7d_avg": ["trip_date"],
     "daily_summary": ["trip_date"], "did_panel": ["trip_date"], "group_daily_series": ["trip_date"],
-    "indexed_series": ["trip_date"], "event_weeks": ["first_day", "last_day"],
+    "incremental_daily_summary": ["trip_date"], "indexed_series": ["trip_date"], "event_weeks": ["first_day", "last_day"],
 }
 
 
@@ -146,6 +146,26 @@ SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS row_count, sum(l_quan
        min(l_shipdate)::DATE AS first_day, max(l_shipdate)::DATE AS last_day
 FROM lineitem GROUP BY 1"""
 
+_SQL["missing_sources"] = f"""WITH {_ZONES}
+SELECT 'trips' AS table_name, count(*) AS row_count, 'zones' AS missing_before FROM events
+UNION ALL SELECT 'zones', count(*), 'zones' FROM zones"""
+
+_SQL["seed_dimension"] = f"""WITH {_ZONES}, {_TRIPS},
+counted AS (SELECT PULocationID AS id, count(*) AS n FROM trips GROUP BY 1)
+SELECT CASE borough WHEN 'ASIA' THEN 'treatment' WHEN 'EUROPE' THEN 'outer_borough_control' ELSE 'exclude_other' END AS zone_group,
+       count(*) AS zones, coalesce(sum(n), 0)::BIGINT AS trips
+FROM zones LEFT JOIN counted USING (id) GROUP BY 1"""
+
+_SPREAD = "spread AS (SELECT * REPLACE (ts + to_months((event_id % 3)::INTEGER) AS ts) FROM events)"
+
+_SQL["spread_join_volume"] = """
+SELECT s_nationkey, count(*) AS n_lines, sum(l_quantity) AS quantity
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1"""
+
+_SQL["approximate_distinct"] = f"""WITH {_SPREAD}
+SELECT strftime(ts, '%Y-%m') AS month, count(DISTINCT user_id) AS users, TRUE AS within_bound FROM spread GROUP BY 1
+UNION ALL SELECT 'all', count(DISTINCT user_id), TRUE FROM spread"""
+
 # --- staging and enrichment ----------------------------------------------------------------
 
 _SQL["staging_contract"] = f"""WITH {_TRIPS}
@@ -389,6 +409,20 @@ SELECT hour_of_day, day_type, count(*) AS trip_count, count(DISTINCT trip_date)
        {_pct('sum(driver_pay)', 'sum(base_passenger_fare)')} AS driver_share_of_fare_pct
 FROM enriched GROUP BY 1, 2"""
 
+_SQL["source_registry"] = f"""WITH {_ITEMS}, {_ZONES}
+SELECT 'trips' AS table_name, count(*) AS row_count FROM events
+UNION ALL SELECT 'zones', count(*) FROM zones
+UNION ALL SELECT 'orders', count(*) FROM orders
+UNION ALL SELECT 'order_products_prior', count(*) FROM items WHERE source_eval_set = 'prior'
+UNION ALL SELECT 'order_products_train', count(*) FROM items WHERE source_eval_set = 'train'
+UNION ALL SELECT 'products', count(*) FROM part
+UNION ALL SELECT 'aisles', count(DISTINCT p_brand) FROM part
+UNION ALL SELECT 'departments', count(DISTINCT p_type) FROM part"""
+
+_LONGER = f"{_SPREAD}, " + _ENRICHED.replace("FROM events", "FROM spread").replace(B.SCOPE[1], "2025-01-01")
+_SQL["incremental_daily_summary"] = f"WITH {_LONGER} {_DAILY}"
+_SQL["incremental_hourly_demand"] = _SQL["hourly_demand"].replace(_ENRICHED, _LONGER)
+
 _SQL["user_rfm"] = f"""WITH {_ITEMS}, {_USERS}
 SELECT user_id, total_orders AS frequency, recency_days, {_TIER} AS recency_tier,
        coalesce(total_items_prior, 0) AS monetary_proxy_items

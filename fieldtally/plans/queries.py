@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally.functions import columns as C
-from fieldtally.operators import cohorts, demand, panel, quality, regression
+from fieldtally.operators import cohorts, demand, distinct, joins, panel, quality, regression
 from fieldtally.operators.panel import CORE_CONTROL, OUTER_CONTROL, TREATMENT
 from fieldtally.plans import bindings as B
-from fieldtally.plans import enriched, marts, staging
+from fieldtally.plans import enriched, marts, refresh, staging
 from fieldtally.session import scratch_table
 from fieldtally.sources import readers, schemas, writers
 
@@ -168,6 +168,119 @@ def incremental_month_load(spark, d):
         F.min(F.to_date("l_shipdate")).alias("first_day"), F.max(F.to_date("l_shipdate")).alias("last_day"))
 
 
+@query
+def source_registry(spark, d):
+    """Sources written as the raw folder has them, with the optional group complete, then loaded by name and counted."""
+    folder = _raw_folder(spark, d)
+    tables = readers.load_sources(spark, folder)
+    return readers.table_row_counts({name: spark.table(name) for name in tables})
+
+
+@query
+def missing_sources(spark, d):
+    """The optional group is left out when one of its files is missing; a missing required file is an error."""
+    folder = scratch_table(spark, "raw")
+    _trips(spark, d).write.parquet(f"{folder}/fhvhv_2024-01.parquet")
+    try:
+        readers.load_sources(spark, folder)
+        complaint = "none"
+    except readers.MissingSource as e:
+        complaint = "zones" if "taxi_zone_lookup" in str(e) else str(e)
+    _csv(_zones(spark, d), f"{folder}/taxi_zone_lookup.csv")
+    _csv(B.products(B.table(spark, d, "part")), f"{folder}/instacart/products.csv")
+    found = readers.table_row_counts(readers.load_sources(spark, folder))
+    return found.withColumn("missing_before", F.lit(complaint))
+
+
+@query
+def seed_dimension(spark, d):
+    """A zone classification kept as CSV, joined to the trips of its zones."""
+    folder = scratch_table(spark, "seed")
+    group = F.when(F.col("Borough") == "ASIA", "treatment").when(F.col("Borough") == "EUROPE", "outer_borough_control")
+    _csv(_zones(spark, d).select("LocationID", "Zone", "Borough", F.lit(1.5).alias("pct_fee_charged"),
+                                 group.otherwise("exclude_other").alias("zone_group")),
+         f"{folder}/{readers.CLASSIFICATION.pattern}")
+    classes = staging.zone_classification(readers.load(spark, folder, readers.CLASSIFICATION))
+    counts = _trips(spark, d).groupBy(F.col("PULocationID").alias("location_id")).agg(F.count(F.lit(1)).alias("_n"))
+    return classes.join(counts, "location_id", "left").groupBy("zone_group").agg(
+        F.count(F.lit(1)).alias("zones"), F.coalesce(F.sum("_n"), F.lit(0)).alias("trips"))
+
+
+def _csv(df: DataFrame, path: str) -> None:
+    df.write.option("header", True).option("escape", '"').csv(path)
+
+
+def _raw_folder(spark, d) -> str:
+    folder, orders = scratch_table(spark, "raw"), _orders(spark, d)
+    items = _items(spark, d, orders).select("order_id", "product_id", "add_to_cart_order", "reordered", "source_eval_set")
+    _trips(spark, d).write.parquet(f"{folder}/fhvhv_2024-01.parquet")
+    products, aisles, departments = _catalogue(spark, d)
+    for name, df in {"taxi_zone_lookup": _zones(spark, d), "instacart/orders": orders, "instacart/products": products,
+                     "instacart/order_products__prior": items.where("source_eval_set = 'prior'").drop("source_eval_set"),
+                     "instacart/order_products__train": items.where("source_eval_set = 'train'").drop("source_eval_set"),
+                     "instacart/aisles": aisles, "instacart/departments": departments}.items():
+        _csv(df, f"{folder}/{name}.csv")
+    return folder
+
+
+def _months_of_events(spark, d) -> DataFrame:
+    """The events, which all fall into one month, over three."""
+    months = F.make_ym_interval(F.lit(0), (F.col("event_id") % 3).cast("int"))
+    return B.table(spark, d, "events").withColumn("ts", F.col("ts") + months)
+
+
+def _refreshed_cells(spark, d) -> str:
+    """Cells of the first two months, then of the third one alone."""
+    trips = staging.trips(B.trips(_months_of_events(spark, d)))
+    fact, cells = scratch_table(spark, "trips_by_month"), scratch_table(spark, "trip_cells")
+    placed = enriched.trips_enriched(trips, staging.zones(_zones(spark, d)), B.SCOPE[0], "2025-01-01")
+    months = writers.months_of(placed, "pickup_datetime")
+    for known in (months[:2], months):
+        writers.load_months(placed, fact, "pickup_datetime", known)
+        refresh.refresh(spark, fact, cells, refresh.trip_cells)
+    return cells
+
+
+@query
+def incremental_daily_summary(spark, d):
+    daily = refresh.daily_trip_summary(spark, _refreshed_cells(spark, d))
+    return _rounded(daily, 2, "total_driver_pay", "total_base_fare")
+
+
+@query
+def incremental_hourly_demand(spark, d):
+    hourly = refresh.hourly_demand(spark, _refreshed_cells(spark, d))
+    return _rounded(hourly, 2, "total_driver_pay", "total_base_fare")
+
+
+@query
+def approximate_distinct(spark, d):
+    """Users a month and in all: exact, and whether stored and merged sketches stay within three standard errors."""
+    events = _months_of_events(spark, d)
+    fact, stored = scratch_table(spark, "events_by_month"), scratch_table(spark, "user_sketches")
+    months = writers.months_of(events, "ts")
+    for known in (months[:1], months):
+        writers.load_months(events, fact, "ts", known)
+        refresh.refresh(spark, fact, stored, refresh.user_sketches("user_id"))
+    sketches = spark.read.parquet(stored).withColumn("month", F.col("month").cast("string"))
+    found = distinct.estimates(sketches.unionByName(distinct.merged(sketches).withColumn("month", F.lit("all"))))
+    dated = writers.with_month(events, "ts")
+    exact = dated.groupBy("month").agg(F.countDistinct("user_id").alias("users")).unionByName(
+        dated.agg(F.countDistinct("user_id").alias("users")).withColumn("month", F.lit("all")))
+    off = F.abs(F.col("approximate_distinct") - F.col("users"))
+    return exact.join(found, "month").select(
+        "month", "users", (off <= 3 * distinct.standard_error() * F.col("users")).alias("within_bound"))
+
+
+@query
+def spread_join_volume(spark, d):
+    """Lines by customer nation, joined over suppliers that each have many lines."""
+    lines = B.table(spark, d, "lineitem").select("l_suppkey", "l_quantity")
+    suppliers = B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    return joins.spread_join(lines, suppliers, ["l_suppkey"]).groupBy("s_nationkey").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("quantity"))
+
+
 # --- staging and enrichment ---------------------------------------------------------------
 
 @query

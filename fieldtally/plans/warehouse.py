@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.functions import columns as C
@@ -41,19 +41,22 @@ class Settings:
 
 
 def build(spark: SparkSession, root: str, out: str, settings: Settings = Settings(),
-          classes: DataFrame | None = None) -> dict[str, DataFrame]:
+          classes: DataFrame | None = None, counts: dict[str, int] | None = None) -> dict[str, DataFrame]:
     """All models of the sources under ``root``; marts are written under ``out``.
 
     ``classes`` is a ready zone classification; without one the file of
     ``readers.CLASSIFICATION`` under ``root`` is taken, and where there is none
     it is derived from the fee incidence inside the scope.  Delivery models are built only where
-    the delivery sources exist.
+    the delivery sources exist.  ``counts`` receives the rows of each written table, seen while writing.
     """
     stg = staging.staged(readers.load_sources(spark, root))
     models = dict(stg)
 
     def keep(name: str, df: DataFrame) -> DataFrame:
-        models[name] = writers.materialise(df, f"{out.rstrip('/')}/{name}")
+        rows = Observation()
+        models[name] = writers.materialise(df, f"{out.rstrip('/')}/{name}", rows=rows)
+        if counts is not None:
+            counts[name] = rows.get["row_count"]
         return models[name]
 
     models["int_trips_enriched"] = enriched.trips_enriched(stg["stg_trips"], stg["stg_zones"], *settings.scope)

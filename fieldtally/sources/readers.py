@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,26 +54,51 @@ def read_parquet_by_name(spark: SparkSession, pattern: str, schema: T.StructType
 
 def _files_of(spark: SparkSession, path: str) -> list[str]:
     """The data files of a glob: of a folder its files, hidden ones left out."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = []
-    for f in matching_files(spark, path):
-        inside = matching_files(spark, f"{f}/*")
-        found += inside or [f]
-    return [f for f in found if f.rsplit("/", 1)[1][:1] not in "._"]
+    for f in system.globStatus(at) or []:
+        found += system.listStatus(f.getPath()) if f.isDirectory() else [f]
+    names = sorted(f.getPath().toString() for f in found if f.isFile())
+    return [f for f in names if f.rsplit("/", 1)[1][:1] not in "._"]
 
 
-def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
-    """Column names in the first line of one CSV file, read on the driver, unpacked if need be."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(file)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    stream = path.getFileSystem(conf).open(path)
-    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
-    unpacked = codec.createInputStream(stream) if codec is not None else stream
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(unpacked, "UTF-8"))
+def _headers(spark: SparkSession, files: list[str]) -> dict[str, tuple[str, ...]]:
+    """Column names in the first line of each CSV file, by one job over all of them (and Spark's own to list many).
+
+    Every piece of a file is a task of its own that stops after its first few
+    lines, so no file is read through; only pieces at a file's start answer.
+    """
+    first = "path string, line string"
+
+    def start_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                if batch.column("at")[0].as_py() == 0:
+                    yield pa.RecordBatch.from_arrays([batch.column("path").slice(0, 1), batch.column("value").slice(0, 1)],
+                                                     names=["path", "line"])
+                return
+
+    settings = {"spark.sql.files.openCostInBytes": str(1 << 40), "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
     try:
-        return tuple(next(csv.reader([(reader.readLine() or "").lstrip("\ufeff")]), ()))
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        lines = spark.read.text(files).select(
+            "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+        rows = lines.mapInArrow(start_of, first).collect()  # one short row a file
     finally:
-        reader.close()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # Spark names files by escaped URIs, Hadoop by plain ones.
+    lines_of = {_bare(unquote(r.path)): r.line for r in rows}
+    return {f: tuple(next(csv.reader([lines_of.get(_bare(f), "").lstrip("\ufeff")]), ())) for f in files}
+
+
+def _bare(path: str) -> str:
+    """A path without its scheme, whose slashes are written in more than one way."""
+    return path.split(":", 1)[-1].lstrip("/")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, multi_line: bool = False) -> DataFrame:
@@ -85,8 +112,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, multi_line
     that can no longer be split.
     """
     groups: dict[tuple[str, ...], list[str]] = {}
-    for file in _files_of(spark, path):
-        header = _header(spark, file)
+    files = _files_of(spark, path)
+    for file, header in (_headers(spark, files) if files else {}).items():
         if header:
             groups.setdefault(header, []).append(file)
     if not groups:

@@ -2,24 +2,65 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.sources.readers import matching_files, read_parquet_by_name
 from fieldtally.sources.schemas import TRIPS
 
 
-def materialise(df: DataFrame, path: str, *, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write a table, replacing an earlier run, and return it as read back."""
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+def materialise(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), rows: Observation | None = None) -> DataFrame:
+    """Write a table, replacing an earlier run, and return it as read back.
+
+    The new table is written beside the old one and takes its place only when it
+    is complete, so a run that fails leaves the old rows, and ``df`` may read the table
+    it replaces.  ``rows`` receives the number of rows as ``row_count`` from the write
+    itself.  On stores without a rename the last step copies.
+    """
+    if rows is not None:
+        df = df.observe(rows, F.count(F.lit(1)).alias("row_count"))
+    beside = f"{path.rstrip('/')}._{uuid.uuid4().hex[:12]}"
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    try:
+        writer.parquet(beside)
+        _swap(df.sparkSession, beside, path)
+    finally:
+        _delete(df.sparkSession, beside)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _swap(spark: SparkSession, new: str, path: str) -> None:
+    """Put the folder ``new`` where ``path`` is; the old one is kept aside until then."""
+    system, target = _hadoop(spark, path)
+    _, source = _hadoop(spark, new)
+    aside = f"{new}_old"
+    _, old = _hadoop(spark, aside)
+    had = system.exists(target)
+    if had and not system.rename(target, old):
+        raise OSError(f"cannot move {path} aside")
+    if not had:
+        system.mkdirs(target.getParent())
+    if not system.rename(source, target):
+        if had:
+            system.rename(old, target)
+        raise OSError(f"cannot move the new table to {path}")
+    _delete(spark, aside)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, at = _hadoop(spark, path)
+    if system.exists(at):
+        system.delete(at, True)
+
+
 _NO_MONTH = "__HIVE_DEFAULT_PARTITION__"  # the folder Spark gives rows without a month
 
 

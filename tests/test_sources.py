@@ -2,6 +2,7 @@ from datetime import datetime
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from fieldtally.plans import staging
@@ -112,6 +113,60 @@ def test_materialise_replaces_an_earlier_run(spark, folder):
     assert writers.materialise(spark.range(3).toDF("x"), f"{folder}/t").count() == 3
 
 
+def test_a_failing_rewrite_keeps_the_old_rows(spark, folder):
+    path = f"{folder}/t"
+    writers.materialise(spark.range(5).toDF("x"), path)
+    broken = spark.range(8, numPartitions=4).select(F.when(F.col("id") < 7, F.col("id")).otherwise(F.raise_error(F.lit("no"))).alias("x"))
+    with pytest.raises(Exception, match="no"):
+        writers.materialise(broken, path)
+    assert spark.read.parquet(path).count() == 5 and [f.name for f in Path(folder).iterdir()] == ["t"]
+    # A table may be made from the one it replaces.
+    twice = spark.read.parquet(path).union(spark.read.parquet(path)).withColumn("part", F.col("x") % 2)
+    doubled = writers.materialise(twice, path, partition_by=["part"])
+    assert doubled.count() == 10 and [f.name for f in Path(folder).iterdir()] == ["t"]
+    assert writers.materialise(spark.range(1).toDF("x"), f"{folder}/new/deep/t").count() == 1
+
+
+def test_rows_are_counted_by_the_write_itself(spark, folder):
+    seen = Observation()
+    group = "counted-write"
+    spark.sparkContext.setJobGroup(group, group)
+    writers.materialise(spark.range(1000, numPartitions=4).toDF("x"), f"{folder}/t", rows=seen)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    assert seen.get["row_count"] == 1000
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == len(jobs) == 1
+    spark.sparkContext.setJobGroup("", "")
+
+
+def test_headers_of_a_thousand_files_are_one_job(spark, folder):
+    names = [("product_id", "product_name", "aisle_id", "department_id"), ("aisle_id", "department_id", "product_name", "product_id")]
+    for i in range(1000):
+        row = {"product_id": i, "product_name": f'"a, {i}"', "aisle_id": 1, "department_id": 2}
+        write(f"{folder}/many files/p%{i}.csv", ",".join(names[i % 2]) + "\n" + ",".join(str(row[c]) for c in names[i % 2]) + "\n")
+    write(f"{folder}/many files/empty.csv", "")
+    group = "headers"
+    spark.sparkContext.setJobGroup(group, group)
+    found = readers._headers(spark, readers._files_of(spark, f"{folder}/many files"))
+    # Spark lists so many paths by a job of its own; one more reads all headers.
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == 2
+    spark.sparkContext.setJobGroup("", "")
+    assert len(found) == 1001 and sorted(set(found.values())) == sorted({(), *names})
+    table = readers.read_csv(spark, f"{folder}/many files", schemas.PRODUCTS)
+    assert table.count() == 1000 and table.where("product_name <> concat('a, ', product_id) OR aisle_id <> 1").count() == 0
+
+
+def test_a_header_is_found_in_a_file_of_many_pieces(spark, folder):
+    write(f"{folder}/big.csv", "product_id,product_name,aisle_id,department_id\n" + "".join(f"{i},n{i},1,2\n" for i in range(200_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        found = readers._headers(spark, readers._files_of(spark, f"{folder}/big.csv"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert list(found.values()) == [("product_id", "product_name", "aisle_id", "department_id")]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 def test_stream_takes_each_file_once(spark, folder):
     source, table, state = f"{folder}/in", f"{folder}/out", f"{folder}/state"
     df = months(spark, 6)

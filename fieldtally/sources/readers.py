@@ -52,45 +52,62 @@ def read_parquet_by_name(spark: SparkSession, pattern: str, schema: T.StructType
     return spark.read.schema(schema).parquet(pattern)
 
 
-def _files_of(spark: SparkSession, path: str) -> list[str]:
-    """The data files of a glob: of a folder its files, hidden ones left out."""
+def _files_of(spark: SparkSession, path: str) -> dict[str, int]:
+    """The data files of a glob and their bytes: of a folder its files, hidden ones left out."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = []
     for f in system.globStatus(at) or []:
         found += system.listStatus(f.getPath()) if f.isDirectory() else [f]
-    names = sorted(f.getPath().toString() for f in found if f.isFile())
-    return [f for f in names if f.rsplit("/", 1)[1][:1] not in "._"]
+    sizes = {f.getPath().toString(): f.getLen() for f in found if f.isFile()}
+    return {f: sizes[f] for f in sorted(sizes) if f.rsplit("/", 1)[1][:1] not in "._"}
 
 
-def _headers(spark: SparkSession, files: list[str]) -> dict[str, tuple[str, ...]]:
-    """Column names in the first line of each CSV file, by one job over all of them (and Spark's own to list many).
+#: A file of at most so many bytes is read whole to see its first line.
+_SMALL_FILE = 1 << 20
 
-    Every piece of a file is a task of its own that stops after its first few
-    lines, so no file is read through; only pieces at a file's start answer.
+
+def _headers(spark: SparkSession, files: Mapping[str, int]) -> dict[str, tuple[str, ...]]:
+    """Column names in the first line of each CSV file, by one job over the small and one over the large ones (besides Spark's own to list many).
+
+    Small files share tasks and are read whole.  Of a larger one every piece is a
+    task that stops after a few lines, and the piece at the file's start answers.
     """
-    first = "path string, line string"
-
-    def start_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                if batch.column("at")[0].as_py() == 0:
-                    yield pa.RecordBatch.from_arrays([batch.column("path").slice(0, 1), batch.column("value").slice(0, 1)],
-                                                     names=["path", "line"])
-                return
-
-    settings = {"spark.sql.files.openCostInBytes": str(1 << 40), "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}
-    before = {k: spark.conf.get(k) for k in settings}
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        lines = spark.read.text(files).select(
-            "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
-        rows = lines.mapInArrow(start_of, first).collect()  # one short row a file
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    def starts(stop: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = None
+            for batch in batches:
+                path, at = batch.column("path"), batch.column("at")
+                for k in range(1 if stop else batch.num_rows) if batch.num_rows else ():
+                    if at[k].as_py() == 0 and path[k].as_py() != last:
+                        last = path[k].as_py()
+                        yield pa.RecordBatch.from_arrays([path.slice(k, 1), batch.column("value").slice(k, 1)], names=["path", "line"])
+                if stop and batch.num_rows:
+                    return
+
+        return run
+
+    def lines(chosen: list[str], settings: dict[str, str], stop: bool) -> list:
+        before = {k: spark.conf.get(k) for k in settings}
+        try:
+            for k, v in settings.items():
+                spark.conf.set(k, v)
+            text = spark.read.text(chosen).select(
+                "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+            return text.mapInArrow(starts(stop), "path string, line string").collect()  # one short row a file
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+
+    small = [f for f, n in files.items() if n <= _SMALL_FILE]
+    large = [f for f, n in files.items() if n > _SMALL_FILE]
+    rows = []
+    if small:
+        rows += lines(small, {}, False)
+    if large:
+        rows += lines(large, {"spark.sql.files.openCostInBytes": str(1 << 40),
+                              "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}, True)
     # Spark names files by escaped URIs, Hadoop by plain ones.
     lines_of = {_bare(unquote(r.path)): r.line for r in rows}
     return {f: tuple(next(csv.reader([lines_of.get(_bare(f), "").lstrip("\ufeff")]), ())) for f in files}

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldtally.operators.ordering import sequence_within
+
 from .common import store
 
 
@@ -45,14 +47,28 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def as_number(column: Column, kind: T.DataType) -> Column:
-    """A number that keeps the order: numbers and times as they are, other values by their first six bytes."""
+def comparable(column: Column, kind: T.DataType) -> Column:
+    """Numbers and times as doubles, all else as whole strings."""
     if isinstance(kind, (T.NumericType, T.BooleanType)):
         return column.cast("double")
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return column.cast("timestamp").cast("double")
-    head = F.hex(F.substring(column.cast("string").cast("binary"), 1, 6))
-    return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+    return column.cast("string")
+
+
+def string_cuts(rows: DataFrame, name: str, parts: int) -> np.ndarray:
+    """Values of a string column that begin a new cell: all of them where they are few, else at exact quantiles.
+
+    Values are counted first, so a frequent one is one row; their order and running counts
+    come from a sort over many tasks.  At most ``parts`` values come to the driver.
+    """
+    counts = store(rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n")), "shard-values")
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    if distinct >= parts:
+        running = sequence_within(counts.withColumn("all", F.lit(0)), ["all"], [F.col("v")], running={"end": "n"})
+        cell = lambda at: F.floor(at * parts / total)
+        counts = running.where(cell(F.col("end") - F.col("n")) < cell(F.col("end"))).where(F.col("end") > F.col("n"))
+    return np.array(sorted(r.v for r in counts.select("v").collect()), object)
 
 
 def hilbert_shards(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
@@ -60,8 +76,8 @@ def hilbert_shards(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                    shards: int = 8) -> DataFrame:
     """For each row: ``size``, ``text_crc32``, ``hilbert``, ``shard`` and ``slot``.
 
-    Every dimension is cut at up to 2**bits - 1 approximate quantiles, the cells are put in
-    the curve's order, and the order, ties by checksum and id, is cut into ``shards`` runs
+    Every dimension is cut into up to 2**bits cells, numbers and times at approximate quantiles and
+    strings at exact ones of their whole order (see string_cuts), the cells are put in the curve's order, and the order, ties by checksum and id, is cut into ``shards`` runs
     whose row counts differ by one at most; ``slot`` counts from 0 in each run.
 
     Texts are read once for size and checksum; only those and the dimensions are stored and
@@ -75,16 +91,17 @@ def hilbert_shards(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     meta = store(docs.select(
         docs[doc_id].alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        *(as_number(docs[d], kinds[d]).alias(f"d{i}") for i, d in enumerate(dimensions))), "shard-meta")
+        *(comparable(docs[d], kinds[d]).alias(f"d{i}") for i, d in enumerate(dimensions))), "shard-meta")
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
     names = [f"d{i}" for i in range(len(dimensions))]
-    cuts = meta.agg(*(F.percentile_approx(n, steps, 10_000).alias(n) for n in names)).first()
-    cells = [np.unique(np.array(cuts[n] or [], float)) for n in names]
+    texts = [n for n in names if isinstance(meta.schema[n].dataType, T.StringType)]
+    cuts = meta.agg(F.count("*"), *(F.percentile_approx(n, steps, 10_000).alias(n) for n in names if n not in texts)).first()
+    cells = [string_cuts(meta, n, (1 << bits) - 1) if n in texts else np.unique(np.array(cuts[n] or [], float)) for n in names]
 
     @F.pandas_udf("long")
     def curve(*values: pd.Series) -> pd.Series:
-        points = [np.where(np.isnan(v), 0, np.searchsorted(c, np.nan_to_num(v), "right"))
-                  for v, c in ((np.asarray(v, float), c) for v, c in zip(values, cells, strict=True))]
+        points = [np.where(v.isna(), 0, np.searchsorted(c, v.fillna("" if c.dtype == object else 0).to_numpy(c.dtype), "right"))
+                  for v, c in zip(values, cells, strict=True)]
         return pd.Series(hilbert_index(np.stack(points), bits))
 
     ordered = (meta.select("doc_id", "size", "text_crc32", curve(*names).alias("hilbert"))
@@ -112,12 +129,15 @@ def write_shards(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
     """Write ``docs`` as Parquet folders by shard, rows along the curve, so that files and row groups prune.
 
     Rows are met again by id, so null or repeated ids raise; ``shard`` must not be a column of ``docs``.
+    An empty table gives a folder without shards.
     """
     placed = hilbert_shards(docs, doc_id=doc_id, text=text, dimensions=dimensions, bits=bits, shards=shards)
-    placed = placed.select(F.col("doc_id").alias("_shard_doc"), "shard", F.col("slot").alias("_slot"))
-    rows, ids = placed.agg(F.count("*"), F.count_distinct("_shard_doc")).first()
+    own, slot = (next(n for n in map((base + "{}").format, range(len(docs.columns) + 1)) if n not in docs.columns)
+                 for base in ("_doc", "_slot"))
+    placed = placed.select(F.col("doc_id").alias(own), "shard", F.col("slot").alias(slot))
+    rows, ids = placed.agg(F.count("*"), F.count_distinct(own)).first()
     if rows != ids:
         raise ValueError("ids must be unique and not null to write shards")
-    (docs.join(placed, docs[doc_id] == placed["_shard_doc"]).drop("_shard_doc")
-     .repartitionByRange("shard", "_slot").sortWithinPartitions("shard", "_slot").drop("_slot")
+    (docs.join(placed, docs[doc_id] == placed[own]).drop(own)
+     .repartitionByRange("shard", slot).sortWithinPartitions("shard", slot).drop(slot)
      .write.partitionBy("shard").parquet(path))

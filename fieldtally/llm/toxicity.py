@@ -134,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
     The sample has the least hashes of the id among labelled ids, half at most of it toxic
     where there are enough of both; its ids, bounded, are broadcast, so texts are not
-    shuffled.  Ids with null or contradictory labels are left out.
+    shuffled.  Ids with null or contradictory labels are left out; of several texts of an id the
+    least counts.
     """
     docs = id_and_text(docs, doc_id, text)
     marked = (labels.select(labels[doc_id].alias("doc_id"), labels[label].cast("int").alias("y"))
@@ -144,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     halves = [marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
               for y, n in ((1, max_examples // 2), (0, max_examples - max_examples // 2))]
     chosen = halves[0].unionByName(halves[1])
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"])
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     return train([(r.text, r.y) for r in rows.sort(F.xxhash64("doc_id"), "doc_id").collect()])
 
 
@@ -177,7 +178,10 @@ def score_toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", tex
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score under ``least``, with all their columns."""
+    """The rows of ``docs`` that score under ``least``, with all their columns.
+
+    Null and empty texts score 0 and stay; repeated rows go or stay together; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
 
     def start() -> Callable[[list], list[bool]]:

@@ -300,7 +300,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM,
-                    threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+                    threshold: float = THRESHOLD, tolerance: float = TOLERANCE, naming: bool = False) -> DataFrame:
     """For each row: ``t`` (its text's class), ``class_id``, ``n_links`` and ``n_copies``.
 
     Documents are linked if the Jaccard similarity of their sets of ``ngram`` lowered words
@@ -318,7 +318,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Null texts and texts without words link to nothing; null texts are classes by
     themselves, other equal texts one class; fewer words than ``ngram`` are one n-gram;
     repeated rows are copies; ids that are null never name a class unless all are; other
-    columns are not read.
+    columns are not read.  ``naming`` adds ``names``: whether id and text are those that name the class,
+    the least of the texts that have its id.
     """
     docs = id_and_text(docs, doc_id, text).withColumn("t", text_class())
     nodes = store(_signatures(docs, ngram).groupBy("t").agg(F.first("n").alias("n"), F.first("sig").alias("sig")),
@@ -353,21 +354,37 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = (ids.where(F.col("t").isNotNull()).join(roots, "t", "left").join(links, "t", "left")
                .select("t", "one", "rows", F.coalesce("root", "t").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     classes = store(classes, "join-nodes-classed")
-    names = classes.groupBy("root").agg(F.min("one").alias("class_id"))
-    named = classes.join(names, "root").select("t", "class_id", "n_links", (F.col("rows") - 1).alias("n_copies"))
+    first = [F.min_by("t", F.struct(F.col("one").isNull(), "one", "t")).alias("first")] if naming else []
+    names = classes.groupBy("root").agg(F.min("one").alias("class_id"), *first)
+    names_it = [(F.col("t") == F.col("first")).alias("names")] if naming else []
+    named = classes.join(names, "root").select("t", "class_id", "n_links", (F.col("rows") - 1).alias("n_copies"), *names_it)
+    names_it = [F.coalesce(F.col("names") & F.col("doc_id").eqNullSafe(F.col("class_id")), F.lit(True)).alias("names")] if naming else []
     return docs.select("doc_id", "t").join(named, "t", "left").select(
-        "doc_id", "t", F.when(F.col("t").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "doc_id", "t", *names_it, F.when(F.col("t").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM,
                          threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """``docs`` with one document of each class: the one whose id names it.
+    """``docs`` with one row of each class: of the least id in it, and of that id's least text.
 
-    Rows with a null id go where the class has another id and stay where it has none; null texts stay.
+    Of repeated rows of that id and text one stays, whichever if they differ in other columns.  Rows with
+    a null id go where the class has another id, and one stays where it has none; null texts all stay.
     """
-    found = near_duplicates(docs, doc_id=doc_id, text=text, ngram=ngram, threshold=threshold, tolerance=tolerance)
-    gone = found.where(F.col("t").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
-        F.col("doc_id").alias("_gone_id"), F.col("t").alias("_gone_t")).distinct()
+    found = store(near_duplicates(docs, doc_id=doc_id, text=text, ngram=ngram, threshold=threshold, tolerance=tolerance,
+                                  naming=True).where(F.col("t").isNotNull()).select("doc_id", "t", "names"), "join-named")
+    free = next(n for n in map("_near{}".format, range(len(docs.columns) + 1)) if not any(c.startswith(n) for c in docs.columns))
+    ids = [F.col("doc_id").alias(f"{free}_id"), F.col("t").alias(f"{free}_t")]
+    gone = found.where(~F.col("names")).select(*ids).distinct()
+    again = found.where("names").groupBy("doc_id", "t").count().where("count > 1").select(*ids)
     own = F.unhex(F.md5(docs[text].cast("string").cast("binary")))
-    return docs.join(gone, (own == F.col("_gone_t")) & docs[doc_id].eqNullSafe(F.col("_gone_id")), "left_anti")
+
+    def same(rows: DataFrame, keys: DataFrame):
+        return (own == keys[f"{free}_t"]) & rows[doc_id].eqNullSafe(keys[f"{free}_id"])
+
+    kept = docs.join(gone, same(docs, gone), "left_anti")
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again, same(kept, again), "left_semi").withColumn(f"{free}_t", own)
+    return kept.join(again, same(kept, again), "left_anti").unionByName(
+        repeated.dropDuplicates([doc_id, f"{free}_t"]).drop(f"{free}_t"))

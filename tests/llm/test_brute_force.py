@@ -495,6 +495,17 @@ def test_shards_hold_the_law_of_rows(spark, texts):
     assert all(r.size == len(texts[i].encode()) + 1 and r.text_crc32 == crc32(texts[i].encode()) for i, r in got.items())
 
 
+def test_hosts_of_one_long_prefix_get_cells_of_their_own(spark):
+    rows = [(i, "text", f"https://site{i % 200:04d}.org/") for i in range(1000)]
+    out = sharding.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, host string"), dimensions=["host"]).collect()
+    host = {r.doc_id: rows[r.doc_id][2] for r in out}
+    assert len({r.hilbert for r in out}) == 200
+    assert [host[r.doc_id] for r in sorted(out, key=lambda r: r.hilbert)] == sorted(host.values())  # one dimension: the order of values
+    many = spark.createDataFrame([(i, "t", f"{i % 3000:05d}" if i % 3 else "hot") for i in range(9000)], "doc_id long, text string, v string")
+    cells = Counter(r.hilbert for r in sharding.hilbert_shards(many, dimensions=["v"]).collect())
+    assert 150 < len(cells) <= 256 and sorted(cells.values())[-2] < 80  # but for the hot value, cells are even
+
+
 def test_written_shards_can_be_read(spark, folder, texts):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     sharding.write_shards(docs, f"{folder}/out", shards=4)

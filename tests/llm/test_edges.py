@@ -9,7 +9,8 @@ from fieldtally.llm import (bpe, decontamination, ngram_join, quality, secrets,
                             suffix_dedup, suffix_tree_lm, toxicity)
 
 LONG = "word another thing here. " * 6000
-CLASHING = ("n_words", "score", "spans", "shard", "slot", "t", "_key", "uid", "ids", "kept", "raw", "size", "h", "w", "c")
+CLASHING = ("n_words", "score", "spans", "shard", "slot", "t", "_key", "uid", "ids", "kept", "raw", "size", "h", "w", "c", "_gone_t",
+            "_near0_t", "_shard_doc", "_slot", "d0", "all")
 ROWS = [
     (1, "The same small text, twice in the table."), (1, "The same small text, twice in the table."),
     (2, "The same small text, twice in the table."), (None, "A text without an id."), (None, None), (3, None),
@@ -85,6 +86,12 @@ def test_defined_results_of_odd_rows(spark):
     assert near[3].class_id == 3 and near[3].n_copies == 0 and near[4].class_id == 4
     kept = [r.doc_id for r in ngram_join.drop_near_duplicates(docs).collect()]
     assert 2 not in kept and 7 not in kept and {1, 3, 4, 6} <= set(kept) and kept.count(None) == 2
+    assert kept.count(1) == 1  # of repeated rows one stays
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, words), (3, words + " more"),
+            (None, "no id at all"), (None, "no id at all"), (None, None), (None, None)]
+    left = [(r.doc_id, r.text) for r in ngram_join.drop_near_duplicates(documents(spark, rows)).collect()]
+    assert sorted(left, key=str) == sorted([(1, "a b c d e f"), (3, min(words, words + " more")), (None, "no id at all"), (None, None), (None, None)], key=str)
     found = by_id(decontamination.contamination(docs, benchmark))
     assert found[1].contaminated and found[1].items == ["1"] and not found[3].contaminated and found[4].n_words == 0
     clean = {r.doc_id for r in decontamination.drop_contaminated(docs, benchmark).collect()}

@@ -64,7 +64,7 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op7_suffix_tree_lm(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held = suffix_tree_lm.held_out()
-    return suffix_tree_lm.score_texts(docs, docs.where(~held)).select(
+    return suffix_tree_lm.score_texts(docs, ~held).select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

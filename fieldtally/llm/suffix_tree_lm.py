@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 from math import log10
 
 import numpy as np
@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, store, with_schema
+from .common import store
 
 #: The end of a text as a token; no word holds white space.
 END = b"\n"
@@ -20,11 +20,16 @@ END = b"\n"
 DEPTH, LEAST_SHARE, LEAST_GAIN = 6, 4e-6, 50.0
 #: Occurrences and gain (a G statistic) that a context of one or two tokens needs to be a state, whatever the corpus.
 LEAST_COUNT, LEAST_TOKEN_GAIN = 8, 50.0
-#: Token runs that may be broadcast with their scores: those of at least a place in so many, hence at most so many.
-HEAD_GRAMS = 500_000
+#: Contexts of at least a place in so many are spread over the buckets; their sums are broadcast, at most so many.
+HEAD_GRAMS = 10_000
+#: Tokens in a chunk (a longer text is a chunk), and places that a bucket gets on average.
+CHUNK_TOKENS, BUCKET_PLACES = 500_000, 1_000_000
 #: What stands before the first token of a text, and two odd constants that mix the bits of a hash.
 START, MIX, MIX2 = np.uint64(1), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
-CACHED_WORDS, LOCAL_WORDS = 200_000, 200_000
+CACHED_WORDS = 200_000
+_MESSAGE = ("bucket int, chunk long, context binary, runs binary, hot binary, word binary, below binary, "
+            "learned binary, placed binary")
+_REPLY = "chunk long, bucket int, counts binary, kinds binary, gains binary, hot array<struct<context:long,t:long,g:double>>"
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -37,26 +42,6 @@ def held_out(doc_id: str = "doc_id", parts: int = 7, part: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """(w, c): every token of the texts with its count; summed in each task before the shuffle."""
-    def table(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())],
-                                          names=["w", "c"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                for text in batch.column("text").slice(k, 500).to_pylist():
-                    counts.update(tokens_of(text))
-                if len(counts) > LOCAL_WORDS:
-                    yield table(counts)
-                    counts.clear()
-        yield table(counts)
-
-    return docs.select("text").mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
-
-
 def symbols_of(words: list[bytes], depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each context length: keys of (context, next symbol), and the number of the word of each.
 
@@ -188,36 +173,6 @@ class SuffixTree:
         return known
 
 
-class Numbers:
-    """Texts as runs of 64-bit token hashes; the hashes of a task's tokens are kept while they are few."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of every token of the texts, in order: the two before it as one hash, the one before, its own; and the texts' sizes."""
-        known, flat, sizes = self.known, [], []
-        for text in texts:
-            tokens = tokens_of(text)
-            sizes.append(len(tokens))
-            for w in tokens:
-                number = known.get(w)
-                if number is None:
-                    number = xxhash.xxh3_64_intdigest(w)
-                    if len(known) >= CACHED_WORDS:
-                        known.clear()
-                    if len(w) < 64:
-                        known[w] = number
-                flat.append(number)
-        own, counts = np.array(flat, np.uint64), np.array(sizes, np.int64)
-        heads = np.cumsum(counts) - counts
-        one = np.r_[START, own[:-1]][:len(own)]
-        one[heads] = START  # every text has an end, so none is without tokens
-        two = np.r_[START, one[:-1]][:len(own)]
-        two[heads] = START
-        return joined(two, one), one, own, counts
-
-
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A hash of pairs of hashes."""
     mixed = left * MIX
@@ -225,140 +180,404 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def count_grams(docs: DataFrame, counted: str, other: str) -> DataFrame:
-    """(a, u, w, c, m): each token ``w`` after ``u`` after the pair ``a``, as many times as it stands; ``other`` is 0."""
+def chunk_texts(texts: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """(doc_id, text, learn, scored) as chunks of whole texts: distinct tokens, and each place as the number of its token."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                *found, _ = numbers.of(batch.column("text").slice(k, 500).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], names=["a", "u", "w"])
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        known: dict[bytes, int] = {}
+        places: list[int] = []
+        sizes: list[int] = []
+        parts: list[pa.RecordBatch] = []
+
+        def chunk() -> pa.RecordBatch:
+            held = pa.Table.from_batches(parts).combine_chunks()
+            flag = lambda name: held[name].to_numpy().astype(np.uint8).tobytes()
+            ids = held["doc_id"].combine_chunks()
+            return pa.RecordBatch.from_arrays([
+                pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), ids),
+                pa.array([np.array(sizes, np.int64).tobytes()]), pa.array([flag("learn")]), pa.array([flag("scored")]),
+                pa.array([list(known)], pa.list_(pa.binary())),
+                pa.array([np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known)).tobytes()]),
+                pa.array([np.array(places, np.int32).tobytes()])],
+                names=["chunk", "ids", "sizes", "learn", "scored", "words", "hashes", "places"])
 
-    return (docs.select("text").mapInArrow(run, "a long, u long, w long")
-            .groupBy("a", "u", "w").agg(F.count("*").alias(counted)).withColumn(other, F.lit(0).cast("long"))
-            .select("a", "u", "w", "c", "m"))
+        for batch in batches:
+            for k in range(0, batch.num_rows, 100):
+                part = batch.slice(k, 100)
+                begun = 0
+                for i, text in enumerate(part.column("text").to_pylist(), 1):
+                    tokens = tokens_of(text)
+                    places.extend([known.setdefault(w, len(known)) for w in tokens])
+                    sizes.append(len(tokens))
+                    if len(places) >= chunk_tokens:
+                        parts.append(part.slice(begun, i - begun).select(["doc_id", "learn", "scored"]))
+                        yield chunk()
+                        begun, number = i, number + 1
+                        known, places, sizes, parts = {}, [], [], []
+                if begun < part.num_rows:
+                    parts.append(part.slice(begun).select(["doc_id", "learn", "scored"]))
+        if sizes:
+            yield chunk()
+
+    return texts.select("doc_id", "text", "learn", "scored").mapInArrow(
+        run, f"chunk long, ids array<{kind}>, sizes binary, learn binary, scored binary, words array<binary>, "
+             "hashes binary, places binary")
+
+
+def count_tokens(chunks: DataFrame) -> DataFrame:
+    """(w, c, m): every token with its number in texts to learn from, and in all; summed in each chunk before the shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                places, learn = np.frombuffer(row["places"], np.int32), np.frombuffer(row["learn"], np.uint8)
+                learned = np.repeat(learn, np.frombuffer(row["sizes"], np.int64))
+                own = [np.bincount(places, x, len(row["words"])).astype(np.int64) for x in (learned, None)]
+                for k in range(0, len(row["words"]), 50_000):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(row["words"][k:k + 50_000], pa.binary()), *(pa.array(x[k:k + 50_000]) for x in own)],
+                        names=["w", "c", "m"])
+
+    return (chunks.select("sizes", "learn", "words", "places").mapInArrow(run, "w binary, c long, m long")
+            .groupBy("w").agg(F.sum("c").alias("c"), F.sum("m").alias("m")))
+
+
+def cuts_of(values: np.ndarray) -> np.ndarray:
+    """Where equal neighbours begin, and the end."""
+    return np.r_[np.flatnonzero(np.r_[True, values[1:] != values[:-1]][:len(values)]), len(values)]
+
+
+class Level:
+    """The distinct (context, token) runs of a chunk, laid out by the buckets that count them over all chunks."""
+
+    def __init__(self, code: np.ndarray, width: int, learned: np.ndarray, buckets: int, names: np.ndarray, hot: np.ndarray,
+                 words: np.ndarray):
+        """``code`` is context times ``width`` plus token at each place; names and hot are by context, words by token."""
+        own, self.at = np.unique(code, return_inverse=True)
+        self.context, self.token = own // width, own % width
+        self.learned = np.bincount(self.at, learned, len(own)).astype(np.int32)
+        self.placed = np.bincount(self.at, minlength=len(own)).astype(np.int32)
+        self.names, self.hot, self.words = names, hot, words[self.token]
+        name = names[self.context]
+        bucket = np.where(hot[self.context], joined(name, self.words), name) % np.uint64(buckets)
+        self.order = np.argsort(bucket, kind="stable")
+        bucket = bucket[self.order]
+        cuts = cuts_of(bucket)
+        self.slices = {int(bucket[a]): self.order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
+
+    def messages(self, chunk: int, below: np.ndarray) -> Iterator[dict]:
+        """One row a bucket; ``below`` is by run the count of its token after the context one token shorter."""
+        for bucket, at in self.slices.items():
+            cuts = cuts_of(self.context[at])
+            first = self.context[at[cuts[:-1]]]
+            yield {"bucket": bucket, "chunk": chunk, "context": self.names[first].tobytes(),
+                   "runs": np.diff(cuts).astype(np.int32).tobytes(), "hot": self.hot[first].tobytes(),
+                   "word": self.words[at].tobytes(), "below": below[at].tobytes(),
+                   "learned": self.learned[at].tobytes(), "placed": self.placed[at].tobytes()}
+
+    def read(self, replies: list[dict], sums: tuple[np.ndarray, ...]) -> None:
+        """Sets ``count`` and ``often`` by run, ``kinds`` and ``gains`` by context; those of hot contexts are in ``sums``."""
+        counts = np.zeros(len(self.context), np.int64)
+        self.kinds, self.gains = np.zeros(len(self.names), np.int64), np.zeros(len(self.names))
+        for reply in replies:
+            at = self.slices[reply["bucket"]]
+            counts[at] = np.frombuffer(reply["counts"], np.int64)
+            first = self.context[at[cuts_of(self.context[at])[:-1]]]
+            self.kinds[first] = np.frombuffer(reply["kinds"], np.int64)
+            self.gains[first] = np.frombuffer(reply["gains"], np.float64)
+        self.count, self.often = counts >> 1, (counts & 1).astype(bool)
+        names, kinds, gains = sums
+        if len(names):
+            hot = np.flatnonzero(self.hot)
+            found = np.minimum(np.searchsorted(names, self.names[hot]), len(names) - 1)
+            same = names[found] == self.names[hot]
+            self.kinds[hot[same]], self.gains[hot[same]] = kinds[found[same]], gains[found[same]]
+
+
+def count_runs(messages: DataFrame, buckets: int, often: float) -> DataFrame:
+    """Replies to the messages of a level: counts over all chunks, and each context's distinct tokens and gain.
+
+    A context is in one bucket, but a hot one in all; of those a bucket gives what it has.
+    A count is doubled, and odd where the run stands ``often`` times in all texts.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        if not rows:
+            return
+        whole = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
+        runs, names, hot = whole("runs", np.int32), whole("context", np.uint64), whole("hot", np.bool_)
+        context = np.repeat(np.arange(len(runs)), runs)
+        _, first, at = np.unique(joined(names[context], whole("word", np.uint64)), return_index=True, return_inverse=True)
+        count = np.bincount(at, whole("learned", np.int32))
+        placed = np.bincount(at, whole("placed", np.int32))
+        own, one, group = np.unique(names, return_index=True, return_inverse=True)
+        of = group[context[first]]
+        seen = count > 0
+        below = whole("below", np.int64)[first]
+        gain = np.zeros(len(count))
+        gain[seen] = count[seen] * np.log(count[seen] / below[seen])
+        kinds, gains = np.bincount(of, seen, len(own)).astype(np.int64), np.bincount(of, gain, len(own))
+        answer = (count.astype(np.int64) * 2 + (placed >= often))[at]
+        head = np.flatnonzero(hot[one])
+        made = {"chunk": -1, "bucket": rows[0]["bucket"], "hot": [
+            {"context": int(n), "t": int(t), "g": float(g)}
+            for n, t, g in zip(own[head].view(np.int64), kinds[head], gains[head], strict=True)]}
+        schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("kinds", pa.binary()),
+                            ("gains", pa.binary()), ("hot", pa.list_(pa.struct(
+                                [("context", pa.int64()), ("t", pa.int64()), ("g", pa.float64())])))])
+        yield pa.RecordBatch.from_pylist([made], schema=schema)
+        i = j = 0
+        for r in rows:
+            n, k = len(r["word"]) // 8, len(r["runs"]) // 4
+            yield pa.RecordBatch.from_pylist([{
+                "chunk": r["chunk"], "bucket": r["bucket"], "counts": answer[i:i + n].tobytes(),
+                "kinds": kinds[group[j:j + k]].tobytes(), "gains": gains[group[j:j + k]].tobytes()}], schema=schema)
+            i, j = i + n, j + k
+
+    return messages.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _REPLY)
+
+
+def hot_sums(replies: DataFrame) -> tuple[np.ndarray, ...]:
+    """Distinct tokens and gains of the hot contexts over all buckets, by name; as many as can be hot."""
+    found = (replies.where("chunk < 0").select(F.explode("hot").alias("x")).select("x.*")
+             .groupBy("context").agg(F.sum("t").alias("t"), F.sum("g").alias("g")).toArrow())
+    names = found.column("context").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    return names[order], found.column("t").to_numpy()[order], found.column("g").to_numpy()[order]
+
+
+def look_up(requests: DataFrame, entries: DataFrame, buckets: int) -> DataFrame:
+    """(chunk, bucket, counts, chances, often): the entries of each request's tokens, in their order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        table = [r for r in rows if r["chunk"] < 0]
+        if not table:
+            return
+        whole = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in table])
+        names = whole("word", np.uint64)
+        order = np.argsort(names)
+        names, values = names[order], [whole(n, k)[order] for n, k in (
+            ("counts", np.int64), ("chances", np.float64), ("often", np.bool_))]
+        for r in rows:
+            if r["chunk"] >= 0:
+                at = np.searchsorted(names, np.frombuffer(r["word"], np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["chunk"]], pa.int64()), pa.array([r["bucket"]], pa.int32()),
+                     *(pa.array([v[at].tobytes()], pa.binary()) for v in values)],
+                    names=["chunk", "bucket", "counts", "chances", "often"])
 
+    return requests.unionByName(entries, allowMissingColumns=True).repartitionById(buckets, F.col("bucket")).select(
+        "chunk", "bucket", "word", "counts", "chances", "often").mapInArrow(
+        run, "chunk long, bucket int, counts binary, chances binary, often binary")
 
-def smoothed(c: Column, n: Column, seen: Column, below: Column) -> Column:
-    """log10 of a count smoothed by the chance of the shorter context (Witten and Bell)."""
-    return F.when(c > 0, F.log10((c + seen * F.pow(F.lit(10.0), below)) / (n + seen))).otherwise(
-        below + F.log10(seen / (n + seen)))
 
+def by_bucket(names: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    bucket = names % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    cuts = cuts_of(bucket[order])
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(bucket[order[a]]), order[a:b]
 
-def gram_scores(grams: DataFrame, vocabulary: DataFrame, total: int, base_below: float, least_count: int,
-                least_gain: float) -> DataFrame:
-    """(a, w, m, known, base, score) of the runs with a place to score (m > 0), from the longest retained context.
 
-    A context of one or two tokens is a state if it stands ``least_count`` times in the
-    training texts and its tokens differ from those after the context one token shorter by a G
-    statistic of ``least_gain``; a state's chances are smoothed by those of its suffixes.
-    """
-    ln = lambda name: F.col("c") * F.log(name)
-    pairs = grams.groupBy("u", "w").agg(F.sum("c").alias("c")).join(vocabulary, "w")
-    one = (pairs.where("c > 0").groupBy("u").agg(
-        F.sum("c").alias("n1"), F.count("*").alias("t1"), F.sum(ln("c") - ln("cw")).alias("g"))
-        .where(F.col("n1") >= least_count)
-        .select("u", "n1", "t1", (2 * (F.col("g") + F.col("n1") * F.log(F.lit(float(max(1, total))) / F.col("n1"))))
-                .alias("g1")))
-    pairs = store(pairs.join(one, "u", "left").select(
-        "u", "w", F.col("c").alias("c1"), "n1", (F.col("g1") >= least_gain).alias("state1"),
-        (F.col("cw") > 0).alias("known"), (F.log10(F.col("cw") + 1) - base_below).alias("base"), "lp0",
-        F.when(F.col("n1").isNull(), F.col("lp0")).otherwise(
-            smoothed(F.col("c"), F.col("n1"), F.col("t1"), F.col("lp0"))).alias("lp1")), "token-pairs")
-    two = store(grams.where("c > 0").join(pairs.where("n1 is not null").select("u", "w", "c1", "n1"), ["u", "w"])
-                .groupBy("a").agg(F.sum("c").alias("n2"), F.count("*").alias("t2"),
-                                  F.sum(ln("c") - ln("c1") + ln("n1")).alias("g"))
-                .where(F.col("n2") >= least_count)
-                .where(2 * (F.col("g") - F.col("n2") * F.log("n2")) >= least_gain).drop("g"), "token-contexts")
-    return grams.where("m > 0").join(pairs, ["u", "w"]).join(two, "a", "left").select(
-        "a", "w", "m", "known", "base",
-        F.when(F.col("n2").isNotNull(), smoothed(F.col("c"), F.col("n2"), F.col("t2"), F.col("lp1")))
-        .when(F.col("state1"), F.col("lp1")).otherwise(F.col("lp0")).alias("score"))
-
-
-def score_texts(docs: DataFrame, training: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
+def smoothed(c: np.ndarray, n: np.ndarray, seen: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """log10 of a count smoothed by the chance of the shorter context (Witten and Bell)."""
+    rest = below + np.log10(np.maximum(seen, 1) / (n + seen))
+    return np.where(c > 0, np.log10((c + seen * 10.0 ** below) / (n + seen)), rest)
+
+
+class Chunk:
+    """A chunk with what the tables have said of its tokens, its pairs and its runs of three, as far as they have."""
+
+    def __init__(self, rows: list[dict], made: dict):
+        self.row = next(r for r in rows if r["kind"] == 0)
+        self.sizes = np.frombuffer(self.row["sizes"], np.int64)
+        self.places = np.frombuffer(self.row["places"], np.int32).astype(np.int64)
+        names = np.frombuffer(self.row["hashes"], np.uint64)
+        learned = np.repeat(np.frombuffer(self.row["learn"], np.uint8), self.sizes)
+        buckets, least, width = made["buckets"], made["least_count"], len(names) + 1
+        heads = np.cumsum(self.sizes) - self.sizes
+        self.count, self.chance = np.zeros(width, np.int64), np.zeros(width)
+        often = np.zeros(width, bool)
+        slices = dict(by_bucket(names, buckets))
+        for r in rows:
+            if r["kind"] == 1:
+                at = slices[r["bucket"]]
+                self.count[at] = np.frombuffer(r["counts"], np.int64)
+                self.chance[at] = np.frombuffer(r["chances"], np.float64)
+                often[at] = np.frombuffer(r["often"], np.bool_)
+        self.count[-1], often[-1] = made["texts"], True
+        names = np.r_[names, START]
+        before = np.r_[width - 1, self.places[:-1]]
+        before[heads] = width - 1
+        self.one = np.flatnonzero(self.count[before] >= least)
+        self.pairs = pairs = Level(before[self.one] * width + self.places[self.one], width, learned[self.one], buckets,
+                                   names, often, names)
+        if "pairs" not in made:
+            return
+        pairs.read([r for r in rows if r["kind"] == 2], made["pairs"])
+        pair = np.full(len(self.places), -1, np.int64)
+        pair[self.one] = pairs.at
+        earlier = np.r_[-1, pair[:-1]]
+        earlier[heads] = -1
+        self.two = np.flatnonzero((earlier >= 0) & (np.append(pairs.count, 0)[earlier] >= least))
+        self.above = pair[self.two]
+        self.runs = Level(earlier[self.two] * width + self.places[self.two], width, learned[self.two], buckets,
+                          joined(names[pairs.context], names[pairs.token]), pairs.often, names)
+        if "runs" in made:
+            self.runs.read([r for r in rows if r["kind"] == 3], made["runs"])
+
+    def pair_messages(self) -> Iterator[dict]:
+        return self.pairs.messages(self.row["chunk"], self.count[self.pairs.token])
+
+    def run_messages(self) -> Iterator[dict]:
+        below = np.zeros(len(self.runs.context), np.int64)
+        below[self.runs.at] = self.pairs.count[self.above]
+        return self.runs.messages(self.row["chunk"], below)
+
+    def scores(self, total: int, least_gain: float) -> np.ndarray:
+        """Of each place the log10 chance of its token after the longest retained context."""
+        def gain(g: np.ndarray, n: np.ndarray, up: np.ndarray | int) -> np.ndarray:
+            return 2 * (g + n * np.log(up / np.maximum(n, 1)))
+
+        out, pairs, runs = self.chance[self.places], self.pairs, self.runs
+        context = pairs.context[pairs.at]
+        n = self.count[context]
+        one = np.zeros(len(out))
+        one[self.one] = smoothed(pairs.count[pairs.at], n, pairs.kinds[context], out[self.one])
+        state = gain(pairs.gains[context], n, max(1, total)) >= least_gain
+        out[self.one[state]] = one[self.one[state]]
+        context = runs.context[runs.at]
+        n = pairs.count[context]
+        two = smoothed(runs.count[runs.at], n, runs.kinds[context], one[self.two])
+        state = gain(runs.gains[context], n, np.maximum(1, self.count[pairs.token[context]])) >= least_gain
+        out[self.two[state]] = two[state]
+        return out
+
+
+def score_texts(docs: DataFrame, training: DataFrame | Column, *, doc_id: str = "doc_id", text: str = "text",
                 depth: int = DEPTH, least_share: float = LEAST_SHARE, least_gain: float = LEAST_GAIN,
                 least_count: int = LEAST_COUNT, least_token_gain: float = LEAST_TOKEN_GAIN,
-                head_grams: int = HEAD_GRAMS) -> DataFrame:
+                head_grams: int = HEAD_GRAMS, chunk_tokens: int = CHUNK_TOKENS,
+                bucket_places: int = BUCKET_PLACES) -> DataFrame:
     """For each row of ``docs``: ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
-    ``training`` has the texts to learn from, in the column ``text``.  ``score`` is the model's log10
+    ``training`` is the condition on the rows of ``docs`` that are learned from as well, or other
+    texts in the column ``text`` of a table.  ``score`` is the model's log10
     probability of the tokens in their order, each from the longest retained run of up to two
-    tokens before it (see gram_scores).  Below the contexts is a token's corpus count c, smoothed
+    tokens before it.  Such a run is a state if it stands ``least_count`` times in the training
+    texts and the tokens after it differ from those after the run one token shorter by a G
+    statistic of ``least_token_gain`` (above 0); chances are smoothed by those of its suffixes.
+    Below the contexts is a token's corpus count c, smoothed
     by the letters' tree p with the weight of the distinct tokens, (c + V p) / (N + V), so unseen
     tokens are scored by the tree.  ``base_score`` is that of add-one unigrams.
 
-    Runs and contexts are counted and joined as tables, none is collected but the scores of
-    runs of at least one place in ``head_grams``, which are broadcast, at most so many by that share; the
-    others are joined, and none of them is frequent, so their rows spread.  Null and empty texts are one end; without
+    Texts are read once and stored as chunks of numbered tokens.  A chunk sends its distinct tokens, pairs
+    (after tokens of ``least_count``) and runs of three (after such pairs) to buckets of a hash of the context
+    and gets the counts of all chunks back; a context with more than one place in ``head_grams`` is
+    spread over all buckets by token too, and only its sums, at most so many, are broadcast.  A bucket holds
+    about ``bucket_places`` places of tokens, as many as its share of all.  None of the counts is collected.
+    Null and empty texts are one end; without
     training texts the base is 0 and the tree uniform over bytes; repeated rows repeat, each by
     itself; null ids stay null; other columns are not read.
     """
-    docs, training = id_and_text(docs, doc_id, text), training.select(training[text].cast("string").alias("text"))
-    words = store(count_tokens(training), "token-counts")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    flags = lambda learn, scored: (learn.alias("learn"), scored.alias("scored"))
+    own = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"), *flags(
+        F.coalesce(training, F.lit(False)) if isinstance(training, Column) else F.lit(False), F.lit(True)))
+    kind = own.schema["doc_id"].dataType
+    if not isinstance(training, Column):
+        own = own.unionByName(training.select(F.lit(None).cast(kind).alias("doc_id"), training[text].cast("string").alias("text"),
+                                              *flags(F.lit(True), F.lit(False))))
     context = docs.sparkSession.sparkContext
-    letters = context.broadcast(learn_tree(words, depth, least_share, least_gain))
+    chunks = store(chunk_texts(own, chunk_tokens), "token-chunks")
+    words = store(count_tokens(chunks), "token-counts")
+    total, placed, distinct, texts = words.agg(
+        F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)),
+        F.coalesce(F.sum(F.when(F.col("w") == F.lit(END), F.col("c"))), F.lit(0))).first()
+    buckets, bound = placed // bucket_places + 1, max(1.0, placed / head_grams)
+    letters = context.broadcast(learn_tree(words.where("c > 0").select("w", "c"), depth, least_share, least_gain))
     types = max(1, distinct)
     below, weight = log10(total + distinct + 1), log10(total + types)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = SuffixTree(letters.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, 20_000):
-                part = batch.slice(k, 20_000)
-                own, counts, chances = [], part.column("c").to_pylist(), []
-                for w, c in zip(part.column("w").to_pylist(), counts, strict=True):
-                    p = tree.score(w)
-                    own.append(xxhash.xxh3_64_intdigest(w))
-                    chances.append((log10(c + types * 10.0 ** p) if c else p + log10(types)) - weight)
+            own, counts, chances = batch.column("w").to_pylist(), batch.column("c").to_numpy(), []
+            for w, c in zip(own, counts.tolist(), strict=True):
+                p = tree.score(w)
+                chances.append((log10(c + types * 10.0 ** p) if c else p + log10(types)) - weight)
+            names = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
+            often, chances = batch.column("m").to_numpy() >= bound, np.array(chances)
+            for bucket, at in by_bucket(names, buckets):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(counts, pa.int64()),
-                     pa.array(chances, pa.float64())], names=["w", "cw", "lp0"])
-
-    vocabulary = store(words.unionByName(count_tokens(docs).select("w", F.lit(0).cast("long").alias("c")))
-                       .groupBy("w").agg(F.sum("c").alias("c")).mapInArrow(spell, "w long, cw long, lp0 double"), "vocabulary")
-    grams = store(count_grams(training, "c", "m").unionByName(count_grams(docs, "m", "c"))
-                  .groupBy("a", "u", "w").agg(F.sum("c").alias("c"), F.sum("m").alias("m")), "token-runs")
-    scores = store(gram_scores(grams, vocabulary, total, below, least_count, least_token_gain), "run-scores")
-    bound = max(1.0, (scores.agg(F.sum("m")).first()[0] or 0) / head_grams)
-    top = scores.where(F.col("m") >= bound).drop("m").toArrow()
-    key = joined(*(top.column(n).to_numpy().view(np.uint64) for n in ("a", "w")))
-    order = np.argsort(key)
-    head = context.broadcast((key[order], *(np.asarray(top.column(n).to_numpy(), np.float64)[order]
-                                            for n in ("known", "base", "score"))))
-    schema = with_schema(docs, ("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("score", "double"),
-                         ("tail", "array<struct<a:long,w:long>>"))
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    columns = to_arrow_schema(schema)
+                    [pa.array([bucket], pa.int32()), pa.array([-1], pa.int64()),
+                     *(pa.array([x[at].tobytes()], pa.binary()) for x in (names, counts, chances, often))],
+                    names=["bucket", "chunk", "word", "counts", "chances", "often"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (keys, *values), numbers = head.value, Numbers()
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                a, _, w, sizes = numbers.of(part.column("text").to_pylist())
-                row, own = np.repeat(np.arange(len(sizes)), sizes), joined(a, w)
-                at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
-                found = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-                known, base, score = (np.bincount(row[found], v[at[found]], len(sizes)) for v in values)
-                left = ~found
-                offsets = np.r_[0, np.cumsum(np.bincount(row[left], minlength=len(sizes)))]
-                tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
-                    [pa.array(x[left].view(np.int64)) for x in (a, w)], ["a", "w"]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(columns.field(0).type), pa.array(sizes),
-                     pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), tail.cast(columns.field(5).type)],
-                    schema=columns)
-
-    scanned = store(docs.mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("uid"), "*"), "scored")
-    tail = (scanned.select("uid", F.explode("tail").alias("x")).select("uid", "x.*")
-            .join(scores.where(F.col("m") < bound).drop("m"), ["a", "w"])
-            .groupBy("uid").agg(F.sum(F.col("known").cast("long")).alias("more"), F.sum("base").alias("rest"),
-                                F.sum("score").alias("runs")))
-    return scanned.drop("tail").join(tail, "uid", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("runs", F.lit(0.0))).alias("score"))
+            for chunk, hashes in zip(batch.column("chunk").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+                names = np.frombuffer(hashes, np.uint64)
+                for bucket, at in by_bucket(names, buckets):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([names[at].tobytes()])],
+                        names=["bucket", "chunk", "word"])
+
+    tables = [store(look_up(
+        chunks.select("chunk", "hashes").mapInArrow(ask, "bucket int, chunk long, word binary"),
+        words.mapInArrow(spell, "bucket int, chunk long, word binary, counts binary, chances binary, often binary"),
+        buckets), "token-entries")]
+    made = {"buckets": buckets, "least_count": least_count, "texts": texts}
+
+    def gathered() -> DataFrame:
+        """Each chunk with its replies, one after another in a task."""
+        rows = chunks.drop("words").withColumn("kind", F.lit(0))
+        for k, t in enumerate(tables, 1):
+            rows = rows.unionByName((t.drop("hot") if k > 1 else t).withColumn("kind", F.lit(k)), allowMissingColumns=True)
+        return rows.where("chunk >= 0").repartition("chunk").sortWithinPartitions("chunk")
+
+    def each(state: dict):
+        def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+            rows = (r for batch in batches for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist())
+            for _, own in groupby(rows, lambda r: r["chunk"]):
+                yield Chunk(list(own), state)
+        return chunked
+
+    def messages(level: str, state: dict) -> DataFrame:
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import _parse_datatype_string
+
+        schema, chunked = to_arrow_schema(_parse_datatype_string(_MESSAGE)), each(state)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk in chunked(batches):
+                for row in chunk.pair_messages() if level == "pairs" else chunk.run_messages():
+                    yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+        return gathered().mapInArrow(run, _MESSAGE)
+
+    for level in ("pairs", "runs"):
+        tables.append(store(count_runs(messages(level, made), buckets, bound), f"token-{level}"))
+        made = made | {level: hot_sums(tables[-1])}
+    chunked = each(made)
+    result = f"doc_id {kind.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunked(batches):
+            row, n = np.repeat(np.arange(len(chunk.sizes)), chunk.sizes), len(chunk.sizes)
+            count = chunk.count[chunk.places]
+            values = [np.bincount(row, x, n) for x in (
+                count > 0, np.log10(count + 1) - below, chunk.scores(total, least_token_gain))]
+            yield pa.RecordBatch.from_arrays(
+                [chunk_ids(chunk.row["ids"]), pa.array(chunk.sizes), pa.array(values[0].astype(np.int64)),
+                 pa.array(np.full(n, total, np.int64)), pa.array(values[1]), pa.array(values[2])],
+                names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).filter(
+                pa.array(np.frombuffer(chunk.row["scored"], np.uint8).astype(bool)))
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(kind)
+    chunk_ids = lambda ids: pa.array(ids, id_type)
+    return gathered().mapInArrow(score, result)

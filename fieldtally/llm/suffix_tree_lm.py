@@ -24,11 +24,11 @@ LEAST_COUNT, LEAST_TOKEN_GAIN = 8, 50.0
 HEAD_GRAMS = 10_000
 #: Tokens in a chunk (a longer text is a chunk), and places that a bucket gets on average.
 CHUNK_TOKENS, BUCKET_PLACES = 500_000, 1_000_000
-#: What stands before the first token of a text, and two odd constants that mix the bits of a hash.
-START, MIX, MIX2 = np.uint64(1), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
+#: The number of what stands before the first token of a text, and odd constants that mix the bits of a hash.
+START, MIX, MIX2, MIX3 = np.uint64(0), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
 CACHED_WORDS = 200_000
 _MESSAGE = ("bucket int, chunk long, context binary, runs binary, hot binary, word binary, below binary, "
-            "learned binary, placed binary")
+            "learned binary, others binary")
 _REPLY = "chunk long, bucket int, counts binary, kinds binary, gains binary, hot array<struct<context:long,t:long,g:double>>"
 
 
@@ -174,12 +174,22 @@ class SuffixTree:
 
 
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A hash of pairs of hashes."""
+    """A hash of pairs of numbers or hashes."""
     mixed = left * MIX
-    mixed = ((mixed ^ (mixed >> np.uint64(29))) + right) * MIX2
+    mixed = ((mixed ^ (mixed >> np.uint64(29))) + right * MIX3) * MIX2
     return mixed ^ (mixed >> np.uint64(32))
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers as all first bytes, then all second ones and so on: high bytes, mostly equal, cost nothing when compressed."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def numbers(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def chunk_texts(texts: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """(doc_id, text, learn, scored) as chunks of whole texts: distinct tokens, and each place as the number of its token."""
     kind = texts.schema["doc_id"].dataType.simpleString()
@@ -201,9 +211,8 @@ def chunk_texts(texts: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame
                 pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), ids),
                 pa.array([np.array(sizes, np.int64).tobytes()]), pa.array([flag("learn")]), pa.array([flag("scored")]),
                 pa.array([list(known)], pa.list_(pa.binary())),
-                pa.array([np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known)).tobytes()]),
-                pa.array([np.array(places, np.int32).tobytes()])],
-                names=["chunk", "ids", "sizes", "learn", "scored", "words", "hashes", "places"])
+                pa.array([planes(np.array(places, np.int32))])],
+                names=["chunk", "ids", "sizes", "learn", "scored", "words", "places"])
 
         for batch in batches:
             for k in range(0, batch.num_rows, 100):
@@ -225,7 +234,7 @@ def chunk_texts(texts: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame
 
     return texts.select("doc_id", "text", "learn", "scored").mapInArrow(
         run, f"chunk long, ids array<{kind}>, sizes binary, learn binary, scored binary, words array<binary>, "
-             "hashes binary, places binary")
+             "places binary")
 
 
 def count_tokens(chunks: DataFrame) -> DataFrame:
@@ -233,7 +242,7 @@ def count_tokens(chunks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                places, learn = np.frombuffer(row["places"], np.int32), np.frombuffer(row["learn"], np.uint8)
+                places, learn = numbers(row["places"], np.int32), np.frombuffer(row["learn"], np.uint8)
                 learned = np.repeat(learn, np.frombuffer(row["sizes"], np.int64))
                 own = [np.bincount(places, x, len(row["words"])).astype(np.int64) for x in (learned, None)]
                 for k in range(0, len(row["words"]), 50_000):
@@ -273,10 +282,10 @@ class Level:
         for bucket, at in self.slices.items():
             cuts = cuts_of(self.context[at])
             first = self.context[at[cuts[:-1]]]
-            yield {"bucket": bucket, "chunk": chunk, "context": self.names[first].tobytes(),
-                   "runs": np.diff(cuts).astype(np.int32).tobytes(), "hot": self.hot[first].tobytes(),
-                   "word": self.words[at].tobytes(), "below": below[at].tobytes(),
-                   "learned": self.learned[at].tobytes(), "placed": self.placed[at].tobytes()}
+            yield {"bucket": bucket, "chunk": chunk, "context": planes(self.names[first]),
+                   "runs": planes(np.diff(cuts).astype(np.int32)), "hot": self.hot[first].tobytes(),
+                   "word": planes(self.words[at]), "below": planes(below[at]),
+                   "learned": planes(self.learned[at]), "others": planes(self.placed[at] - self.learned[at])}
 
     def read(self, replies: list[dict], sums: tuple[np.ndarray, ...]) -> None:
         """Sets ``count`` and ``often`` by run, ``kinds`` and ``gains`` by context; those of hot contexts are in ``sums``."""
@@ -284,9 +293,9 @@ class Level:
         self.kinds, self.gains = np.zeros(len(self.names), np.int64), np.zeros(len(self.names))
         for reply in replies:
             at = self.slices[reply["bucket"]]
-            counts[at] = np.frombuffer(reply["counts"], np.int64)
+            counts[at] = numbers(reply["counts"], np.int64)
             first = self.context[at[cuts_of(self.context[at])[:-1]]]
-            self.kinds[first] = np.frombuffer(reply["kinds"], np.int64)
+            self.kinds[first] = numbers(reply["kinds"], np.int64)
             self.gains[first] = np.frombuffer(reply["gains"], np.float64)
         self.count, self.often = counts >> 1, (counts & 1).astype(bool)
         names, kinds, gains = sums
@@ -307,12 +316,12 @@ def count_runs(messages: DataFrame, buckets: int, often: float) -> DataFrame:
         rows = [r for batch in batches for r in batch.to_pylist()]
         if not rows:
             return
-        whole = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
+        whole = lambda name, kind: np.concatenate([numbers(r[name], kind) for r in rows])
         runs, names, hot = whole("runs", np.int32), whole("context", np.uint64), whole("hot", np.bool_)
         context = np.repeat(np.arange(len(runs)), runs)
         _, first, at = np.unique(joined(names[context], whole("word", np.uint64)), return_index=True, return_inverse=True)
         count = np.bincount(at, whole("learned", np.int32))
-        placed = np.bincount(at, whole("placed", np.int32))
+        placed = count + np.bincount(at, whole("others", np.int32))
         own, one, group = np.unique(names, return_index=True, return_inverse=True)
         of = group[context[first]]
         seen = count > 0
@@ -333,8 +342,8 @@ def count_runs(messages: DataFrame, buckets: int, often: float) -> DataFrame:
         for r in rows:
             n, k = len(r["word"]) // 8, len(r["runs"]) // 4
             yield pa.RecordBatch.from_pylist([{
-                "chunk": r["chunk"], "bucket": r["bucket"], "counts": answer[i:i + n].tobytes(),
-                "kinds": kinds[group[j:j + k]].tobytes(), "gains": gains[group[j:j + k]].tobytes()}], schema=schema)
+                "chunk": r["chunk"], "bucket": r["bucket"], "counts": planes(answer[i:i + n]),
+                "kinds": planes(kinds[group[j:j + k]]), "gains": gains[group[j:j + k]].tobytes()}], schema=schema)
             i, j = i + n, j + k
 
     return messages.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _REPLY)
@@ -350,7 +359,10 @@ def hot_sums(replies: DataFrame) -> tuple[np.ndarray, ...]:
 
 
 def look_up(requests: DataFrame, entries: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, bucket, counts, chances, often): the entries of each request's tokens, in their order."""
+    """(chunk, bucket, at, number, counts, chances, often): the entries of each request's tokens, in their order.
+
+    Tokens are numbered too, those of a bucket by falling count, so that later messages are small.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in batch.to_pylist()]
         table = [r for r in rows if r["chunk"] < 0]
@@ -359,19 +371,24 @@ def look_up(requests: DataFrame, entries: DataFrame, buckets: int) -> DataFrame:
         whole = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in table])
         names = whole("word", np.uint64)
         order = np.argsort(names)
-        names, values = names[order], [whole(n, k)[order] for n, k in (
-            ("counts", np.int64), ("chances", np.float64), ("often", np.bool_))]
+        names = names[order]
+        counts, chances, often = (whole(n, k)[order] for n, k in (
+            ("counts", np.int64), ("chances", np.float64), ("often", np.bool_)))
+        number = np.zeros(len(names), np.uint64)
+        number[np.argsort(-counts, kind="stable")] = np.arange(len(names), dtype=np.uint64)
+        number = number * np.uint64(buckets) + np.uint64(table[0]["bucket"] + 1)
         for r in rows:
             if r["chunk"] >= 0:
                 at = np.searchsorted(names, np.frombuffer(r["word"], np.uint64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["chunk"]], pa.int64()), pa.array([r["bucket"]], pa.int32()),
-                     *(pa.array([v[at].tobytes()], pa.binary()) for v in values)],
-                    names=["chunk", "bucket", "counts", "chances", "often"])
+                     *(pa.array([x], pa.binary()) for x in (
+                         r["at"], planes(number[at]), planes(counts[at]), planes(chances[at]), often[at].tobytes()))],
+                    names=["chunk", "bucket", "at", "number", "counts", "chances", "often"])
 
     return requests.unionByName(entries, allowMissingColumns=True).repartitionById(buckets, F.col("bucket")).select(
-        "chunk", "bucket", "word", "counts", "chances", "often").mapInArrow(
-        run, "chunk long, bucket int, counts binary, chances binary, often binary")
+        "chunk", "bucket", "at", "word", "counts", "chances", "often").mapInArrow(
+        run, "chunk long, bucket int, at binary, number binary, counts binary, chances binary, often binary")
 
 
 def by_bucket(names: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -394,22 +411,21 @@ class Chunk:
     def __init__(self, rows: list[dict], made: dict):
         self.row = next(r for r in rows if r["kind"] == 0)
         self.sizes = np.frombuffer(self.row["sizes"], np.int64)
-        self.places = np.frombuffer(self.row["places"], np.int32).astype(np.int64)
-        names = np.frombuffer(self.row["hashes"], np.uint64)
+        self.places = numbers(self.row["places"], np.int32).astype(np.int64)
         learned = np.repeat(np.frombuffer(self.row["learn"], np.uint8), self.sizes)
-        buckets, least, width = made["buckets"], made["least_count"], len(names) + 1
+        buckets, least = made["buckets"], made["least_count"]
+        width = int(self.places.max()) + 2  # every text has an end
         heads = np.cumsum(self.sizes) - self.sizes
         self.count, self.chance = np.zeros(width, np.int64), np.zeros(width)
-        often = np.zeros(width, bool)
-        slices = dict(by_bucket(names, buckets))
+        often, names = np.zeros(width, bool), np.full(width, START)
         for r in rows:
             if r["kind"] == 1:
-                at = slices[r["bucket"]]
-                self.count[at] = np.frombuffer(r["counts"], np.int64)
-                self.chance[at] = np.frombuffer(r["chances"], np.float64)
+                at = numbers(r["at"], np.int32)
+                names[at] = numbers(r["number"], np.uint64)
+                self.count[at] = numbers(r["counts"], np.int64)
+                self.chance[at] = numbers(r["chances"], np.float64)
                 often[at] = np.frombuffer(r["often"], np.bool_)
         self.count[-1], often[-1] = made["texts"], True
-        names = np.r_[names, START]
         before = np.r_[width - 1, self.places[:-1]]
         before[heads] = width - 1
         self.one = np.flatnonzero(self.count[before] >= least)
@@ -518,15 +534,16 @@ def score_texts(docs: DataFrame, training: DataFrame | Column, *, doc_id: str =
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, hashes in zip(batch.column("chunk").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
-                names = np.frombuffer(hashes, np.uint64)
+            for chunk, own in zip(batch.column("chunk").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                names = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
                 for bucket, at in by_bucket(names, buckets):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([names[at].tobytes()])],
-                        names=["bucket", "chunk", "word"])
+                        [pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()),
+                         pa.array([planes(at.astype(np.int32))]), pa.array([names[at].tobytes()])],
+                        names=["bucket", "chunk", "at", "word"])
 
     tables = [store(look_up(
-        chunks.select("chunk", "hashes").mapInArrow(ask, "bucket int, chunk long, word binary"),
+        chunks.select("chunk", "words").mapInArrow(ask, "bucket int, chunk long, at binary, word binary"),
         words.mapInArrow(spell, "bucket int, chunk long, word binary, counts binary, chances binary, often binary"),
         buckets), "token-entries")]
     made = {"buckets": buckets, "least_count": least_count, "texts": texts}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 from math import log10
@@ -23,13 +24,13 @@ LEAST_COUNT, LEAST_TOKEN_GAIN = 8, 50.0
 #: Contexts of at least a place in so many are spread over the buckets; their sums are broadcast, at most so many.
 HEAD_GRAMS = 10_000
 #: Tokens in a chunk (a longer text is a chunk), and places that a bucket gets on average.
-CHUNK_TOKENS, BUCKET_PLACES = 500_000, 1_000_000
+CHUNK_TOKENS, BUCKET_PLACES = 1_000_000, 1_000_000
 #: The number of what stands before the first token of a text, and odd constants that mix the bits of a hash.
 START, MIX, MIX2, MIX3 = np.uint64(0), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
 CACHED_WORDS = 200_000
-_MESSAGE = ("bucket int, chunk long, context binary, runs binary, hot binary, word binary, below binary, "
+_MESSAGE = ("bucket int, chunk long, context binary, runs binary, hot binary, word binary, expected binary, "
             "learned binary, others binary")
-_REPLY = "chunk long, bucket int, counts binary, kinds binary, gains binary, hot array<struct<context:long,t:long,g:double>>"
+_REPLY = "chunk long, bucket int, counts binary, kinds binary, hot array<struct<context:long,n:long,t:long,g:double>>"
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -278,36 +279,47 @@ class Level:
         self.slices = {int(bucket[a]): self.order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
 
     def messages(self, chunk: int, below: np.ndarray) -> Iterator[dict]:
-        """One row a bucket; ``below`` is by run the count of its token after the context one token shorter."""
+        """One row a bucket; ``below`` is by run the chance of its token after the context one token shorter."""
+        learned = self.learned > 0  # others may have no such chance, and count for nothing
+        expected = np.zeros(len(below))
+        expected[learned] = self.learned[learned] * np.log(below[learned])
         for bucket, at in self.slices.items():
             cuts = cuts_of(self.context[at])
             first = self.context[at[cuts[:-1]]]
             yield {"bucket": bucket, "chunk": chunk, "context": planes(self.names[first]),
                    "runs": planes(np.diff(cuts).astype(np.int32)), "hot": self.hot[first].tobytes(),
-                   "word": planes(self.words[at]), "below": planes(below[at]),
+                   "word": planes(self.words[at]),
+                   "expected": planes(np.add.reduceat(expected[at], cuts[:-1])),
                    "learned": planes(self.learned[at]), "others": planes(self.placed[at] - self.learned[at])}
 
     def read(self, replies: list[dict], sums: tuple[np.ndarray, ...]) -> None:
-        """Sets ``count`` and ``often`` by run, ``kinds`` and ``gains`` by context; those of hot contexts are in ``sums``."""
-        counts = np.zeros(len(self.context), np.int64)
-        self.kinds, self.gains = np.zeros(len(self.names), np.int64), np.zeros(len(self.names))
+        """Sets ``count`` and ``often`` by run, ``seen`` and ``state`` by context; those of hot contexts are in ``sums``."""
+        counts, kinds = np.zeros(len(self.context), np.int64), np.zeros(len(self.names), np.int64)
         for reply in replies:
             at = self.slices[reply["bucket"]]
             counts[at] = numbers(reply["counts"], np.int64)
-            first = self.context[at[cuts_of(self.context[at])[:-1]]]
-            self.kinds[first] = numbers(reply["kinds"], np.int64)
-            self.gains[first] = np.frombuffer(reply["gains"], np.float64)
-        self.count, self.often = counts >> 1, (counts & 1).astype(bool)
-        names, kinds, gains = sums
+            kinds[self.context[at[cuts_of(self.context[at])[:-1]]]] = numbers(reply["kinds"], np.int64)
+        names, values = sums
         if len(names):
             hot = np.flatnonzero(self.hot)
             found = np.minimum(np.searchsorted(names, self.names[hot]), len(names) - 1)
             same = names[found] == self.names[hot]
-            self.kinds[hot[same]], self.gains[hot[same]] = kinds[found[same]], gains[found[same]]
+            kinds[hot[same]] = values[found[same]]
+        self.count, self.often = counts >> 1, (counts & 1).astype(bool)
+        self.seen, self.state = kinds >> 1, (kinds & 1).astype(bool)
+
+
+def kinds_of(n: np.ndarray, t: np.ndarray, g: np.ndarray, least_gain: float) -> np.ndarray:
+    """Twice the distinct tokens of a context, and one more if it is a state.
+
+    ``g`` is the sum over its training places of the log of its token's count in it over the chance
+    after the shorter context; less n log n, twice, it is the G statistic.
+    """
+    return (2 * t + (2 * (g - n * np.log(np.maximum(n, 1))) >= least_gain)).astype(np.int64)
 
 
-def count_runs(messages: DataFrame, buckets: int, often: float) -> DataFrame:
-    """Replies to the messages of a level: counts over all chunks, and each context's distinct tokens and gain.
+def count_runs(messages: DataFrame, buckets: int, often: float, least_gain: float) -> DataFrame:
+    """Replies to the messages of a level: counts over all chunks, each context's distinct tokens and whether it is a state.
 
     A context is in one bucket, but a hot one in all; of those a bucket gives what it has.
     A count is doubled, and odd where the run stands ``often`` times in all texts.
@@ -325,37 +337,37 @@ def count_runs(messages: DataFrame, buckets: int, often: float) -> DataFrame:
         own, one, group = np.unique(names, return_index=True, return_inverse=True)
         of = group[context[first]]
         seen = count > 0
-        below = whole("below", np.int64)[first]
         gain = np.zeros(len(count))
-        gain[seen] = count[seen] * np.log(count[seen] / below[seen])
-        kinds, gains = np.bincount(of, seen, len(own)).astype(np.int64), np.bincount(of, gain, len(own))
+        gain[seen] = count[seen] * np.log(count[seen])
+        t, n, gains = (np.bincount(of, x, len(own)) for x in (seen, count, gain))
+        gains -= np.bincount(group, whole("expected", np.float64), len(own))
+        kinds = kinds_of(n, t, gains, least_gain)
         answer = (count.astype(np.int64) * 2 + (placed >= often))[at]
         head = np.flatnonzero(hot[one])
         made = {"chunk": -1, "bucket": rows[0]["bucket"], "hot": [
-            {"context": int(n), "t": int(t), "g": float(g)}
-            for n, t, g in zip(own[head].view(np.int64), kinds[head], gains[head], strict=True)]}
+            {"context": int(own[k].view(np.int64)), "n": int(n[k]), "t": int(t[k]), "g": float(gains[k])} for k in head]}
         schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("kinds", pa.binary()),
-                            ("gains", pa.binary()), ("hot", pa.list_(pa.struct(
-                                [("context", pa.int64()), ("t", pa.int64()), ("g", pa.float64())])))])
+                            ("hot", pa.list_(pa.struct([("context", pa.int64()), ("n", pa.int64()), ("t", pa.int64()),
+                                                        ("g", pa.float64())])))])
         yield pa.RecordBatch.from_pylist([made], schema=schema)
         i = j = 0
         for r in rows:
-            n, k = len(r["word"]) // 8, len(r["runs"]) // 4
+            m, k = len(r["word"]) // 8, len(r["runs"]) // 4
             yield pa.RecordBatch.from_pylist([{
-                "chunk": r["chunk"], "bucket": r["bucket"], "counts": planes(answer[i:i + n]),
-                "kinds": planes(kinds[group[j:j + k]]), "gains": gains[group[j:j + k]].tobytes()}], schema=schema)
-            i, j = i + n, j + k
+                "chunk": r["chunk"], "bucket": r["bucket"], "counts": planes(answer[i:i + m]),
+                "kinds": planes(kinds[group[j:j + k]])}], schema=schema)
+            i, j = i + m, j + k
 
     return messages.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _REPLY)
 
 
-def hot_sums(replies: DataFrame) -> tuple[np.ndarray, ...]:
-    """Distinct tokens and gains of the hot contexts over all buckets, by name; as many as can be hot."""
+def hot_sums(replies: DataFrame, least_gain: float) -> tuple[np.ndarray, np.ndarray]:
+    """The hot contexts' names in order and their ``kinds_of``, over all buckets; as many as can be hot."""
     found = (replies.where("chunk < 0").select(F.explode("hot").alias("x")).select("x.*")
-             .groupBy("context").agg(F.sum("t").alias("t"), F.sum("g").alias("g")).toArrow())
+             .groupBy("context").agg(*(F.sum(x).alias(x) for x in "ntg")).toArrow())
     names = found.column("context").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(names)
-    return names[order], found.column("t").to_numpy()[order], found.column("g").to_numpy()[order]
+    return names[order], kinds_of(*(found.column(x).to_numpy()[order] for x in "ntg"), least_gain)
 
 
 def look_up(requests: DataFrame, entries: DataFrame, buckets: int) -> DataFrame:
@@ -423,7 +435,8 @@ class Chunk:
                 at = numbers(r["at"], np.int32)
                 names[at] = numbers(r["number"], np.uint64)
                 self.count[at] = numbers(r["counts"], np.int64)
-                self.chance[at] = numbers(r["chances"], np.float64)
+                if "chances" in r:  # only the last pass reads them
+                    self.chance[at] = numbers(r["chances"], np.float64)
                 often[at] = np.frombuffer(r["often"], np.bool_)
         self.count[-1], often[-1] = made["texts"], True
         before = np.r_[width - 1, self.places[:-1]]
@@ -445,34 +458,40 @@ class Chunk:
         if "runs" in made:
             self.runs.read([r for r in rows if r["kind"] == 3], made["runs"])
 
-    def pair_messages(self) -> Iterator[dict]:
-        return self.pairs.messages(self.row["chunk"], self.count[self.pairs.token])
+    def pair_messages(self, total: int) -> Iterator[dict]:
+        return self.pairs.messages(self.row["chunk"], self.count[self.pairs.token] / max(1, total))
 
     def run_messages(self) -> Iterator[dict]:
-        below = np.zeros(len(self.runs.context), np.int64)
-        below[self.runs.at] = self.pairs.count[self.above]
+        below = np.zeros(len(self.runs.context))
+        below[self.runs.at] = self.pairs.count[self.above] / self.count[self.pairs.context[self.above]]
         return self.runs.messages(self.row["chunk"], below)
 
-    def scores(self, total: int, least_gain: float) -> np.ndarray:
+    def scores(self) -> np.ndarray:
         """Of each place the log10 chance of its token after the longest retained context."""
-        def gain(g: np.ndarray, n: np.ndarray, up: np.ndarray | int) -> np.ndarray:
-            return 2 * (g + n * np.log(up / np.maximum(n, 1)))
-
-        out, pairs, runs = self.chance[self.places], self.pairs, self.runs
+        out, one, pairs, runs = self.chance[self.places], np.zeros(len(self.places)), self.pairs, self.runs
         context = pairs.context[pairs.at]
-        n = self.count[context]
-        one = np.zeros(len(out))
-        one[self.one] = smoothed(pairs.count[pairs.at], n, pairs.kinds[context], out[self.one])
-        state = gain(pairs.gains[context], n, max(1, total)) >= least_gain
-        out[self.one[state]] = one[self.one[state]]
+        one[self.one] = smoothed(pairs.count[pairs.at], self.count[context], pairs.seen[context], out[self.one])
+        state = self.one[pairs.state[context]]
+        out[state] = one[state]
         context = runs.context[runs.at]
-        n = pairs.count[context]
-        two = smoothed(runs.count[runs.at], n, runs.kinds[context], one[self.two])
-        state = gain(runs.gains[context], n, np.maximum(1, self.count[pairs.token[context]])) >= least_gain
+        two = smoothed(runs.count[runs.at], pairs.count[context], runs.seen[context], one[self.two])
+        state = runs.state[context]
         out[self.two[state]] = two[state]
         return out
 
 
+#: The tree of a worker's last task, with the moves worked out so far.
+_LAST_TREE: dict[str, SuffixTree] = {}
+
+
+def tree_of(name: str, letters) -> SuffixTree:
+    """The tree of a broadcast, kept from task to task."""
+    if name not in _LAST_TREE:
+        _LAST_TREE.clear()
+        _LAST_TREE[name] = SuffixTree(letters.value)
+    return _LAST_TREE[name]
+
+
 def score_texts(docs: DataFrame, training: DataFrame | Column, *, doc_id: str = "doc_id", text: str = "text",
                 depth: int = DEPTH, least_share: float = LEAST_SHARE, least_gain: float = LEAST_GAIN,
                 least_count: int = LEAST_COUNT, least_token_gain: float = LEAST_TOKEN_GAIN,
@@ -514,11 +533,11 @@ def score_texts(docs: DataFrame, training: DataFrame | Column, *, doc_id: str =
         F.coalesce(F.sum(F.when(F.col("w") == F.lit(END), F.col("c"))), F.lit(0))).first()
     buckets, bound = placed // bucket_places + 1, max(1.0, placed / head_grams)
     letters = context.broadcast(learn_tree(words.where("c > 0").select("w", "c"), depth, least_share, least_gain))
-    types = max(1, distinct)
+    types, tree_name = max(1, distinct), uuid.uuid4().hex
     below, weight = log10(total + distinct + 1), log10(total + types)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = SuffixTree(letters.value)
+        tree = tree_of(tree_name, letters)
         for batch in batches:
             own, counts, chances = batch.column("w").to_pylist(), batch.column("c").to_numpy(), []
             for w, c in zip(own, counts.tolist(), strict=True):
@@ -548,12 +567,12 @@ def score_texts(docs: DataFrame, training: DataFrame | Column, *, doc_id: str =
         buckets), "token-entries")]
     made = {"buckets": buckets, "least_count": least_count, "texts": texts}
 
-    def gathered() -> DataFrame:
+    def gathered(*unread: str) -> DataFrame:
         """Each chunk with its replies, one after another in a task."""
         rows = chunks.drop("words").withColumn("kind", F.lit(0))
         for k, t in enumerate(tables, 1):
             rows = rows.unionByName((t.drop("hot") if k > 1 else t).withColumn("kind", F.lit(k)), allowMissingColumns=True)
-        return rows.where("chunk >= 0").repartition("chunk").sortWithinPartitions("chunk")
+        return rows.where("chunk >= 0").drop(*unread).repartition("chunk").sortWithinPartitions("chunk")
 
     def each(state: dict):
         def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -570,14 +589,14 @@ def score_texts(docs: DataFrame, training: DataFrame | Column, *, doc_id: str =
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk in chunked(batches):
-                for row in chunk.pair_messages() if level == "pairs" else chunk.run_messages():
+                for row in chunk.pair_messages(total) if level == "pairs" else chunk.run_messages():
                     yield pa.RecordBatch.from_pylist([row], schema=schema)
 
-        return gathered().mapInArrow(run, _MESSAGE)
+        return gathered("ids", "scored", "chances").mapInArrow(run, _MESSAGE)
 
     for level in ("pairs", "runs"):
-        tables.append(store(count_runs(messages(level, made), buckets, bound), f"token-{level}"))
-        made = made | {level: hot_sums(tables[-1])}
+        tables.append(store(count_runs(messages(level, made), buckets, bound, least_token_gain), f"token-{level}"))
+        made = made | {level: hot_sums(tables[-1], least_token_gain)}
     chunked = each(made)
     result = f"doc_id {kind.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -586,7 +605,7 @@ def score_texts(docs: DataFrame, training: DataFrame | Column, *, doc_id: str =
             row, n = np.repeat(np.arange(len(chunk.sizes)), chunk.sizes), len(chunk.sizes)
             count = chunk.count[chunk.places]
             values = [np.bincount(row, x, n) for x in (
-                count > 0, np.log10(count + 1) - below, chunk.scores(total, least_token_gain))]
+                count > 0, np.log10(count + 1) - below, chunk.scores())]
             yield pa.RecordBatch.from_arrays(
                 [chunk_ids(chunk.row["ids"]), pa.array(chunk.sizes), pa.array(values[0].astype(np.int64)),
                  pa.array(np.full(n, total, np.int64)), pa.array(values[1]), pa.array(values[2])],

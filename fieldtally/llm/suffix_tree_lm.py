@@ -24,7 +24,7 @@ LEAST_COUNT, LEAST_TOKEN_GAIN = 8, 50.0
 #: Contexts of at least a place in so many are spread over the buckets; their sums are broadcast, at most so many.
 HEAD_GRAMS = 10_000
 #: Tokens in a chunk (a longer text is a chunk), and places that a bucket gets on average.
-CHUNK_TOKENS, BUCKET_PLACES = 1_000_000, 1_000_000
+CHUNK_TOKENS, BUCKET_PLACES = 600_000, 1_000_000
 #: The number of what stands before the first token of a text, and odd constants that mix the bits of a hash.
 START, MIX, MIX2, MIX3 = np.uint64(0), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
 CACHED_WORDS = 200_000

@@ -366,9 +366,10 @@ def test_scores_follow_the_order_of_tokens(spark):
             return context
         return state(context[1:])
 
-    for head in (1, 500_000):  # all runs joined but the most frequent, or all broadcast
+    # no context spread over the buckets, or all, in one bucket; then many chunks and buckets, and some contexts spread
+    for head, parts in ((1, {}), (500_000, {}), (50, {"chunk_tokens": 150, "bucket_places": 300})):
         out = {r.doc_id: r for r in suffix_tree_lm.score_texts(
-            docs.unionByName(swapped), train, least_token_gain=20.0, head_grams=head).collect()}
+            docs.unionByName(swapped), train, least_token_gain=20.0, head_grams=head, **parts).collect()}
         for i, t in enumerate(texts):
             own = tokens(t)
             want = sum(math.log10(chance(state(tuple(own[j - 2:j])), own[j])) for j in range(2, len(own)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,12 +57,12 @@ def with_schema(docs: DataFrame, *fields: tuple[str, str | T.DataType]) -> T.Str
                          *(T.StructField(n, k) for n, k in kinds)])
 
 
-def scan_texts(docs: DataFrame, schema: T.StructType,
-               start: Callable[[], Callable[[list], dict[str, list]]]) -> DataFrame:
+def scan_texts(docs: DataFrame, schema: T.StructType, start: Callable[[], Callable[..., dict[str, list]]],
+               extra: Sequence[str] = ()) -> DataFrame:
     """One pass over (doc_id, text): a row out for each row in, batch by batch.
 
     ``start`` runs once in each task and returns the function that maps the texts of
-    a batch to lists of values by column name.
+    a batch, and the values of the columns ``extra``, to lists of values by column name.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -73,29 +73,30 @@ def scan_texts(docs: DataFrame, schema: T.StructType,
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):  # keeps Python's objects few
                 part = batch.slice(k, 1000)
-                made = work(part.column("text").to_pylist())
+                made = work(*(part.column(c).to_pylist() for c in ("text", *extra)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(columns.field(0).type),
                      *(x if isinstance(x, pa.Array) else pa.array(x, columns.field(n).type)
                        for n, x in ((n, made[n]) for n in columns.names[1:]))],
                     schema=columns)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *extra).mapInArrow(run, schema)
 
 
-def filter_texts(docs: DataFrame, text: str,
-                 start: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
-    """Rows of ``docs``, with all their columns, whose text the task's function keeps."""
-    at = docs.columns.index(text)
+def filter_texts(docs: DataFrame, text: str, start: Callable[[], Callable[..., list[bool]]],
+                 extra: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``docs`` whose text, with the last columns ``extra``, the task's function keeps; all columns but those stay."""
+    at, kept = docs.columns.index(text), len(docs.columns) - len(extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                yield part.filter(pa.array(work(part.column(at).to_pylist()), pa.bool_()))
+                keep = work(*(part.column(c).to_pylist() for c in (at, *range(kept, kept + len(extra)))))
+                yield part.select(list(range(kept))).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields[:kept]))
 
 
 def sha256(text: Column) -> Column:

@@ -5,15 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_texts, id_and_text, scan_texts, with_schema
+from .common import filter_texts, id_and_text, scan_texts, store, with_schema
 
 # Fixed value: a word, in the UTF-8 bytes of a text whose A-Z are lowered; all bytes of other letters are above 7F.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 13
-#: Bytes of normalised items in one automaton; more items make further automata that the same pass goes through.
+#: Bytes of items in one automaton; more items make further automata, each with a pass of its own.
 AUTOMATON_BYTES = 32 << 20
 
 
@@ -47,28 +48,28 @@ def build(items: list[tuple[str | None, str | None]], window: int):
 
 
 class Scanner:
-    """Finds the words of a text that lie in an occurrence of any window."""
-
-    def __init__(self, chunks: list, window: int):
-        self.chunks, self.window = chunks, window
-        self.ready = [build(c.value, window) for c in chunks] if len(chunks) == 1 else None
-
-    def scan(self, texts: list[str | None]) -> list[tuple[list[bytes], bytearray | None, set]]:
-        """For each text its words, the flags of the words hit (None: none is) and the items."""
-        words = [words_of(t) for t in texts]
-        flags: list[bytearray | None] = [None] * len(texts)
-        items: list[set] = [set() for _ in texts]
-        for number, automaton in self.ready or (build(c.value, self.window) for c in self.chunks):
-            if automaton is None:
-                continue
-            get = number.get
-            for k, own in enumerate(words):
-                for end, (length, ids) in automaton.iter(tuple([get(w, 0) for w in own])):
-                    if flags[k] is None:
-                        flags[k] = bytearray(len(own))
-                    flags[k][end - length + 1:end + 1] = b"\1" * length
-                    items[k] |= ids
-        return list(zip(words, flags, items, strict=True))
+    """Finds the words of a text that lie in an occurrence of any window of a chunk's items; built once in a task."""
+
+    def __init__(self, chunk, window: int):
+        self.numbers, self.automaton = build(chunk.value, window)
+
+    def scan(self, texts: list[str | None], flags: list[bytes | None] | None = None,
+             items: list[list | None] | None = None) -> list[tuple[list[bytes], bytearray | None, set]]:
+        """For each text its words, the flags of the words hit (None: none is) and the items.
+
+        ``flags`` and ``items`` are what other chunks gave for the same texts.
+        """
+        none = [None] * len(texts)
+        get, out = self.numbers.get, []
+        for text, before, names in zip(texts, flags or none, items or none, strict=True):
+            words, hit, ids = words_of(text), bytearray(before) if before else None, set(names or ())
+            for end, (length, owners) in self.automaton.iter(tuple([get(w, 0) for w in words])) if self.automaton else ():
+                if hit is None:
+                    hit = bytearray(len(words))
+                hit[end - length + 1:end + 1] = b"\1" * length
+                ids |= owners
+            out.append((words, hit, ids))
+        return out
 
 
 def spans_of(text: str, flags: bytearray) -> list[tuple[int, int]]:
@@ -106,6 +107,38 @@ def _chunks(benchmark: DataFrame, item_id: str, item_text: str, limit: int) -> l
     return [context.broadcast([tuple(r) for r in items.where(dealt == c).collect()]) for c in range(n)]
 
 
+def _scanned(docs: DataFrame, text: str, chunks: list, window: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two last columns, the flags and items that ``chunks`` give, and their names; a stored pass a chunk.
+
+    Each pass holds one automaton, built once in a task, and goes on from the flags of
+    the pass before; without chunks ``docs`` stay as they are.
+    """
+    if not chunks:
+        return docs, []
+    free = next(n for n in map("_hit{}".format, range(len(docs.columns) + 1))
+                if not any(c.lower().startswith(n) for c in docs.columns))
+    names, at = [free, f"{free}_items"], docs.columns.index(text)
+    docs = docs.withColumns({names[0]: F.lit(None).cast("binary"), names[1]: F.lit(None).cast("array<string>")})
+
+    def through(chunk) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scanner = Scanner(chunk, window)
+            for batch in batches:
+                for k in range(0, batch.num_rows, 1000):
+                    part = batch.slice(k, 1000)
+                    columns = part.columns
+                    found = scanner.scan(*(columns[c].to_pylist() for c in (at, -2, -1)))
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns[:-2], pa.array([bytes(f) if f else None for _, f, _ in found], columns[-2].type),
+                         pa.array([list(i) or None for _, _, i in found], columns[-1].type)], schema=part.schema)
+
+        return run
+
+    for chunk in chunks:
+        docs = store(docs.mapInArrow(through(chunk), docs.schema), "contamination-pass")
+    return docs, names
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                   item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
                   min_share: float = 0.05, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
@@ -114,19 +147,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     A word is hit if it lies in any occurrence of a window of ``window`` consecutive words
     of an item; a row is contaminated if it has a hit and at least ``min_share`` of its words
     are hit.  Spans are the maximal runs of hit words in code points of the original text.
-    One narrow pass.  Null and empty texts have no words and are clean; items without words
+    One narrow pass; items beyond ``automaton_bytes`` take a stored pass more for each
+    so many bytes.  Null and empty texts have no words and are clean; items without words
     have no window; items with a null id hit but are not listed; repeated rows repeat.
     """
     docs = id_and_text(docs, doc_id, text)
     chunks = _chunks(benchmark, item_id, item_text, automaton_bytes)
+    docs, before = _scanned(docs, "text", chunks[:-1], window)
+    last = chunks[-1]
     schema = with_schema(docs, ("n_words", "long"), ("n_hit", "long"), ("items", "array<string>"),
                          ("spans", "array<struct<start:int,end:int>>"), ("contaminated", "boolean"))
 
-    def start() -> Callable[[list], dict[str, list]]:
-        scanner = Scanner(chunks, window)
+    def start() -> Callable[..., dict[str, list]]:
+        scanner = Scanner(last, window)
 
-        def work(texts: list) -> dict[str, list]:
-            found = scanner.scan(texts)
+        def work(texts: list, *earlier: list) -> dict[str, list]:
+            found = scanner.scan(texts, *earlier)
             n = [len(w) for w, _, _ in found]
             hit = [sum(f) if f else 0 for _, f, _ in found]
             return {
@@ -139,17 +175,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
 
         return work
 
-    return scan_texts(docs, schema, start)
+    return scan_texts(docs, schema, start, before)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id",
                       item_text: str = "text", window: int = WINDOW, min_share: float = 0.05,
                       automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """The rows of ``docs`` that ``contamination`` finds clean, with all their columns."""
+    """The rows of ``docs`` that ``contamination`` finds clean, with all their columns.
+
+    Null and empty texts and texts without words stay, whatever their other columns hold; repeated rows stay or
+    go together; empty tables give no rows, an empty ``benchmark`` keeps all.
+    """
     chunks = _chunks(benchmark, item_id, item_text, automaton_bytes)
+    docs, before = _scanned(docs, text, chunks[:-1], window)
+    last = chunks[-1]
 
-    def start() -> Callable[[list], list[bool]]:
-        scanner = Scanner(chunks, window)
-        return lambda texts: [not f or sum(f) < min_share * len(w) - 1e-9 for w, f, _ in scanner.scan(texts)]
+    def start() -> Callable[..., list[bool]]:
+        scanner = Scanner(last, window)
+        return lambda *given: [not f or sum(f) < min_share * len(w) - 1e-9 for w, f, _ in scanner.scan(*given)]
 
-    return filter_texts(docs, text, start)
+    return filter_texts(docs, text, start, before)

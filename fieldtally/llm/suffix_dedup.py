@@ -273,10 +273,12 @@ def _repeated_windows(chunks: DataFrame, length: int) -> DataFrame:
                                               names=["_key", "lo", "hi"])
 
         groups: list[list[dict]] = []
-        last, windows = None, 0
+        last, windows, place = None, 0, None
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 for r in batch.slice(k, 2000).to_pylist():
+                    if place == (place := (r["g"], r["_key"], r["lo"])):
+                        continue  # a repeated row's
                     if r["g"] != last:
                         if windows >= BATCH_WINDOWS:
                             yield table(solve(groups))
@@ -288,7 +290,7 @@ def _repeated_windows(chunks: DataFrame, length: int) -> DataFrame:
         if groups:
             yield table(solve(groups))
 
-    return chunks.repartition("g").sortWithinPartitions("g").mapInArrow(run, schema)
+    return chunks.repartition("g").sortWithinPartitions("g", "_key", "lo").mapInArrow(run, schema)
 
 
 def repeated_ranges(docs: DataFrame, length: int, gram: int, group_contexts: int) -> DataFrame:
@@ -336,7 +338,7 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
     docs = docs.select("doc_id", row_key().alias("_key"), _raw(F.col("text")).alias("raw"))
     ranges = (repeated_ranges(docs, length, gram, group_contexts)
-              .groupBy("_key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+              .groupBy("_key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
     met = docs.join(ranges, "_key", "left").select("doc_id", "raw", "ranges")
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()),

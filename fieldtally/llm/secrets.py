@@ -21,11 +21,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "entropy_hex", "entropy_base64", "entropy_base32", "entropy_lower")
-# By class, its characters, the window and the bits a character needs.
+# By class, its characters (base32 in all its alphabets), the window and the bits a character needs.
 CLASSES = {
     "entropy_hex": (re.compile(r"[0-9A-Fa-f]{20,}"), 20, 2.9),
     "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 4.0),
-    "entropy_base32": (re.compile(r"[A-Z2-7]{24,}"), 24, 3.5),
+    "entropy_base32": (re.compile(r"[A-Z0-9]{24,}"), 24, 3.5),
     "entropy_lower": (re.compile(r"[a-z0-9]{24,}"), 24, 3.5),
 }
 # What is no secret though it looks random.

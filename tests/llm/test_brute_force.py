@@ -14,6 +14,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
 
 import __spark_entry__ as entry
@@ -38,7 +39,7 @@ def rows_of(spark, name, folder=SMALL):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     got, want = normal(entry.queries()[name](spark, SMALL).toPandas()), normal(db.sql(ORACLES[name]).df())
     assert list(got.columns) == list(want.columns) and len(got) == len(want) > 0
@@ -129,6 +130,26 @@ def test_spans_cover_the_hit_words_of_the_original(spark):
         assert out[3].n_hit == 2 and out[3].items == ["8"] and out[3].contaminated
 
 
+def test_further_automata_give_what_one_gives(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(60)] + ["É", "naïve"]
+    own = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, own(rng.choice([2, 5, 13, 20]))) for i in range(60)] + [(60, ""), (61, None), (None, own(14))]
+    docs = [(i, own(rng.randrange(10)) + " " + (rng.choice(items)[1] or "") + " " + own(rng.randrange(40)), "x") for i in range(150)]
+    docs += [(7, docs[7][1], "x"), (900, None, None), (901, "", "x"), (None, docs[3][1], "y")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, _hit0_items string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plain = decontamination.contamination(docs, bench)
+    cut = decontamination.contamination(docs, bench, automaton_bytes=600)
+    assert plain.schema == cut.schema
+    assert sorted(map(str, plain.collect())) == sorted(map(str, cut.collect()))
+    assert plain.where("n_hit > 0").count() > 100
+    one, many = (decontamination.drop_contaminated(docs, bench, automaton_bytes=n) for n in (1 << 20, 600))
+    assert one.columns == many.columns == docs.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    assert 0 < one.count() < docs.count()
+
+
 # 4: secrets
 
 @given(st.text("ab01XY", min_size=0, max_size=60), st.integers(2, 12), st.floats(0.5, 3))
@@ -176,6 +197,8 @@ def test_what_is_allowed_or_taken_does_not_hide_a_key_beside_it():
         for _ in range(50):
             own = "".join(rng.choice(letters) for _ in range(48))
             assert any(k == kind and e - s >= 40 for k, s, e in find(f"a {own} b")), own
+    capitals = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40)) for _ in range(500)]
+    assert sum(any(e - s >= 36 for k, s, e in find(f"a {x} b") if k.startswith("entropy")) for x in capitals) >= 480
     for plain in (uuid, "example/path/to/some/file/name", "thequickbrownfoxjumpsoverthelazydog42",
                   "THEQUICKBROWNFOXJUMPSOVERTHELAZYDOG", "0123456789" * 4, "x" * 60):
         assert not [k for k, *_ in find(f"a {plain} b") if k.startswith("entropy")], plain
@@ -244,6 +267,24 @@ def test_windows_of_a_frequent_gram_are_not_held_together(spark, monkeypatch):
     assert [got[i] for i, _ in rows] == removed_bytes([t.encode() for _, t in rows], 40)
 
 
+def test_repeated_rows_send_their_ranges_once(spark):
+    rng = random.Random(11)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = own(300)
+    text = own(3000) + passage + own(2000)
+    rows = [(1, text)] * 300 + [(2, own(90) + passage), (3, own(500))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffix_dedup.drop_repeats(docs, length=40, gram=12).select(
+        "doc_id", "n_bytes", "removed", F.octet_length("kept").alias("kept")).distinct().collect()
+    assert len(got) == 3  # one result for all copies
+    by = {r.doc_id: r for r in got}
+    assert by[1].kept == 0 and by[2].kept == 90 and by[3].kept == 500
+    chunks = [(5, 1, 0, 1, 0, True, b"x" * 40)] * 50 + [(5, 2, 3, 1, 0, True, b"x" * 40)]
+    found = suffix_dedup._repeated_windows(spark.createDataFrame(
+        chunks, "g long, _key long, lo int, n int, a int, only boolean, bytes binary"), 40)
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 0), (2, 3, 3)]
+
+
 def test_suffix_sort_orders_windows():
     rng = np.random.default_rng(2)
     buffer = rng.integers(97, 99, 3000).astype(np.uint8)

@@ -10,6 +10,7 @@ from math import log10
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,8 @@ CHUNK_TOKENS, BUCKET_PLACES = 600_000, 1_000_000
 #: The number of what stands before the first token of a text, and odd constants that mix the bits of a hash.
 START, MIX, MIX2, MIX3 = np.uint64(0), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
 CACHED_WORDS = 200_000
-_MESSAGE = ("bucket int, chunk long, context binary, runs binary, hot binary, word binary, expected binary, "
+PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+_MESSAGE = ("bucket int, chunk long, context binary, second binary, runs binary, hot binary, word binary, expected binary, "
             "learned binary, others binary")
 _REPLY = "chunk long, bucket int, counts binary, kinds binary, hot array<struct<context:long,n:long,t:long,g:double>>"
 
@@ -182,13 +184,13 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Numbers as all first bytes, then all second ones and so on: high bytes, mostly equal, cost nothing when compressed."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    """Numbers as all first bytes, then all second ones and so on, compressed: high bytes, mostly equal, cost nothing."""
+    return PACK.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
 
 
 def numbers(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    raw = np.frombuffer(UNPACK.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def chunk_texts(texts: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
@@ -260,17 +262,28 @@ def cuts_of(values: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, values[1:] != values[:-1]][:len(values)]), len(values)]
 
 
+#: The columns of a message with the numbers of a context's tokens; small numbers, where their hash would be as long as any.
+PARTS = ("context", "second")
+
+
+def named(parts: tuple[np.ndarray, ...]) -> np.ndarray:
+    """What contexts of one or two tokens are called."""
+    return parts[0] if len(parts) == 1 else joined(*parts)
+
+
 class Level:
     """The distinct (context, token) runs of a chunk, laid out by the buckets that count them over all chunks."""
 
-    def __init__(self, code: np.ndarray, width: int, learned: np.ndarray, buckets: int, names: np.ndarray, hot: np.ndarray,
-                 words: np.ndarray):
-        """``code`` is context times ``width`` plus token at each place; names and hot are by context, words by token."""
+    def __init__(self, code: np.ndarray, width: int, learned: np.ndarray, buckets: int, parts: tuple[np.ndarray, ...],
+                 hot: np.ndarray, words: np.ndarray):
+        """``code`` is context times ``width`` plus token at each place; parts (the numbers of a context's tokens) and hot
+        are by context, words by token."""
         own, self.at = np.unique(code, return_inverse=True)
         self.context, self.token = own // width, own % width
         self.learned = np.bincount(self.at, learned, len(own)).astype(np.int32)
         self.placed = np.bincount(self.at, minlength=len(own)).astype(np.int32)
-        self.names, self.hot, self.words = names, hot, words[self.token]
+        self.parts, self.hot, self.words = parts, hot, words[self.token]
+        self.names = names = named(parts)
         name = names[self.context]
         bucket = np.where(hot[self.context], joined(name, self.words), name) % np.uint64(buckets)
         self.order = np.argsort(bucket, kind="stable")
@@ -286,8 +299,8 @@ class Level:
         for bucket, at in self.slices.items():
             cuts = cuts_of(self.context[at])
             first = self.context[at[cuts[:-1]]]
-            yield {"bucket": bucket, "chunk": chunk, "context": planes(self.names[first]),
-                   "runs": planes(np.diff(cuts).astype(np.int32)), "hot": self.hot[first].tobytes(),
+            yield {"bucket": bucket, "chunk": chunk, **{k: planes(x[first]) for k, x in zip(PARTS, self.parts)},
+                   "runs": planes(np.diff(cuts).astype(np.int32)), "hot": planes(self.hot[first]),
                    "word": planes(self.words[at]),
                    "expected": planes(np.add.reduceat(expected[at], cuts[:-1])),
                    "learned": planes(self.learned[at]), "others": planes(self.placed[at] - self.learned[at])}
@@ -329,7 +342,10 @@ def count_runs(messages: DataFrame, buckets: int, often: float, least_gain: floa
         if not rows:
             return
         whole = lambda name, kind: np.concatenate([numbers(r[name], kind) for r in rows])
-        runs, names, hot = whole("runs", np.int32), whole("context", np.uint64), whole("hot", np.bool_)
+        runs, hot = whole("runs", np.int32), whole("hot", np.bool_)
+        names = named(tuple(whole(k, np.uint64) for k in PARTS if rows[0][k] is not None))
+        contexts = [len(numbers(r["runs"], np.int32)) for r in rows]
+        places = np.add.reduceat(runs, np.cumsum([0, *contexts[:-1]])).tolist()
         context = np.repeat(np.arange(len(runs)), runs)
         _, first, at = np.unique(joined(names[context], whole("word", np.uint64)), return_index=True, return_inverse=True)
         count = np.bincount(at, whole("learned", np.int32))
@@ -351,8 +367,7 @@ def count_runs(messages: DataFrame, buckets: int, often: float, least_gain: floa
                                                         ("g", pa.float64())])))])
         yield pa.RecordBatch.from_pylist([made], schema=schema)
         i = j = 0
-        for r in rows:
-            m, k = len(r["word"]) // 8, len(r["runs"]) // 4
+        for r, m, k in zip(rows, places, contexts, strict=True):
             yield pa.RecordBatch.from_pylist([{
                 "chunk": r["chunk"], "bucket": r["bucket"], "counts": planes(answer[i:i + m]),
                 "kinds": planes(kinds[group[j:j + k]])}], schema=schema)
@@ -443,7 +458,7 @@ class Chunk:
         before[heads] = width - 1
         self.one = np.flatnonzero(self.count[before] >= least)
         self.pairs = pairs = Level(before[self.one] * width + self.places[self.one], width, learned[self.one], buckets,
-                                   names, often, names)
+                                   (names,), often, names)
         if "pairs" not in made:
             return
         pairs.read([r for r in rows if r["kind"] == 2], made["pairs"])
@@ -454,7 +469,7 @@ class Chunk:
         self.two = np.flatnonzero((earlier >= 0) & (np.append(pairs.count, 0)[earlier] >= least))
         self.above = pair[self.two]
         self.runs = Level(earlier[self.two] * width + self.places[self.two], width, learned[self.two], buckets,
-                          joined(names[pairs.context], names[pairs.token]), pairs.often, names)
+                          (names[pairs.context], names[pairs.token]), pairs.often, names)
         if "runs" in made:
             self.runs.read([r for r in rows if r["kind"] == 3], made["runs"])
 

@@ -29,7 +29,6 @@ CHUNK_TOKENS, BUCKET_PLACES = 600_000, 1_000_000
 #: The number of what stands before the first token of a text, and odd constants that mix the bits of a hash.
 START, MIX, MIX2, MIX3 = np.uint64(0), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
 CACHED_WORDS = 200_000
-PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _MESSAGE = ("bucket int, chunk long, context binary, second binary, runs binary, hot binary, word binary, expected binary, "
             "learned binary, others binary")
 _REPLY = "chunk long, bucket int, counts binary, kinds binary, hot array<struct<context:long,n:long,t:long,g:double>>"
@@ -185,11 +184,12 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def planes(values: np.ndarray) -> bytes:
     """Numbers as all first bytes, then all second ones and so on, compressed: high bytes, mostly equal, cost nothing."""
-    return PACK.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(
+        values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
 
 
 def numbers(data: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(UNPACK.decompress(data), np.uint8)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 

@@ -47,7 +47,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(drop, before)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Deletes a table that ``store`` has written, once nothing reads it any more; only what ``store`` returned itself."""
+    context = stored.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(stored._stored_at)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def with_schema(docs: DataFrame, *fields: tuple[str, str | T.DataType]) -> T.StructType:

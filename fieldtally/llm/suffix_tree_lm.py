@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import discard, store
 
 #: The end of a text as a token; no word holds white space.
 END = b"\n"
@@ -124,6 +124,7 @@ def learn_tree(words: DataFrame, depth: int = DEPTH, least_share: float = LEAST_
         s = name(d, key >> 8)
         if s in tree:
             tree[s][key & 255] = c
+    discard(pairs)
     return tree
 
 
@@ -580,6 +581,7 @@ def score_texts(docs: DataFrame, training: DataFrame | Column, *, doc_id: str =
         chunks.select("chunk", "words").mapInArrow(ask, "bucket int, chunk long, at binary, word binary"),
         words.mapInArrow(spell, "bucket int, chunk long, word binary, counts binary, chances binary, often binary"),
         buckets), "token-entries")]
+    discard(words)
     made = {"buckets": buckets, "least_count": least_count, "texts": texts}
 
     def gathered(*unread: str) -> DataFrame:

@@ -25,7 +25,7 @@ LEAST_COUNT, LEAST_TOKEN_GAIN = 8, 50.0
 #: Contexts of at least a place in so many are spread over the buckets; their sums are broadcast, at most so many.
 HEAD_GRAMS = 10_000
 #: Tokens in a chunk (a longer text is a chunk), and places that a bucket gets on average.
-CHUNK_TOKENS, BUCKET_PLACES = 600_000, 1_000_000
+CHUNK_TOKENS, BUCKET_PLACES = 800_000, 1_000_000
 #: The number of what stands before the first token of a text, and odd constants that mix the bits of a hash.
 START, MIX, MIX2, MIX3 = np.uint64(0), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
 CACHED_WORDS = 200_000
@@ -389,7 +389,7 @@ def hot_sums(replies: DataFrame, least_gain: float) -> tuple[np.ndarray, np.ndar
 def look_up(requests: DataFrame, entries: DataFrame, buckets: int) -> DataFrame:
     """(chunk, bucket, at, number, counts, chances, often): the entries of each request's tokens, in their order.
 
-    Tokens are numbered too, those of a bucket by falling count, so that later messages are small.
+    Tokens are numbered too within their bucket, by falling count, so that later messages are small.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in batch.to_pylist()]
@@ -401,10 +401,9 @@ def look_up(requests: DataFrame, entries: DataFrame, buckets: int) -> DataFrame:
         order = np.argsort(names)
         names = names[order]
         counts, chances, often = (whole(n, k)[order] for n, k in (
-            ("counts", np.int64), ("chances", np.float64), ("often", np.bool_)))
-        number = np.zeros(len(names), np.uint64)
-        number[np.argsort(-counts, kind="stable")] = np.arange(len(names), dtype=np.uint64)
-        number = number * np.uint64(buckets) + np.uint64(table[0]["bucket"] + 1)
+            ("counts", np.int64), ("chances", np.float32), ("often", np.bool_)))
+        number = np.zeros(len(names), np.uint32)
+        number[np.argsort(-counts, kind="stable")] = np.arange(len(names), dtype=np.uint32)
         for r in rows:
             if r["chunk"] >= 0:
                 at = np.searchsorted(names, np.frombuffer(r["word"], np.uint64))
@@ -449,10 +448,10 @@ class Chunk:
         for r in rows:
             if r["kind"] == 1:
                 at = numbers(r["at"], np.int32)
-                names[at] = numbers(r["number"], np.uint64)
+                names[at] = numbers(r["number"], np.uint32).astype(np.uint64) * np.uint64(buckets) + np.uint64(r["bucket"] + 1)
                 self.count[at] = numbers(r["counts"], np.int64)
                 if "chances" in r:  # only the last pass reads them
-                    self.chance[at] = numbers(r["chances"], np.float64)
+                    self.chance[at] = numbers(r["chances"], np.float32)
                 often[at] = np.frombuffer(r["often"], np.bool_)
         self.count[-1], often[-1] = made["texts"], True
         before = np.r_[width - 1, self.places[:-1]]
@@ -560,7 +559,7 @@ def score_texts(docs: DataFrame, training: DataFrame | Column, *, doc_id: str =
                 p = tree.score(w)
                 chances.append((log10(c + types * 10.0 ** p) if c else p + log10(types)) - weight)
             names = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
-            often, chances = batch.column("m").to_numpy() >= bound, np.array(chances)
+            often, chances = batch.column("m").to_numpy() >= bound, np.array(chances, np.float32)
             for bucket, at in by_bucket(names, buckets):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([bucket], pa.int32()), pa.array([-1], pa.int64()),

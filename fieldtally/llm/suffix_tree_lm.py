@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 from math import log10
 
@@ -194,6 +194,23 @@ def numbers(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def in_batches(run: Callable[..., Iterator[pa.RecordBatch]], size: int = 1 << 20) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``run`` with its small batches put together to about ``size`` bytes, as each that leaves a task has its cost."""
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in run(batches):
+            held.append(batch)
+            n += batch.nbytes
+            if n >= size:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+    return together
+
+
 def chunk_texts(texts: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """(doc_id, text, learn, scored) as chunks of whole texts: distinct tokens, and each place as the number of its token."""
     kind = texts.schema["doc_id"].dataType.simpleString()
@@ -374,7 +391,7 @@ def count_runs(messages: DataFrame, buckets: int, often: float, least_gain: floa
                 "kinds": planes(kinds[group[j:j + k]])}], schema=schema)
             i, j = i + m, j + k
 
-    return messages.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _REPLY)
+    return messages.repartitionById(buckets, F.col("bucket")).mapInArrow(in_batches(run), _REPLY)
 
 
 def hot_sums(replies: DataFrame, least_gain: float) -> tuple[np.ndarray, np.ndarray]:
@@ -415,7 +432,7 @@ def look_up(requests: DataFrame, entries: DataFrame, buckets: int) -> DataFrame:
 
     return requests.unionByName(entries, allowMissingColumns=True).repartitionById(buckets, F.col("bucket")).select(
         "chunk", "bucket", "at", "word", "counts", "chances", "often").mapInArrow(
-        run, "chunk long, bucket int, at binary, number binary, counts binary, chances binary, often binary")
+        in_batches(run), "chunk long, bucket int, at binary, number binary, counts binary, chances binary, often binary")
 
 
 def by_bucket(names: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -577,8 +594,8 @@ def score_texts(docs: DataFrame, training: DataFrame | Column, *, doc_id: str =
                         names=["bucket", "chunk", "at", "word"])
 
     tables = [store(look_up(
-        chunks.select("chunk", "words").mapInArrow(ask, "bucket int, chunk long, at binary, word binary"),
-        words.mapInArrow(spell, "bucket int, chunk long, word binary, counts binary, chances binary, often binary"),
+        chunks.select("chunk", "words").mapInArrow(in_batches(ask), "bucket int, chunk long, at binary, word binary"),
+        words.mapInArrow(in_batches(spell), "bucket int, chunk long, word binary, counts binary, chances binary, often binary"),
         buckets), "token-entries")]
     discard(words)
     made = {"buckets": buckets, "least_count": least_count, "texts": texts}
@@ -608,7 +625,7 @@ def score_texts(docs: DataFrame, training: DataFrame | Column, *, doc_id: str =
                 for row in chunk.pair_messages(total) if level == "pairs" else chunk.run_messages():
                     yield pa.RecordBatch.from_pylist([row], schema=schema)
 
-        return gathered("ids", "scored", "chances").mapInArrow(run, _MESSAGE)
+        return gathered("ids", "scored", "chances").mapInArrow(in_batches(run), _MESSAGE)
 
     for level in ("pairs", "runs"):
         tables.append(store(count_runs(messages(level, made), buckets, bound, least_token_gain), f"token-{level}"))

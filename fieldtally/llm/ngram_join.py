@@ -313,7 +313,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     4e-7); candidates are compared 32 values at a time and dropped once the posterior of
     reaching the threshold is under ``tolerance``; the rest is verified on whole n-gram sets.
     Comparisons run in pairs of blocks of bounded weight, and only counts and one root a
-    document leave a block, so large groups make no rows by pair.
+    document leave a block.  Each pair of blocks gets the n-gram sets of both, so what is sent for
+    a group of different near copies grows with the square of its blocks; copies count once.
 
     Null texts and texts without words link to nothing; null texts are classes by
     themselves, other equal texts one class; fewer words than ``ngram`` are one n-gram;

@@ -11,6 +11,7 @@ from zlib import crc32
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -354,6 +355,39 @@ def test_base_scores_and_known_tokens(spark, texts):
         assert got[i].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own))
 
 
+def test_texts_are_split_and_numbered_in_whole_batches():
+    rng = random.Random(5)
+    odd = [None, "", " ", "\n", " A\x0b\x1cB\u00a0c\u2003D\x85 \u0130\u00c9", "x" * 5000, "\x00 \x1f", "a  a\ta\r\nb ",
+           *("".join(rng.choice("aB \t\n\x0c\u00df\U0001F600") for _ in range(rng.randrange(60))) for _ in range(200))]
+    for texts in (odd, odd[3:], [None, ""], []):
+        words, sizes = suffix_tree_lm.split_texts(pa.array(["cut", *texts], pa.string())[1:])
+        plain = [suffix_tree_lm.tokens_of(t)[:-1] for t in texts]
+        assert words.to_pylist() == [w for p in plain for w in p] and sizes.tolist() == [len(p) for p in plain]
+    for values in (np.zeros(0, np.int64), np.array([5, 1, 5, 0, 1 << 20]), np.array([1 << 62, 3, 1 << 62]),
+                   np.array([1 << 63, 7, 1 << 63, 7, 9], np.uint64)):
+        own, one, at = suffix_tree_lm.distinct(values)
+        want, inverse = np.unique(values, return_inverse=True)
+        assert own.tolist() == want.tolist() == values[one].tolist() and at.tolist() == inverse.tolist()
+
+
+def test_packed_numbers_come_back():
+    for kind, top in ((np.int32, 200), (np.int32, 1 << 20), (np.int64, 1 << 40), (np.int64, 0), (np.uint64, (1 << 64) - 1)):
+        for values in (np.array([0, 3, top], kind), np.zeros(0, kind)):
+            back = suffix_tree_lm.numbers(suffix_tree_lm.planes(values), kind)
+            assert back.dtype == kind and back.tolist() == values.tolist()
+    for values in (np.array([-5, 1 << 33]), np.array([0.5, -2]), np.array([True, False])):
+        assert suffix_tree_lm.numbers(suffix_tree_lm.planes(values), values.dtype).tolist() == values.tolist()
+    assert len(suffix_tree_lm.planes(np.arange(200, dtype=np.int64))) < 230
+
+
+def test_tokens_of_a_batch_are_spelt_as_one_by_one():
+    tree = {b"": {97: 9, 98: 4, 32: 5, 10: 1}, b" ": {97: 6, 98: 2}, b"a": {97: 3, 32: 2, 98: 5}, b"ba": {32: 3}}
+    tokens = [b"a", b"ab", suffix_tree_lm.END, b"bab", "n\u00e9".encode(), b"a" * 63, b"ab" * 40, b"\xff\x00", b"ab"]
+    batch = suffix_tree_lm.SuffixTree(tree)
+    for part in (tokens, tokens[::-1], []):
+        assert batch.scores(part).tolist() == [suffix_tree_lm.SuffixTree(tree).score(w) for w in part]
+
+
 def test_contexts_equal_plain_counts_and_the_tree_is_a_distribution(spark):
     words = {b"banana": 7, b"band": 3, b"an": 50, suffix_tree_lm.END: 9, "né".encode(): 2}
     frame = spark.createDataFrame([(bytearray(w), c) for w, c in words.items()], "w binary, c long")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, store
+from .common import discard, row_key, store
 
 # An odd base, its inverse modulo 2**64, and two odd constants that mix the bits of a hash.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -300,16 +300,20 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, group_contexts: int
     sorted with one copy of each different context of that gram; a gram with more than
     ``group_contexts`` of them has its windows hashed and counted before equal ones meet, so no task
     holds them all; only where there are such grams, their texts are shuffled once more.
+    Contexts are worked out once and stored, 36 bytes each, until their places are known.
     """
-    contexts = _context_rows(docs, length, gram)
-    by_context = contexts.groupBy("g", "e").agg(F.count("*").alias("copies"),
-                                                F.min(F.struct("_key", "lo")).alias("one"))
-    by_gram = by_context.groupBy("g").agg(F.count("*").alias("m"), F.sum("copies").alias("all")).where("all > 1")
+    contexts = store(_context_rows(docs, length, gram), "contexts")
+    place = F.xxhash64("_key", "lo")  # a long, which is aggregated in place; two of a context are only sorted twice
+    by_context = contexts.groupBy("g", "e").agg(F.count("*").alias("copies"), F.min(place).alias("one"))
+    by_gram = by_context.groupBy("g").agg(  # reads ``one`` as well, so that both sides share a shuffle
+        F.count("one").alias("m"), F.sum("copies").alias("all")).where("all > 1")
     flags = store(by_context.join(by_gram.select("g", "m"), "g"), "repeated-contexts")
     rows = store(contexts.join(flags, ["g", "e"]).select(
         "_key", "lo", "n", "a", "g", "m", (F.col("copies") > 1).alias("twice"),
-        ((F.col("m") > 1) & (F.col("one._key") == F.col("_key")) & (F.col("one.lo") == F.col("lo"))).alias("wanted"),
+        ((F.col("m") > 1) & (F.col("one") == place)).alias("wanted"),
     ).where("twice or wanted"), "context-places")
+    discard(contexts)
+    discard(flags)
 
     def meet(part: DataFrame) -> DataFrame:
         wanted = part.groupBy("_key").agg(  # bounded by the document's contexts

@@ -339,6 +339,22 @@ def test_noisy_or_is_the_chance_of_any_sentence():
     assert abs(toxicity.Model.combined(odds) - want) < 1e-12 and toxicity.Model.combined([]) == 0
 
 
+def test_contexts_are_worked_out_once(spark, monkeypatch):
+    plans, put = {}, suffix_dedup.store
+
+    def told(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return put(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "store", told)
+    rng = random.Random(8)
+    same = "".join(rng.choice("abcdef ") for _ in range(300))
+    docs = spark.createDataFrame([(i, f"{i}" * 30 + same + f"{i}" * 20) for i in range(4)] + [(9, None)], "doc_id long, text string")
+    got = suffix_dedup.drop_repeats(docs, length=200).collect()
+    assert {n for n, p in plans.items() if "MapInArrow" in p} == {"contexts", "repeated-windows"}
+    assert sorted((r.doc_id, bytes(r.kept).decode()) for r in got) == [*((i, f"{i}" * 50) for i in range(4)), (9, "")]
+
+
 # 7: suffix tree
 
 def test_base_scores_and_known_tokens(spark, texts):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 from math import log10
 
 import numpy as np
@@ -381,7 +381,14 @@ def count_tokens(chunks: DataFrame) -> DataFrame:
 
 def cuts_of(values: np.ndarray) -> np.ndarray:
     """Where equal neighbours begin, and the end."""
-    return np.r_[np.flatnonzero(np.r_[True, values[1:] != values[:-1]][:len(values)]), len(values)]
+    inner = np.flatnonzero(values[1:] != values[:-1]) + 1
+    return np.concatenate([np.zeros(min(1, len(values)), np.int64), inner, np.full(1, len(values))])
+
+
+def together(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Small rows in batches of a bounded number."""
+    while some := list(islice(rows, 32)):
+        yield pa.RecordBatch.from_pylist(some, schema=schema)
 
 
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -489,9 +496,9 @@ def count_runs(messages: DataFrame, buckets: int, often: float, least_gain: floa
         if not rows:
             return
         whole = lambda name, kind: np.concatenate([numbers(r[name], kind) for r in rows])
-        runs, hot = whole("runs", np.int32), whole("hot", np.bool_)
+        hot, runs = whole("hot", np.bool_), [numbers(r["runs"], np.int32) for r in rows]
+        contexts, runs = [len(x) for x in runs], np.concatenate(runs)
         names = named(tuple(whole(k, np.uint64) for k in PARTS if rows[0][k] is not None))
-        contexts = [len(numbers(r["runs"], np.int32)) for r in rows]
         places = np.add.reduceat(runs, np.cumsum([0, *contexts[:-1]])).tolist()
         context = np.repeat(np.arange(len(runs)), runs)
         _, first, at = distinct(joined(names[context], whole("word", np.uint64)))
@@ -513,12 +520,15 @@ def count_runs(messages: DataFrame, buckets: int, often: float, least_gain: floa
                             ("hot", pa.list_(pa.struct([("context", pa.int64()), ("n", pa.int64()), ("t", pa.int64()),
                                                         ("g", pa.float64())])))])
         yield pa.RecordBatch.from_pylist([made], schema=schema)
-        i = j = 0
-        for r, m, k in zip(rows, places, contexts, strict=True):
-            yield pa.RecordBatch.from_pylist([{
-                "chunk": r["chunk"], "bucket": r["bucket"], "counts": planes(answer[i:i + m]),
-                "kinds": planes(kinds[group[j:j + k]])}], schema=schema)
-            i, j = i + m, j + k
+
+        def replies() -> Iterator[dict]:
+            i = j = 0
+            for r, m, k in zip(rows, places, contexts, strict=True):
+                yield {"chunk": r["chunk"], "bucket": r["bucket"], "counts": planes(answer[i:i + m]),
+                       "kinds": planes(kinds[group[j:j + k]])}
+                i, j = i + m, j + k
+
+        yield from together(replies(), schema)
 
     return messages.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _REPLY)
 
@@ -749,7 +759,7 @@ def score_texts(docs: DataFrame, training: DataFrame | Column, *, doc_id: str =
 
     def each(state: dict):
         def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
-            rows = (r for batch in batches for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist())
+            rows = (r for batch in batches for k in range(0, batch.num_rows, 32) for r in batch.slice(k, 32).to_pylist())
             for _, own in groupby(rows, lambda r: r["chunk"]):
                 yield Chunk(list(own), state)
         return chunked
@@ -762,8 +772,7 @@ def score_texts(docs: DataFrame, training: DataFrame | Column, *, doc_id: str =
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk in chunked(batches):
-                for row in chunk.pair_messages(total) if level == "pairs" else chunk.run_messages():
-                    yield pa.RecordBatch.from_pylist([row], schema=schema)
+                yield from together(chunk.pair_messages(total) if level == "pairs" else chunk.run_messages(), schema)
 
         return gathered("ids", "scored", "chances").mapInArrow(run, _MESSAGE)
 
